@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import triples as tr
@@ -23,6 +23,29 @@ EXEMPT = "signup"
 START = "2024-01-01"
 
 
+class Ledger:
+    """Payment lines with their dimension and the stages every report starts from."""
+
+    def __init__(self, lines: DataFrame, orgs: DataFrame, exempt: DataFrame, threshold: int = THRESHOLD):
+        self.lines, self.orgs, self.exempt, self.threshold = lines, orgs, exempt, threshold
+
+    @cached_property
+    def triples(self) -> DataFrame:
+        return tr.triple_state(tr.triples(self.lines, adv_codes=(0,), sal_codes=(1,)), self.threshold, self.exempt)
+
+    @cached_property
+    def recipients(self) -> DataFrame:
+        return tr.recipients(self.triples, self.orgs)
+
+    @cached_property
+    def person_month(self) -> DataFrame:
+        return tr.person_month(self.recipients)
+
+    @cached_property
+    def presence(self) -> DataFrame:
+        return tr.presence(self.lines, self.recipients)
+
+
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
@@ -31,6 +54,26 @@ class Inputs:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     # ------------------------------------------------------------- ledger
+    @cached_property
+    def main(self) -> Ledger:
+        return Ledger(self.lines, self.orgs, self.exempt)
+
+    @cached_property
+    def wide(self) -> Ledger:
+        """The same ledger with many organisations: event type and a group of persons."""
+        def widen(df: DataFrame, group: Column) -> DataFrame:
+            return df.withColumn("org", F.concat_ws("-", "org", group.cast("string")))
+
+        groups = F.explode(F.sequence(F.lit(0), F.lit(3)))
+        return Ledger(widen(self.lines, F.floor(F.col("person") / 2) % 4),
+                      widen(self.orgs.withColumn("g", groups), F.col("g")).drop("g"),
+                      widen(self.exempt.withColumn("g", groups), F.col("g")).drop("g"))
+
+    def __getattr__(self, name: str):
+        if name in ("triples", "recipients", "person_month", "presence"):
+            return getattr(self.main, name)
+        raise AttributeError(name)
+
     @cached_property
     def lines(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("int")
@@ -59,22 +102,6 @@ class Inputs:
             o.isin("view", "error").alias("focus"),
             F.when(o.isin("view", "error"), "it").otherwise("trade").alias("industry"))
 
-    @cached_property
-    def triples(self) -> DataFrame:
-        return tr.triple_state(tr.triples(self.lines, adv_codes=(0,), sal_codes=(1,)), THRESHOLD, self.exempt)
-
-    @cached_property
-    def recipients(self) -> DataFrame:
-        return tr.recipients(self.triples, self.orgs)
-
-    @cached_property
-    def person_month(self) -> DataFrame:
-        return tr.person_month(self.recipients)
-
-    @cached_property
-    def presence(self) -> DataFrame:
-        return tr.presence(self.lines, self.recipients)
-
     @cached_property
     def seg_history(self) -> DataFrame:
         """Segment history of pairs by period, with holes, as a source would deliver it."""
@@ -118,31 +145,34 @@ cte("orgs", """
    event_type IN ('view','error') AS focus,
    CASE WHEN event_type IN ('view','error') THEN 'it' ELSE 'trade' END AS industry
  FROM events""")
-cte("tri", """
- SELECT *, CASE WHEN pos_fixed OR (pos_pf AND (org = 'signup' OR sum_pf > 20)) THEN 'P' WHEN pos_pf THEN 'Z' ELSE 'N' END AS st,
-   CASE WHEN pos_fixed OR (pos_pf AND (org = 'signup' OR sum_pf > 20))
-        THEN a_fixed + CASE WHEN org = 'signup' OR sum_pf > 20 THEN a_pf ELSE 0 END ELSE 0 END AS pf_amt,
-   a_fixed + CASE WHEN org = 'signup' OR sum_fot > 20 THEN a_fot ELSE 0 END AS fot_amt
- FROM (SELECT mi, person, org, unit, min(region) AS region,
-     sum(CASE WHEN code <= 2 THEN amt ELSE 0 END) AS sum_pf, sum(CASE WHEN code <= 3 THEN amt ELSE 0 END) AS sum_fot,
-     bool_or(code <= 2 AND amt > 0) AS pos_pf, bool_or(code = 2 AND amt > 0) AS pos_fixed, bool_or(amt > 0) AS pos_any,
-     sum(CASE WHEN amt > 0 AND code = 2 THEN amt ELSE 0 END) AS a_fixed,
-     sum(CASE WHEN amt > 0 AND code IN (0,1) THEN amt ELSE 0 END) AS a_pf,
-     sum(CASE WHEN amt > 0 AND code IN (0,1,3) THEN amt ELSE 0 END) AS a_fot,
-     count(*) AS n_rows, CAST(sum(CASE WHEN amt > 0 THEN qty ELSE 0 END) AS BIGINT) AS n_pay,
-     bool_or(code = 0) AS has_adv, bool_or(code = 1) AS has_sal
-   FROM lines GROUP BY 1, 2, 3, 4) WHERE pos_any""", "lines")
-cte("rec", """
- SELECT t.mi, t.person, t.org, t.unit, t.region, t.sum_pf, t.pf_amt, t.has_adv, t.has_sal, o.seg, o.hold, o.focus
- FROM tri t LEFT JOIN orgs o USING (org) WHERE st = 'P'""", "tri", "orgs")
-cte("pm", """
- SELECT mi, person, count(DISTINCT org) AS n_org, count(*) AS n_triples,
-   arg_min(seg, k) AS main_seg, arg_min(region, k) AS main_region, arg_min(org, k) AS main_org
- FROM (SELECT *, row_number() OVER (PARTITION BY mi, person ORDER BY sum_pf DESC, org, unit) AS k FROM rec)
- GROUP BY 1, 2""", "rec")
-cte("presence", """
- SELECT mi, person, sum(amt) AS amt_all, sum(CASE WHEN code <= 2 THEN amt ELSE 0 END) AS amt_codes
- FROM lines WHERE person IN (SELECT person FROM rec) GROUP BY 1, 2""", "lines", "rec")
+cte("lines_w", "SELECT * REPLACE (org || '-' || ((person // 2) % 4) AS org) FROM lines", "lines")
+cte("orgs_w", "SELECT org || '-' || g AS org, seg, hold, focus, industry FROM orgs, range(4) r(g)", "orgs")
+for w in ("", "_w"):
+    cte("tri" + w, f"""
+     SELECT *, CASE WHEN pos_fixed OR (pos_pf AND (org LIKE 'signup%' OR sum_pf > 20)) THEN 'P' WHEN pos_pf THEN 'Z' ELSE 'N' END AS st,
+       CASE WHEN pos_fixed OR (pos_pf AND (org LIKE 'signup%' OR sum_pf > 20))
+            THEN a_fixed + CASE WHEN org LIKE 'signup%' OR sum_pf > 20 THEN a_pf ELSE 0 END ELSE 0 END AS pf_amt,
+       a_fixed + CASE WHEN org LIKE 'signup%' OR sum_fot > 20 THEN a_fot ELSE 0 END AS fot_amt
+     FROM (SELECT mi, person, org, unit, min(region) AS region,
+         sum(CASE WHEN code <= 2 THEN amt ELSE 0 END) AS sum_pf, sum(CASE WHEN code <= 3 THEN amt ELSE 0 END) AS sum_fot,
+         bool_or(code <= 2 AND amt > 0) AS pos_pf, bool_or(code = 2 AND amt > 0) AS pos_fixed, bool_or(amt > 0) AS pos_any,
+         sum(CASE WHEN amt > 0 AND code = 2 THEN amt ELSE 0 END) AS a_fixed,
+         sum(CASE WHEN amt > 0 AND code IN (0,1) THEN amt ELSE 0 END) AS a_pf,
+         sum(CASE WHEN amt > 0 AND code IN (0,1,3) THEN amt ELSE 0 END) AS a_fot,
+         count(*) AS n_rows, CAST(sum(CASE WHEN amt > 0 THEN qty ELSE 0 END) AS BIGINT) AS n_pay,
+         bool_or(code = 0) AS has_adv, bool_or(code = 1) AS has_sal
+       FROM lines{w} GROUP BY 1, 2, 3, 4) WHERE pos_any""", "lines" + w)
+    cte("rec" + w, f"""
+     SELECT t.mi, t.person, t.org, t.unit, t.region, t.sum_pf, t.pf_amt, t.has_adv, t.has_sal, o.seg, o.hold, o.focus
+     FROM tri{w} t LEFT JOIN orgs{w} o USING (org) WHERE st = 'P'""", "tri" + w, "orgs" + w)
+    cte("pm" + w, f"""
+     SELECT mi, person, count(DISTINCT org) AS n_org, count(*) AS n_triples,
+       arg_min(seg, k) AS main_seg, arg_min(region, k) AS main_region, arg_min(org, k) AS main_org
+     FROM (SELECT *, row_number() OVER (PARTITION BY mi, person ORDER BY sum_pf DESC, org, unit) AS k FROM rec{w})
+     GROUP BY 1, 2""", "rec" + w)
+    cte("presence" + w, f"""
+     SELECT mi, person, sum(amt) AS amt_all, sum(CASE WHEN code <= 2 THEN amt ELSE 0 END) AS amt_codes
+     FROM lines WHERE person IN (SELECT person FROM rec{w}) GROUP BY 1, 2""", "lines" + w, "rec" + w)
 cte("seghist", """
  SELECT DISTINCT mi, org, unit, CASE WHEN org = 'click' THEN CASE WHEN mi < 15 THEN 'retail' ELSE 'corp' END
    WHEN org = 'purchase' THEN 'corp' ELSE 'public' END AS seg
