@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core", "movement")
+MODULES = ("core", "movement", "monthly")
 
 
 def load() -> None:
