@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core", "movement", "monthly")
+MODULES = ("core", "movement", "monthly", "scalars")
 
 
 def load() -> None:
