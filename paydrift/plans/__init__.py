@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core", "movement", "monthly", "scalars")
+MODULES = ("core", "movement", "monthly", "scalars", "yoy")
 
 
 def load() -> None:
