@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core", "movement", "monthly", "scalars", "yoy", "attraction", "triggers")
+MODULES = ("core", "movement", "monthly", "scalars", "yoy", "attraction", "triggers", "feed")
 
 
 def load() -> None:

@@ -19,6 +19,7 @@ from .registry import cte
 THRESHOLD = 20
 LAST = 29
 CMP0 = 2
+CURRENT_MI = 27
 EXEMPT = "signup"
 START = "2024-01-01"
 
@@ -110,6 +111,26 @@ class Inputs:
                         .otherwise("corp")).when(F.col("org") == "purchase", "corp").otherwise("public").alias("seg"))
                 .where(F.col("org") != "error"))
 
+    @cached_property
+    def summary(self) -> DataFrame:
+        """The published monthly summary: built once per session, checked, then read by every report."""
+        from hashlib import md5
+
+        from ..operators import summary as sm
+        from ..session import shared_dir
+        from ..sources import marts
+        path = f"{shared_dir(self.spark)}/summary/{self.spark.sparkContext.applicationId}/{md5(self.dir.encode()).hexdigest()[:12]}"
+        if marts.current_version(self.spark, path) is None:
+            built = sm.build_summary(self.triples, self.orgs, self.seg_history, LAST, CMP0, CURRENT_MI)
+            if not marts.mart_swap({"summary": built}, path, 1, lambda w: sm.identity_checks(w["summary"]).where("n_bad > 0").isEmpty()):
+                raise marts.GateError("summary breaks an identity")
+        return marts.read_current(self.spark, path, "summary")
+
+    @cached_property
+    def atoms(self) -> DataFrame:
+        from ..operators import summary as sm
+        return sm.generation(self.summary, 1).drop("lvl", "org", "run_id")
+
     # ------------------------------------------------------------ payroll
     @cached_property
     def payroll(self) -> DataFrame:

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import masks as mk
 from ..operators import summary as sm
-from .inputs import CMP0, LAST
+from .inputs import CMP0, CURRENT_MI, LAST
 from .registry import cte, query
 
-CUR = 27
-MEM = 12
+CUR = CURRENT_MI
 
 # --- SQL twins: plain joins over triples, no bitmaps.
 cte("kpf", "SELECT mi, person, count(*) AS k FROM tri WHERE st = 'P' GROUP BY 1, 2", "tri")
@@ -247,7 +246,7 @@ def _(i):
  'y_stock','y_outside_parts','y_other_in_parts','y_other_out_parts','y_left_parts','y_left_within_base','m_tenure_of_leavers','m_temp_within_out']) AS "check",
  CAST(0 AS BIGINT) AS n_bad""")
 def _(i):
-    return sm.identity_checks(summary_frame(i))
+    return sm.identity_checks(i.summary)
 
 
 def _gen_sql(keys: str, lvl: str, org: str, where: str = "") -> str:
@@ -260,7 +259,7 @@ def _gen_sql(keys: str, lvl: str, org: str, where: str = "") -> str:
 @query("generation", _gen_sql("mi, seg_rep, region, unit", "atom", "CAST(NULL AS VARCHAR)") + " UNION ALL "
        + _gen_sql("mi, seg_rep, region, unit, org", "org", "org", "WHERE org IN ('view', 'purchase')"), "summ")
 def _(i):
-    return sm.generation(summary_frame(i), 7, i.orgs.where(F.col("org").isin("view", "purchase")))
+    return sm.generation(i.summary, 7, i.orgs.where(F.col("org").isin("view", "purchase")))
 
 
 cte("placed", "SELECT t.mi, t.person, t.region, k.seg_rep, k.seg_cur FROM tri t JOIN kseg k USING (mi, org, unit) WHERE st = 'P'", "tri", "kseg")
@@ -275,7 +274,7 @@ _JS = {"bank": "'bank'", "region": "CAST(region AS VARCHAR)", "seg_rep": "seg_re
        + """) SELECT CAST(7 AS BIGINT) AS run_id, r.mi, r.slice_type, r.slice_value, pf_recip, persons, any_recip, raw_rows, fot_amt, true AS checks_ok
        FROM r LEFT JOIN p ON p.mi = r.mi AND p.slice_type = r.slice_type AND p.slice_value = r.slice_value""", ("summ", "placed"))
 def _(i):
-    return sm.journal(summary_frame(i), i.triples, 7, True)
+    return sm.journal(i.summary, i.triples, 7, True)
 
 
 
