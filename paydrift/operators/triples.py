@@ -22,7 +22,8 @@ def _amount(condition: Column) -> Column:
     return F.sum(F.when(condition, F.col("amt")).otherwise(_zero()))
 
 
-def triples(lines: DataFrame, keys: Sequence[str] = KEYS, adv_codes: Sequence = (), sal_codes: Sequence = ()) -> DataFrame:
+def triples(lines: DataFrame, keys: Sequence[str] = KEYS, adv_codes: Sequence = (), sal_codes: Sequence = (),
+            bonus_codes: Sequence = ()) -> DataFrame:
     """One row per key with every sum and flag later stages need, in a single aggregation.
 
     Needs line flags is_pf, is_fot, is_fixed (a code that always counts). Partial aggregation
@@ -34,7 +35,7 @@ def triples(lines: DataFrame, keys: Sequence[str] = KEYS, adv_codes: Sequence =
         F.min("region").alias("region"), _amount(pf).alias("sum_pf"), _amount(fot).alias("sum_fot"),
         F.bool_or(pf & pos).alias("pos_pf"), F.bool_or(fixed & pos).alias("pos_fixed"), F.bool_or(pos).alias("pos_any"),
         _amount(pos & fixed).alias("a_fixed"), _amount(pos & pf & ~fixed).alias("a_pf"),
-        _amount(pos & fot & ~fixed).alias("a_fot"), F.count(F.lit(1)).alias("n_rows"),
+        _amount(pos & fot & ~fixed).alias("a_fot"), _amount(pos & pf & F.col("code").isin(list(bonus_codes))).alias("a_bonus"), F.count(F.lit(1)).alias("n_rows"),
         F.sum(F.when(pos, F.coalesce("qty", F.lit(1))).otherwise(0)).alias("n_pay"),
         F.bool_or(F.col("code").isin(list(adv_codes))).alias("has_adv"),
         F.bool_or(F.col("code").isin(list(sal_codes))).alias("has_sal"))
@@ -59,6 +60,7 @@ def triple_state(tri: DataFrame, threshold, exempt: DataFrame | None = None) ->
         "st": F.when(inside, "P").when(F.col("pos_pf"), "Z").otherwise("N"),
         "pf_amt": F.when(inside, F.col("a_fixed") + F.when(over_pf, F.col("a_pf")).otherwise(_zero())).otherwise(_zero()),
         "fot_amt": F.col("a_fixed") + F.when(over_fot, F.col("a_fot")).otherwise(_zero()),
+        "bonus": F.when(over_pf, F.col("a_bonus")).otherwise(_zero()),
     })
 
 

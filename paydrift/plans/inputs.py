@@ -24,6 +24,9 @@ EXEMPT = "signup"
 START = "2024-01-01"
 
 
+_STAGED: dict[tuple[str, str], DataFrame] = {}
+
+
 class Ledger:
     """Payment lines with their dimension and the stages every report starts from."""
 
@@ -51,6 +54,21 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
+    def staged(self, name: str, build) -> DataFrame:
+        """A stage several reports share: written once per session and input folder, then read.
+
+        Long pipelines are cut here on purpose; the files lie in the shared folder, so a lost executor
+        costs a read and not the lineage behind it.
+        """
+        from hashlib import md5
+
+        from ..session import stage_table
+        key = f"{md5(self.dir.encode()).hexdigest()[:12]}/{name}"
+        done = (self.spark.sparkContext.applicationId, key)
+        if done not in _STAGED:
+            _STAGED[done] = stage_table(build(), key)
+        return _STAGED[done]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
