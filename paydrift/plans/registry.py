@@ -31,6 +31,8 @@ def with_stages(needs: tuple[str, ...], body: str) -> str:
         visit(n)
     parts = [f"{n} AS ({CTES[n][1]})" for n in order]
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ", ".join(parts + [body[15:]])
     if body[:5].upper() == "WITH ":
         body = body[5:]
         return "WITH " + ", ".join(parts + [body]) if parts else "WITH " + body
