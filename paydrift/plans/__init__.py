@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core", "movement", "monthly", "scalars", "yoy", "attraction", "triggers", "feed", "anomaly", "worklist")
+MODULES = ("core", "movement", "monthly", "scalars", "yoy", "attraction", "triggers", "feed", "anomaly", "worklist", "watch", "backtest")
 
 
 def load() -> None:

@@ -255,7 +255,7 @@ def _(i):
     return wl.outflow_worked(wl.org_outflow(w.net, NOW - 3, NOW - 1), wl.funnel_months(w.tasks, "outflow"), (NOW - 3, NOW)).drop("out_months")
 
 
-@query("candidates", f"SELECT {_B('unit', 'region')}, org, seg, lever, round(impact, 4) AS impact, round(impact_money, 4) AS impact_money FROM cd", "cd")
+@query("candidates", f"SELECT {_B('unit', 'region')}, org, seg, lever, round(impact, 4) AS impact, round(impact_money, 6) AS impact_money FROM cd", "cd", digits=6)
 def _(i):
     return Work(i).cands.select("unit", "region", "org", "seg", "lever", "impact", "impact_money")
 
