@@ -88,7 +88,7 @@ def term_grid(pan: DataFrame, rates_out: DataFrame, rates_in: DataFrame, ks: Seq
             terms[(fam, f"mean_k{k}")] = z(F.avg(v).over(past(k)))
             for lam in lams:
                 p, q = F.sum(v).over(past(k)), F.sum(F.when(F.col("present"), b)).over(past(k))
-                rate = (z(p) + lam * z(F.col(r))) / F.greatest(z(q) + lam, F.lit(1e-9))
+                rate = z(F.coalesce(F.try_divide(z(p) + lam * z(F.col(r)), z(q) + lam), F.col(r)))   # no base yet: the segment's rate
                 terms[(fam, f"rate_k{k}_lam{lam:g}")] = b * rate
         terms[(fam, "median_k3")] = z(F.percentile(v, 0.5).over(past(3)))
         for a in alphas:
@@ -158,7 +158,7 @@ def metrics(pred: DataFrame, by: Sequence[str] = COMBO) -> DataFrame:
 
 def rank_correlation(pred: DataFrame, by: Sequence[str] = ("mi",)) -> DataFrame:
     """Spearman correlation of predicted and actual change, ties by average rank."""
-    x = pred.select(*by, (F.col("pred") - F.col("base")).alias("x"), (F.col("fact") - F.col("base")).cast("double").alias("y"))
+    x = pred.select(*by, F.round(F.col("pred") - F.col("base"), 9).alias("x"), (F.col("fact") - F.col("base")).cast("double").alias("y"))
     w = W.partitionBy(*by)
 
     def avg_rank(c: str) -> Column:

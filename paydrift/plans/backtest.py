@@ -67,7 +67,7 @@ def _terms() -> str:
             w = fr.format(k)
             t[(fam, f"mean_k{k}")] = f"coalesce(avg({c}) {w}, 0)"
             for lam in (0, 5):
-                t[(fam, f"rate_k{k}_lam{lam}")] = f"base * ((coalesce(sum({c}) {w}, 0) + {lam} * coalesce({r}, 0)) / greatest(coalesce(sum(vb) {w}, 0) + {lam}, 1e-9))"
+                t[(fam, f"rate_k{k}_lam{lam}")] = f"base * coalesce((coalesce(sum({c}) {w}, 0) + {lam} * coalesce({r}, 0)) / nullif(coalesce(sum(vb) {w}, 0) + {lam}, 0), {r}, 0)"
         t[(fam, "median_k3")] = f"coalesce(median({c}) {fr.format(3)}, 0)"
         for a in (0.3, 0.5):
             lag = "lag({}, {}) OVER (PARTITION BY org ORDER BY mi)"
@@ -105,17 +105,17 @@ def _(i):
     return bt.pooled_rates(Backtest(i).panel)
 
 
-@query("roll_terms_unit", "SELECT CAST(unit AS BIGINT) AS unit, CAST(mi AS BIGINT) AS mi, family, term, round(value, 3) + 0.0 AS value FROM bro", "bro", digits=3)
+@query("roll_terms_unit", "SELECT CAST(unit AS BIGINT) AS unit, CAST(mi AS BIGINT) AS mi, family, term, round(value, 6) + 0.0 AS value FROM bro", "bro", digits=6)
 def _(i):
     return Backtest(i).rolled
 
 
-@query("roll_terms_whole", "SELECT CAST(mi AS BIGINT) AS mi, family, term, round(sum(value), 2) + 0.0 AS value FROM btm GROUP BY mi, family, term", "btm", digits=2)
+@query("roll_terms_whole", "SELECT CAST(mi AS BIGINT) AS mi, family, term, round(sum(value), 6) + 0.0 AS value FROM btm GROUP BY mi, family, term", "btm", digits=6)
 def _(i):
     return bt.roll_terms(Backtest(i).terms, [])
 
 
-@query("term_grid", "SELECT CAST(mi AS BIGINT) AS mi, seg, family, term, round(sum(value), 2) + 0.0 AS value, count(*) AS n FROM btm GROUP BY mi, seg, family, term", "btm", digits=2)
+@query("term_grid", "SELECT CAST(mi AS BIGINT) AS mi, seg, family, term, round(sum(value), 6) + 0.0 AS value, count(*) AS n FROM btm GROUP BY mi, seg, family, term", "btm", digits=6)
 def _(i):
     return Backtest(i).terms.groupBy("mi", "seg", "family", "term").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
 
@@ -132,11 +132,11 @@ def _(i):
     return bt.metrics(Backtest(i).pred.where("pipe_term = 'none' and scale = 1.0"))
 
 
-@query("rank_correlation", """WITH x AS (SELECT mi, CASE WHEN unit % 3 = 0 THEN round(pred - base) ELSE pred - base END AS x, (fact - base)::DOUBLE AS y FROM bpd WHERE out_term = 'mean_k3' AND in_term = 'mean_k3' AND pipe_term = 'none' AND scale = 1.0),
+@query("rank_correlation", """WITH x AS (SELECT mi, round(pred - base, 9) AS x, (fact - base)::DOUBLE AS y FROM bpd WHERE out_term = 'mean_k3' AND in_term = 'mean_k3' AND pipe_term = 'none' AND scale = 1.0),
  r AS (SELECT mi, rank() OVER (PARTITION BY mi ORDER BY x) + (count(*) OVER (PARTITION BY mi, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY mi ORDER BY y) + (count(*) OVER (PARTITION BY mi, y) - 1) / 2 AS ry FROM x) SELECT CAST(mi AS BIGINT) AS mi, round(corr(rx, ry), 3) AS spearman FROM r GROUP BY 1""", "bpd", digits=3)
 def _(i):
     p = Backtest(i).pred.where("out_term = 'mean_k3' and in_term = 'mean_k3' and pipe_term = 'none' and scale = 1.0")
-    return bt.rank_correlation(p.withColumn("pred", F.when(F.col("unit") % 3 == 0, F.round(F.col("pred") - F.col("base")) + F.col("base")).otherwise(F.col("pred"))))
+    return bt.rank_correlation(p)
 
 
 @query("calibrate", """WITH j AS (SELECT r.family, r.term, r.mi, r.value AS v, f.outflow::DOUBLE AS a FROM bro r JOIN bfa f USING (unit, mi) WHERE family = 'out'), m AS (SELECT family, term, mi, sum(v) AS p, sum(a) AS a, sum(v * v) AS pp, sum(v * a) AS pa, count(*) AS n FROM j GROUP BY 1, 2, 3),

@@ -140,7 +140,7 @@ def _(i):
     return wa.unit_move_evidence(c, 1, 0.2)
 
 
-@query("cover_parents", f"""WITH k AS (SELECT grp, sign(out_left - base * 0.6) AS sg, sum(out_left - base * 0.6::DOUBLE) AS e FROM wpan WHERE mi = {MI} AND region < 12 GROUP BY 1, 2), p AS (SELECT grp, sum(out_left - base * 0.6::DOUBLE) AS delta FROM wpan WHERE mi = {MI} GROUP BY 1)
+@query("cover_parents", f"""WITH k AS (SELECT grp, sign(out_left - base * 0.66) AS sg, sum(out_left - base * 0.66::DOUBLE) AS e FROM wpan WHERE mi = {MI} AND region < 12 GROUP BY 1, 2), p AS (SELECT grp, sum(out_left - base * 0.66::DOUBLE) AS delta FROM wpan WHERE mi = {MI} GROUP BY 1)
  SELECT p.grp, 'out_left' AS flow, round(delta, 4) AS delta, round(e, 4) AS explained FROM p LEFT JOIN k ON k.grp = p.grp AND k.sg = sign(p.delta) WHERE coalesce(abs(e), 0) < 0.7 * abs(delta)""", "wpan")
 def _(i):
     d = (F.col("out_left") - F.col("base") * 0.6).alias("delta")
