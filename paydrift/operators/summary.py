@@ -57,6 +57,8 @@ def portfolio_counts(states: DataFrame, keys: Sequence[str], name: str) -> DataF
 
 def _annotated(masks: DataFrame, orgs: DataFrame) -> DataFrame:
     """Triple masks beside the masks of their person, person × org, person × holding and org."""
+    if "org_p" in masks.columns:   # already annotated, as a staged table
+        return masks
     hold = masks.join(orgs.select("org", "hold"), "org", "left")
     by_person = fold_masks(masks, ["person"], "pr")
     by_po = masks.groupBy("person", "org").agg(F.bit_or("b_p").alias("po_p"))
@@ -257,11 +259,18 @@ def month_summary(stocks: DataFrame, keys: DataFrame, segments: DataFrame, flows
 
 
 def build_summary(states: DataFrame, orgs: DataFrame, history: DataFrame, last: int, cmp0: int, current_mi: int,
-                  lags: dict[str, int] | None = None) -> DataFrame:
-    """Triples to the wide summary; the grouped triples are the only big input and are read, not rescanned."""
+                  lags: dict[str, int] | None = None, stage: str | None = None) -> DataFrame:
+    """Triples to the wide summary.
+
+    With ``stage`` the grouped triples, the annotated histories and the stocks are written once to the
+    shared folder: four labellings and three uses of the stocks then read files and repeat no join.
+    """
+    from ..session import stage_table
     lags = lags or {"m": 1, "y": 12}
-    masks = triple_masks(states)
-    stocks = stock(states, masks, orgs)
+    keep = (lambda df, name: stage_table(df, f"{stage}/{name}")) if stage else (lambda df, name: df)
+    states = keep(states, "triples")
+    masks = keep(_annotated(triple_masks(states), orgs), "history")
+    stocks = keep(stock(states, masks, orgs), "stocks")
     keys = summary_keys(stocks, last, tuple(lags.values()))
     flows = {t: (k, label_counts_in(movement_in(masks, states, orgs, k, last)), label_counts_out(movement_out(masks, states, orgs, k, last)))
              for t, k in lags.items()}

@@ -86,11 +86,12 @@ def collapsed(i):
 
 
 def series(i):
-    return fd.slice_series(collapsed(i))
+    """The slice table every feed report reads; written once, as its plan is long."""
+    return i.staged("feed_series", lambda: fd.slice_series(collapsed(i)))
 
 
 def comps(i):
-    return fd.components(series(i))
+    return i.staged("feed_components", lambda: fd.components(series(i)))
 
 
 @query("summary_segment", "SELECT * FROM sseg", "sseg")
@@ -113,7 +114,7 @@ def _(i):
 
 @query("slice_series", f"SELECT * EXCLUDE ({', '.join(FLOATY)}), {_RN(FLOATY)} FROM sl", "sl")
 def _(i):
-    return series(i)
+    return fd.slice_series(collapsed(i))
 
 
 _CN = (*fd.GROUPS, "reported", "people", *fd.PERSON_PARTS)
@@ -121,7 +122,7 @@ _CN = (*fd.GROUPS, "reported", "people", *fd.PERSON_PARTS)
 
 @query("components", f"SELECT slice_type, slice_key, mi, pf_recip, {_RN(_CN)} FROM cmpn", "cmpn")
 def _(i):
-    return comps(i)
+    return fd.components(series(i))
 
 
 @query("deviation_scan", f"""SELECT slice_type, slice_key, mi, CAST(length AS BIGINT) AS length, base, CAST(list_position(['none','y1','y2','avg'], base) - 1 AS BIGINT) AS base_pos, round(z, 4) + 0.0 AS z, round(z_real, 4) + 0.0 AS z_real, sig_r AS real_sig,

@@ -8,6 +8,7 @@ The SQL twins of these frames are the stages registered at the bottom.
 from __future__ import annotations
 
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,7 +140,7 @@ class Inputs:
         from ..sources import marts
         path = f"{shared_dir(self.spark)}/summary/{self.spark.sparkContext.applicationId}/{md5(self.dir.encode()).hexdigest()[:12]}"
         if marts.current_version(self.spark, path) is None:
-            built = sm.build_summary(self.triples, self.orgs, self.seg_history, LAST, CMP0, CURRENT_MI)
+            built = sm.build_summary(self.triples, self.orgs, self.seg_history, LAST, CMP0, CURRENT_MI, stage=f"summary-{uuid4().hex}")
             if not marts.mart_swap({"summary": built}, path, 1, lambda w: sm.identity_checks(w["summary"]).where("n_bad > 0").isEmpty()):
                 raise marts.GateError("summary breaks an identity")
         return marts.read_current(self.spark, path, "summary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions import masks as mk
@@ -155,7 +157,7 @@ class Monthly:
 
 
 def summary_frame(i):
-    return sm.build_summary(i.triples, i.orgs, i.seg_history, LAST, CMP0, CUR)
+    return sm.build_summary(i.triples, i.orgs, i.seg_history, LAST, CMP0, CUR, stage=f"summary-{uuid4().hex}")
 
 
 @query("history_masks", """

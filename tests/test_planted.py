@@ -112,7 +112,7 @@ def test_feed_cancels_the_season_and_finds_the_extra_drop(spark):
         season = -1000 if m % 12 == 0 else 0
         values.append(level + season - (300 if m == 28 else 0) + (m % 3))
     s = _series(spark, values)
-    found = fd.deviation_scan(fd.components(s), range(24, 30), mat_abs=100).where("length = 1 and base = 'y1'").collect()
+    found = fd.deviation_scan(fd.components(s), range(24, 30), mat_abs=50).where("length = 1 and base = 'y1'").collect()
     assert {r["mi"] for r in found} == {28, 29} and min(r["excess"] for r in found) < -290
 
 
