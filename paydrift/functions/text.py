@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import rule_words as rw
 from .columns import _c
@@ -256,10 +255,6 @@ def latest_deadline(text, ref_year, ref_month, stems_: Sequence[tuple[str, int]]
     return F.when(latest.isNotNull(), F.format_string("%02d.%d", month.cast("int"), ((latest - month) / 12).cast("int")))
 
 
-def notes_schema() -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in ("comment", "questionnaire")])
-
-
 # ---------------------------------------------------------------- area names
 
 def area_names(df: DataFrame, code5: str, kind: str, subjects: DataFrame, districts: DataFrame, nested: Mapping[str, str] | None = None,
