@@ -38,10 +38,8 @@ with np.errstate(over="ignore"):
     BYTE_CODES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(GOLDEN))
 WORD_BYTE = np.ones(256, bool)
 WORD_BYTE[[0x20, 9, 10, 11, 12, 13]] = False
-WORD_CODES = np.where(WORD_BYTE, BYTE_CODES, np.uint64(0))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-LOWER_CODES = WORD_CODES[LOWER]
 
 
 def powers(n: int, step: int = BYTE_STEP) -> np.ndarray:
@@ -94,13 +92,13 @@ def blocks(batch: pa.RecordBatch, text: str = "text", size: int = BLOCK_BYTES) -
         i = j
 
 
-def words(buf: np.ndarray, off: np.ndarray, lower: bool = False) -> Words:
-    """Words of every text, hashed; ``lower`` folds A-Z only."""
+def words(buf: np.ndarray, off: np.ndarray, lower: bool = False, member: np.ndarray = WORD_BYTE) -> Words:
+    """Runs of ``member`` bytes of every text, hashed; ``lower`` folds A-Z only."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return Words(buf, z, z, np.zeros(len(off), np.int64), np.zeros(0, np.uint64))
-    w = WORD_BYTE[buf]
+    w = member[buf]
     first = w.copy()
     first[1:] &= ~w[:-1]
     edges = off[(off > 0) & (off < n)]
@@ -118,7 +116,7 @@ def words(buf: np.ndarray, off: np.ndarray, lower: bool = False) -> Words:
     longest = int(lengths.max())
     steps = _SHORT if longest <= len(_SHORT) else powers(longest)
     np.minimum(place, len(steps) - 1, out=place)
-    codes = (LOWER_CODES if lower else WORD_CODES)[buf[starts[0]:]]
+    codes = np.where(member, BYTE_CODES[LOWER] if lower else BYTE_CODES, np.uint64(0))[buf[starts[0]:]]
     codes *= steps[place]
     h = np.add.reduceat(codes, starts - starts[0])
     return Words(buf, starts, ends, bounds, mix(h + lengths.astype(np.uint64) * np.uint64(GOLDEN)))
