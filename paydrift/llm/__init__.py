@@ -1,7 +1,7 @@
 """Operators for training-data pipelines; ``QUERIES`` has one query for each, ``ORACLES`` the SQL twins that exist."""
 
-from . import bpe, decontam, quality_qda
+from . import bpe, decontam, pii, quality_qda
 
-MODULES = (bpe, quality_qda, decontam)
+MODULES = (bpe, pii, quality_qda, decontam)
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
