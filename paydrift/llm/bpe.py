@@ -35,10 +35,10 @@ from .texts import blocks, table
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZER = "byte_bpe_50k.json"
-#: Entries of a worker's cache of encoded pieces; emptied when full, which changes no result.
-CACHE = 300_000
+#: Entries of each of a worker's caches; emptied when full, which changes no result.
+CACHE = 150_000
 NEVER = 1 << 60
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -59,15 +59,31 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-class Encoder:
-    """A byte-level vocabulary with its merges."""
+class Decoder:
+    """The bytes of every id of a byte-level vocabulary file."""
 
     def __init__(self, model: bytes):
-        data = json.loads(model)
+        self.read(json.loads(model))
+
+    def read(self, data: dict) -> None:
         letters = byte_letters()
+        self.pieces: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in data["model"]["vocab"].items()}
+        self.added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
+        self.pieces |= {i: t.encode() for t, i in self.added.items()}
+
+    def decode(self, ids: bytes) -> str:
+        tokens = np.frombuffer(ids, "<u4").tolist()
+        return b"".join(map(self.pieces.__getitem__, tokens)).decode("utf-8", "replace")
+
+
+class Encoder(Decoder):
+    """A byte-level vocabulary with its merges."""
+
+    def read(self, data: dict) -> None:
+        super().read(data)
         vocab = data["model"]["vocab"]
-        self.pieces: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
-        self.ids: dict[bytes, int] = {t: i for i, t in self.pieces.items()}
+        added = set(self.added.values())
+        self.ids: dict[bytes, int] = {t: i for i, t in self.pieces.items() if i not in added}
         self.longest = max(map(len, self.ids))
         self.merges: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
@@ -76,12 +92,10 @@ class Encoder:
             a, b, c = vocab[left], vocab[right], vocab[left + right]
             self.merges[a, b] = rank
             self.parts.setdefault(c, (rank, a, b))
-        self.added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
-        self.pieces |= {i: t.encode() for t, i in self.added.items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pattern = regex.compile(PATTERN)
         self.edges: tuple[dict, dict] = ({}, {})
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -100,7 +114,7 @@ class Encoder:
 
     def fits(self, first: int, second: int) -> bool:
         """True if the two tokens stay apart: no merge across their border comes in time."""
-        key = (first, second)
+        key = first << 20 | second
         known = self.beside.get(key)
         if known is None:
             known = True
@@ -110,7 +124,7 @@ class Encoder:
                     # of equal merges the leftmost comes first: one inside the first token, before one inside the second
                     if rank is not None and rank < a_until and rank <= b_until:
                         known = False
-            if len(self.beside) > 4 * CACHE:
+            if len(self.beside) > CACHE:
                 self.beside.clear()
             self.beside[key] = known
         return known
@@ -132,7 +146,7 @@ class Encoder:
                 # exactly one token qualifies, so the order of trial is free: a longer form of the last one is likely
                 likely = start_of[d - 1]
                 token = ids.get(word[likely:d])
-                if token is not None and (likely == 0 or (beside[last[likely], token] if (last[likely], token) in beside else fits(last[likely], token))):
+                if token is not None and (likely == 0 or beside.get(last[likely] << 20 | token, None) or fits(last[likely], token)):
                     start = likely
                 else:
                     for start in range(d - 1, max(0, d - longest) - 1, -1):
@@ -194,22 +208,18 @@ class Encoder:
         get = cache.__getitem__
         return [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in parts]) for parts in jobs]
 
-    def decode(self, ids: bytes) -> str:
-        tokens = np.frombuffer(ids, "<u4").tolist()
-        return b"".join(map(self.pieces.__getitem__, tokens)).decode("utf-8", "replace")
-
 
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(40)]
 _TWO_SPACES = re.compile(r"\s\s")
-_LOADED: dict[bytes, Encoder] = {}
+_LOADED: dict[tuple[type, bytes], Decoder] = {}
 
 
-def encoder(model: bytes) -> Encoder:
-    """The worker's encoder for a vocabulary file, built once."""
-    key = hashlib.sha256(model).digest()
+def loaded(kind: type, model: bytes) -> Decoder:
+    """The worker's encoder or decoder for a vocabulary file, built once."""
+    key = (kind, hashlib.sha256(model).digest())
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Encoder(model)
+        _LOADED[key] = kind(model)
     return _LOADED[key]
 
 
@@ -228,7 +238,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
     model = read_model(path or tokenizer_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model)
+        own = loaded(Encoder, model)
         for batch in batches:
             for part, _, _ in blocks(batch, text, BATCH_BYTES):
                 column = part.column(part.schema.get_field_index(text))
@@ -243,7 +253,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     model = read_model(path or tokenizer_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model)
+        own = loaded(Decoder, model)
         for batch in batches:
             for part, _, _ in blocks(batch, "ids"):
                 column = part.column(part.schema.get_field_index("ids"))
