@@ -1,7 +1,7 @@
 """Operators for training-data pipelines; ``QUERIES`` has one query for each, ``ORACLES`` the SQL twins that exist."""
 
-from . import bpe, decontam, lengths, packing, pii, quality_qda, rlz, set_join
+from . import bpe, decontam, lengths, packing, pii, quality_qda, rlz, set_join, suffix
 
-MODULES = (bpe, rlz, packing, pii, lengths, quality_qda, set_join, decontam)
+MODULES = (bpe, rlz, packing, suffix, pii, lengths, quality_qda, set_join, decontam)
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
