@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode
-from .texts import table
+from .texts import table, work_table
 
 BLOCK = 256
 
@@ -63,7 +63,8 @@ def truncated(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(table(spark, sf_dir, "documents")))
+    # two sums read the histogram: it is written once, one small row per length
+    return suffix_sums(work_table(histogram(table(spark, sf_dir, "documents")), "lengths"))
 
 
 QUERIES = {"op7_token_counts": op7_token_counts}
