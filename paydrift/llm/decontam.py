@@ -119,16 +119,21 @@ class Index:
         return None
 
 
+def _runs(index: Index, w: Words) -> dict[int, list[tuple[int, int, int]]]:
+    """Overlaps (token from, to, item id) of each document of a block that has any."""
+    per: dict[int, list[tuple[int, int, int]]] = {}
+    for d, item, shift in sorted(index.hits(w.hashes, w.doc_of())):
+        if run := index.overlap(w.hashes, int(w.bounds[d]), int(w.bounds[d + 1]), item, shift):
+            per.setdefault(d, []).append((int(run[0] - w.bounds[d]), int(run[1] - w.bounds[d]), index.ids[item]))
+    return per
+
+
 def _searcher(index: Index):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, off in blocks(batch):
                 w = tokens(buf, off)
-                doc = w.doc_of()
-                per: dict[int, list[tuple[int, int, int]]] = {}
-                for d, item, shift in sorted(index.hits(w.hashes, doc)):
-                    if run := index.overlap(w.hashes, int(w.bounds[d]), int(w.bounds[d + 1]), item, shift):
-                        per.setdefault(d, []).append((int(run[0] - w.bounds[d]), int(run[1] - w.bounds[d]), index.ids[item]))
+                per = _runs(index, w)
                 spans = [[{"from": a, "to": b, "item": i} for a, b, i in sorted(set(per.get(d, ())))] for d in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(np.diff(w.bounds), pa.int64()),
@@ -177,6 +182,22 @@ def contamination(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MA
     return found.select("doc_id", "n_tokens", F.size(items_of).cast("long").alias("n_items"), covered.alias("n_contaminated"), items_of.alias("item_ids"), text.alias("spans"))
 
 
+def clean(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of ``docs`` without an overlap with any item, with all their columns; no shuffle."""
+    def keeper(index: Index):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, buf, off in blocks(batch):
+                    found = _runs(index, tokens(buf, off))
+                    yield part.filter(pa.array([d not in found for d in range(part.num_rows)], pa.bool_()))
+
+        return keep
+
+    for block in item_blocks(items, block_items):
+        docs = docs.mapInArrow(keeper(Index([r["item_id"] for r in block], [r["text"] for r in block], masks)), docs.schema)
+    return docs
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

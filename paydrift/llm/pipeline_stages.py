@@ -1,18 +1,50 @@
-"""Stages of the corpus pipeline over tables shaped like ``documents``."""
+"""Stages of the corpus pipeline over tables shaped like ``documents``.
+
+Every stage takes all rows its predecessor kept. Rows with a null text count as empty, rows with a null doc_id pass
+as documents of their own; an empty table passes as an empty table. All but the last stage return the columns they got.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_qda
+from . import bpe, decontam, pii, quality_qda, set_join
 from .texts import table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    kept = quality_qda.classify(spark, docs, table(spark, sf_dir, "labels")).where(F.col("predicted") == 1).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return quality_qda.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of linked documents the one with the smallest id; of repeated rows one."""
+    kept = set_join.classes(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]).union(docs.where("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by the names of their kinds; n_chars follows the new text."""
+    clean = pii.redact(docs, pii.train(docs))
+    return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType)) if "n_chars" in clean.columns else clean
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and whether decoding them gives the text back."""
+    coded = bpe.decode(bpe.encode(docs))
+    return coded.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded", "text")
 
 
-STAGES = [("quality_classifier", keep_quality)]
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("ngram_jaccard_join", keep_one_of_each),
+    ("benchmark_decontamination", drop_contaminated),
+    ("personal_data", redact_personal_data),
+    ("bpe_encoding", encode_tokens),
+]

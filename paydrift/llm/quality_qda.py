@@ -100,13 +100,13 @@ def fit(rows: DataFrame, label: str = "label", features: list[str] | None = None
     return Discriminant(names, tuple(means), tuple(factors), tuple(offsets), prior)
 
 
-def score(rows: DataFrame, model: Discriminant, name: str = "score") -> DataFrame:
-    """Probability of label 1 from the difference of the two log densities."""
+def probability(statistics: list[Column], model: Discriminant) -> Column:
+    """Probability of label 1 from the difference of the two log densities; each statistic is worked out once."""
     if not model.means:
-        return rows.withColumn(name, F.lit(float(model.prior)))
+        return F.lit(float(model.prior))
 
-    def density(c: int) -> Column:
-        centred = [F.col(x) - F.lit(float(m)) for x, m in zip(model.features, model.means[c])]
+    def density(x: Column, c: int) -> Column:
+        centred = [F.get(x, i) - F.lit(float(m)) for i, m in enumerate(model.means[c])]
         total = F.lit(0.0)
         for i, line in enumerate(model.factors[c]):
             z = F.lit(0.0)
@@ -115,8 +115,16 @@ def score(rows: DataFrame, model: Discriminant, name: str = "score") -> DataFram
             total = total + z * z
         return F.lit(model.offsets[c]) - F.lit(0.5) * total
 
-    gap = F.least(F.greatest(density(0) - density(1), F.lit(-700.0)), F.lit(700.0))
-    return rows.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(gap)))
+    def odds(x: Column) -> Column:
+        gap = F.least(F.greatest(density(x, 0) - density(x, 1), F.lit(-700.0)), F.lit(700.0))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(gap))
+
+    return F.element_at(F.transform(F.array(F.array(*statistics)), lambda x: odds(x)), 1)
+
+
+def score(rows: DataFrame, model: Discriminant, name: str = "score") -> DataFrame:
+    """Adds the probability from columns of the model's statistics."""
+    return rows.withColumn(name, probability([F.col(x) for x in model.features], model))
 
 
 def fold(doc_id: Column) -> Column:
@@ -127,6 +135,13 @@ def labels_of(labels: DataFrame, value: str = "quality") -> DataFrame:
     return labels.where(F.col(value).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(value).alias("label"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are predicted 1, with all their columns, scored where they are read."""
+    rows = with_statistics(docs.select("doc_id", "text")).drop("text").where(F.coalesce(fold(F.col("doc_id")) != 0, F.lit(False)))
+    model = fit(rows.join(labels_of(labels), "doc_id"))
+    return docs.where(probability(list(statistics(F.col("text")).values()), model) >= THRESHOLD)
+
+
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; labels of held-out rows are not learned from."""
     rows = with_statistics(docs.select("doc_id", "text")).drop("text")
