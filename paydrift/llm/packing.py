@@ -14,21 +14,48 @@ rows again. Null and empty texts have no tokens and no segment; null doc_ids sta
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .bpe import encode
-from .texts import column_bytes, table
+from .bpe import PATTERN, read_model, replaced, tokenizer_path
+from .texts import blocks, column_bytes, table
 
 CONTEXT, BLOCK_TOKENS, PAD = 2048, 2_000_000, 0
 SCHEMA = "pack_id long, n_tokens long, n_segments long, doc_ids array<long>, doc_starts array<long>, cu_seqlens array<int>, ids binary, positions binary"
 
 
+RANKS = "byte_bpe_50k.tiktoken"
+_LOADED: dict[bytes, tiktoken.Encoding] = {}
+
+
+def token_ids(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """Adds ``ids`` of the whole text as ordinary text (no special tokens), from a file of tokens and ranks.
+
+    Packing takes ids from any encoder; this one is the library's, since tokens are not what is dealt here.
+    """
+    model = read_model(path or tokenizer_path(RANKS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if model not in _LOADED:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, model.splitlines())}
+            _LOADED[model] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        own = _LOADED[model]
+        for batch in batches:
+            for part, _, _ in blocks(batch, text):
+                column = part.column(part.schema.get_field_index(text)).to_pylist()
+                yield replaced(part, {"ids": pa.array([np.array(own.encode_ordinary(x or ""), "<u4").tobytes() for x in column], pa.binary())})
+
+    return docs.mapInArrow(run, T.StructType([f for f in docs.schema.fields if f.name != "ids"] + [T.StructField("ids", T.BinaryType())]))
+
+
 class Capacities:
     """Open rows by free room; a segment tree tells the least room of at least a given size."""
 
@@ -150,7 +177,7 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 
 def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    packed = pack(token_ids(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     return packed.select("pack_id", "n_tokens", "n_segments", "doc_ids", "doc_starts", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
 
 
