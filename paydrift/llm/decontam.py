@@ -147,7 +147,7 @@ def item_blocks(items: DataFrame, size: int = BLOCK_ITEMS) -> Iterator[list]:
     ordered = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     last = None
     while True:
-        rest = ordered if last is None else ordered.where(F.struct("item_id", "text") > F.struct(F.lit(last[0]), F.lit(last[1])))
+        rest = ordered if last is None else ordered.where((F.col("item_id") > last[0]) | ((F.col("item_id") == last[0]) & (F.col("text") > last[1])))
         block = rest.orderBy("item_id", "text").limit(size).collect()
         if block:
             yield block
