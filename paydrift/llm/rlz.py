@@ -74,3 +74,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_substring_dedup": op2_substring_dedup}
+ORACLES = {"op2_substring_dedup": """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM w, unnest(range(1, len(ws) - 11)) AS t(i)),
+m AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+gone AS (SELECT DISTINCT win.doc_id, i + o AS j FROM win JOIN m USING (k), range(13) AS r(o) WHERE m.d < win.doc_id),
+x AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS j FROM w),
+k AS (SELECT x.doc_id, count(*) FILTER (g.j IS NOT NULL) AS n_removed, string_agg(x.x, ' ' ORDER BY x.j) FILTER (g.j IS NULL) AS kept
+      FROM x LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.j = x.j GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)"""}

@@ -170,3 +170,17 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_suffix_dedup": op5_suffix_dedup}
+ORACLES = {"op5_suffix_dedup": """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n_bytes FROM b),
+win AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS k FROM n, unnest(range(1, n_bytes - 48)) AS t(i)),
+m AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+hit AS (SELECT win.doc_id, i, lag(i) OVER (PARTITION BY win.doc_id ORDER BY i) AS p FROM win JOIN m USING (k) WHERE m.d < win.doc_id),
+run AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 49 AS z FROM run GROUP BY doc_id, r),
+gap AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+agg AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, max(z) AS last,
+               string_agg(substr(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) AS kept FROM gap JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN agg USING (doc_id)"""}
