@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,9 +61,8 @@ def stage_gate(df: DataFrame, keys: Sequence[str]) -> None:
 
 def newer_run_guard(spark: SparkSession, path: str, period, run_id: int, run_col: str = "run_id") -> None:
     """Refuse to overwrite a period that was written from a newer summary."""
-    old = read_or_none(spark, f"{path}/period={period}")
-    if old is not None:
-        last = old.agg(F.max(run_col)).first()[0]
+    if read_or_none(spark, f"{path}/log") is not None:
+        last = read_mart(spark, path).where(F.col("period").cast("string") == str(period)).agg(F.max(run_col)).first()[0]
         if last is not None and last > run_id:
             raise GateError(f"period {period} holds run {last}, newer than {run_id}")
 
@@ -72,14 +72,21 @@ def newer_run_guard(spark: SparkSession, path: str, period, run_id: int, run_col
 def mart_replace_period(df: DataFrame, path: str, period, owner: str) -> None:
     """Replace exactly one owner's rows of one period; a name that stopped firing disappears.
 
-    The directory of (period, owner) is overwritten as a whole, which dynamic partition overwrite
-    would not do for partitions missing from the new rows.
+    The rows are written beside the old ones as a version of their own. Only then one appended log row names it,
+    so a write that fails on the way leaves the period as it was, and readers never see a part of one.
     """
-    df.write.mode("overwrite").parquet(f"{path}/period={period}/owner={owner}")
+    spark, version = df.sparkSession, uuid4().hex
+    df.write.parquet(f"{path}/rows/period={period}/owner={owner}/v=r{version}")
+    log = read_or_none(spark, f"{path}/log")
+    step = 1 + ((log.agg(F.max("step")).first()[0] or 0) if log is not None else 0)
+    spark.createDataFrame([(str(period), owner, f"r{version}", step)], "p string, o string, v string, step long").coalesce(1).write.mode("append").parquet(f"{path}/log")
 
 
 def read_mart(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The rows of every period and owner's latest version."""
+    latest = spark.read.parquet(f"{path}/log").groupBy("p", "o").agg(F.max_by("v", "step").alias("v"))
+    rows = spark.read.parquet(f"{path}/rows").withColumns({"p": F.col("period").cast("string"), "o": F.col("owner").cast("string")})
+    return rows.join(latest, ["p", "o", "v"], "left_semi").drop("p", "o", "v")
 
 
 def mart_swap(frames: dict[str, DataFrame], path: str, run_id: int, checks: Callable[[dict[str, DataFrame]], bool]) -> bool:
