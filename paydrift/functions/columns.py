@@ -31,10 +31,10 @@ def restore_digits(org_id: ColLike, digits: ColLike) -> Column:
     return F.lpad(s, F.greatest(F.length(s), _c(digits)), F.lit("0"))
 
 
-def pseudonym(ids: Sequence[ColLike], salt: str, chars: int = 12) -> Column:
-    """Stable masked key of one or several ids."""
+def pseudonym(ids: Sequence[ColLike], salt: str) -> Column:
+    """Stable masked key of one or several ids: the whole digest, so that two ids never share a key."""
     parts = [_c(i).cast("string") for i in ids]
-    return F.substring(F.md5(F.concat_ws(":", *parts, F.lit(salt))), 1, chars)
+    return F.md5(F.concat_ws(":", *parts, F.lit(salt)))
 
 
 def null_key_sentinel(key: ColLike, value: int = -1) -> Column:

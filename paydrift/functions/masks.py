@@ -28,8 +28,13 @@ def one_bit(i: Column | int) -> Column:
 
 
 def build_mask(condition: Column, mi: Column) -> Column:
-    """Aggregate: OR of the period bits of the rows where the condition holds."""
-    return F.bit_or(F.when(condition, one_bit(mi)).otherwise(F.lit(0).cast("bigint")))
+    """Aggregate: OR of the period bits of the rows where the condition holds.
+
+    A period outside 0..59 has no bit of its own: the row stops the job instead of setting another period's.
+    """
+    outside = F.raise_error(F.concat(F.lit(f"period outside 0..{MAX_PERIODS - 1}: "), mi.cast("string"))).cast("bigint")
+    bit = F.when(mi.isNull(), F.lit(None).cast("bigint")).when(mi.between(0, MAX_PERIODS - 1), one_bit(mi)).otherwise(outside)
+    return F.bit_or(F.when(condition, bit).otherwise(F.lit(0).cast("bigint")))
 
 
 def mask_bit(mask: Column, i: Column | int) -> Column:

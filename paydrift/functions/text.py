@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,9 +93,13 @@ PERSON_MARKS = (
 
 
 def has_person_name(name, marks: Sequence[str] = PERSON_MARKS) -> Column:
+    """One match for the marks that ignore case and one for the rest."""
+    flag = "(?iu)"
+    groups = ([m.removeprefix(flag) for m in marks if m.startswith(flag)], [m for m in marks if not m.startswith(flag)])
     hit = F.lit(False)
-    for m in marks:
-        hit = hit | _c(name).rlike(m)
+    for prefix, own in zip((flag, ""), groups):
+        if own:
+            hit = hit | _c(name).rlike(prefix + "|".join(f"(?:{m})" for m in own))
     return F.coalesce(hit, F.lit(False))
 
 
@@ -134,18 +138,16 @@ def leak_check(texts: DataFrame, text_col: str, id_col: str, names: DataFrame, n
     """Real names that occur as whole words in finished texts.
 
     Names are matched as word runs: a text yields its distinct runs of exactly the lengths the names
-    have, so the check is an equi-join however many names there are.
+    have, so the check is an equi-join however many names there are. No names: no rows.
     """
     clean = lambda c: F.trim(F.regexp_replace(c, r"[^А-Яа-яЁёA-Za-z0-9]+", " "))
     book = names.select(F.col(name_col), clean(F.col(name_col)).alias("gram")).where("gram <> ''").distinct()
-    sizes = sorted(r["k"] for r in book.select(F.size(F.split("gram", " ")).alias("k")).distinct().limit(100).collect())
-    t = texts.select(F.col(id_col), F.split(clean(F.col(text_col)), " ").alias("w"))
-
-    def runs(k: int) -> Column:
-        start = F.sequence(F.lit(1), F.size("w") - (k - 1))
-        return F.when(F.size("w") >= k, F.transform(start, lambda i: F.array_join(F.slice("w", i, k), " "))).otherwise(F.array().cast("array<string>"))
-
-    grams = t.select(id_col, F.explode(F.array_distinct(F.concat(*[runs(k) for k in sizes]))).alias("gram"))
+    # every length that a name has, as one array in a scalar subquery
+    sizes = book.agg(F.array_sort(F.collect_set(F.size(F.split("gram", " "))))).scalar()
+    t = texts.select(F.col(id_col), F.split(clean(F.col(text_col)), " ").alias("w"), sizes.alias("ks"))
+    per = t.select(id_col, "w", F.explode("ks").alias("k")).where(F.size("w") >= F.col("k"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.array_join(F.slice("w", i, F.col("k")), " "))
+    grams = per.select(id_col, F.explode(F.array_distinct(runs)).alias("gram"))
     return grams.join(book, "gram").select(id_col, name_col).distinct()
 
 
@@ -157,7 +159,7 @@ def norm_text(text) -> Column:
     return F.regexp_replace(t, r"^[ .;:!?]+|[ .;:!?]+$", "")
 
 
-def meaningful(text, templates: Mapping[str, str] | None = None, min_length: int = rw.MIN_LENGTH) -> Column:
+def meaningful(text, templates: Iterable[str] | None = None, min_length: int = rw.MIN_LENGTH) -> Column:
     """Reason for rejecting a note: empty, template, short; 'ok' when it says something."""
     n = norm_text(text)
     known = list((rw.TEMPLATES if templates is None else templates))
@@ -176,7 +178,7 @@ def questionnaire(df: DataFrame, ids: Sequence[str], col: str, marker: str = r"(
 
 
 def outflow_reason(qa: DataFrame, ids: Sequence[str], reasons: Mapping[str, tuple[str, str, str]] | None = None,
-                   hints: Sequence[str] = rw.OUTFLOW_QUESTIONS, templates: Mapping[str, str] | None = None) -> DataFrame:
+                   hints: Sequence[str] = rw.OUTFLOW_QUESTIONS, templates: Iterable[str] | None = None) -> DataFrame:
     """Reason of leaving from the checklist: first answered reason question; unknown reasons are flagged."""
     reasons = rw.OUTFLOW_REASONS if reasons is None else reasons
     spark = qa.sparkSession
@@ -190,7 +192,7 @@ def outflow_reason(qa: DataFrame, ids: Sequence[str], reasons: Mapping[str, tupl
     first = hit.groupBy(*ids).agg(F.min_by(F.struct("ans", "answer"), "pos").alias("f")).select(*ids, "f.ans", "f.answer")
     free = F.col("reason").isNull()
     return first.join(book, "ans", "left").select(
-        *ids, F.coalesce("reason", F.substring("answer", 1, 80)).alias("reason"), F.coalesce("action", F.lit("")).alias("action"),
+        *ids, F.coalesce("reason", "answer").alias("reason"), F.coalesce("action", F.lit("")).alias("action"),
         F.coalesce("verdict", F.lit("work")).alias("verdict"), free.alias("needs_review"))
 
 

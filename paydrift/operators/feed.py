@@ -65,12 +65,12 @@ def size_class(pf_max: Column, edges: Sequence[int] = (10000, 1000, 100)) -> Col
 
 
 def collapse_summary(summary: DataFrame, orgs: DataFrame, hold_min: int, org_min: int, edges: Sequence[int] = (10000, 1000, 100)) -> DataFrame:
-    """Summary folded to the attributes slices need; big organisations and holdings get masked codes.
+    """Summary folded to the attributes slices need; big organisations and holdings get masked codes (whole digests).
 
     Each measure comes with the number of active rows where it is unknown. A measure an old summary
     lacks is unknown everywhere.
     """
-    code = lambda c, p: F.concat(F.lit(p), F.substring(F.md5(c.cast("string")), 1, 8))
+    code = lambda c, p: F.concat(F.lit(p), F.md5(c.cast("string")))
     om = summary.groupBy("mi", "org").agg(F.sum("pf_recip").alias("pf")).groupBy("org").agg(F.max("pf").alias("pf_max"))
     big = (om.join(orgs.select("org", "hold"), "org").where("hold is not null").groupBy("hold").agg(F.count(F.lit(1)).alias("n"), F.sum("pf_max").alias("s"))
            .where((F.col("n") >= 2) & (F.col("s") >= hold_min)).select("hold", F.lit(True).alias("big")))

@@ -20,9 +20,9 @@ _ACT = "(coalesce(s.pf_recip, 0) > 0 OR coalesce(s.m_base_pf, 0) > 0)"
 cte("coll", f"""WITH om AS (SELECT org, max(pf) AS pm FROM (SELECT mi, org, sum(pf_recip) AS pf FROM summ GROUP BY 1, 2) GROUP BY 1),
  hs AS (SELECT hold FROM om JOIN orgs USING (org) WHERE hold IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 AND sum(pm) >= {HOLD_MIN})
  SELECT s.mi, coalesce(g.seg_rep, '(none)') AS seg_rep, coalesce(o.seg, '(not in dimension)') AS seg_cur, s.region, s.unit, coalesce(o.industry, '(not given)') AS industry,
-  CASE WHEN hs.hold IS NOT NULL THEN 'holding ' || substr(md5(hs.hold), 1, 8) END AS hold_code,
+  CASE WHEN hs.hold IS NOT NULL THEN 'holding ' || md5(hs.hold) END AS hold_code,
   CASE WHEN pm >= 60 THEN '1) 60+' WHEN pm >= 45 THEN '2) 45+' WHEN pm >= 30 THEN '3) 30+' ELSE '4) under 30' END AS size,
-  CASE WHEN pm >= {ORG_MIN} THEN 'org ' || substr(md5(s.org), 1, 8) END AS org_code,
+  CASE WHEN pm >= {ORG_MIN} THEN 'org ' || md5(s.org) END AS org_code,
   {', '.join(f'sum(s.{m}) AS {m}, count(*) FILTER (WHERE s.{m} IS NULL AND {_ACT}) AS nn_{m}' for m in fd.MEASURES)}
  FROM summ s LEFT JOIN om ON om.org = s.org LEFT JOIN orgs o ON o.org = s.org LEFT JOIN hs ON hs.hold = o.hold LEFT JOIN sseg g ON g.mi = s.mi AND g.org = s.org GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9""", "summ", "orgs", "sseg")
 

@@ -26,7 +26,7 @@ def _(i):
     return orders(i).select("o_orderkey", fc.restore_digits("o_custkey", F.lit(5)).alias("org"))
 
 
-@query("pseudonym", "SELECT c_custkey, substr(md5(concat_ws(':', c_custkey, c_nationkey, 'salt')), 1, 12) AS masked FROM customer")
+@query("pseudonym", "SELECT c_custkey, md5(concat_ws(':', c_custkey, c_nationkey, 'salt')) AS masked FROM customer")
 def _(i):
     return i.table("customer").select("c_custkey", fc.pseudonym(["c_custkey", "c_nationkey"], "salt").alias("masked"))
 
@@ -270,7 +270,7 @@ _BOOK = {"": ("r0", "a0", "work")}
 
 @query("outflow_reason", f"""WITH q AS ({_QA}), h AS (SELECT doc_id, pos, answer, {_NORM.replace('text', 'answer')} AS ans FROM q WHERE contains(lower(question), 'the') OR contains(lower(question), 'le ')),
  f AS (SELECT doc_id, arg_min(ans, pos) AS ans, arg_min(answer, pos) AS answer FROM h WHERE ans <> '' GROUP BY 1)
- SELECT doc_id, md5(substr(answer, 1, 80)) AS reason, '' AS action, 'work' AS verdict, true AS needs_review FROM f""")
+ SELECT doc_id, md5(answer) AS reason, '' AS action, 'work' AS verdict, true AS needs_review FROM f""")
 def _(i):
     qa = tx.questionnaire(i.table("documents"), ["doc_id"], "text", r"\. ")
     return tx.outflow_reason(qa, ["doc_id"], _BOOK, ("the", "le "), {}).withColumn("reason", F.md5("reason"))

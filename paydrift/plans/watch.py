@@ -140,12 +140,16 @@ def _(i):
     return wa.unit_move_evidence(c, 1, 0.2)
 
 
-@query("cover_parents", f"""WITH k AS (SELECT grp, sign(out_left - base * 0.66) AS sg, sum(out_left - base * 0.66::DOUBLE) AS e FROM wpan WHERE mi = {MI} AND region < 12 GROUP BY 1, 2), p AS (SELECT grp, sum(out_left - base * 0.66::DOUBLE) AS delta FROM wpan WHERE mi = {MI} GROUP BY 1)
+#: Share of the base that would leave anyway; both sides of the check use it.
+USUAL = 0.66
+
+
+@query("cover_parents", f"""WITH k AS (SELECT grp, sign(out_left - base * {USUAL}::DOUBLE) AS sg, sum(out_left - base * {USUAL}::DOUBLE) AS e FROM wpan WHERE mi = {MI} AND region < 12 GROUP BY 1, 2), p AS (SELECT grp, sum(out_left - base * {USUAL}::DOUBLE) AS delta FROM wpan WHERE mi = {MI} GROUP BY 1)
  SELECT p.grp, 'out_left' AS flow, round(delta, 4) AS delta, round(e, 4) AS explained FROM p LEFT JOIN k ON k.grp = p.grp AND k.sg = sign(p.delta) WHERE coalesce(abs(e), 0) < 0.7 * abs(delta)""", "wpan")
 def _(i):
-    d = (F.col("out_left") - F.col("base") * 0.6).alias("delta")
+    d = (F.col("out_left") - F.col("base") * USUAL).alias("delta")
     x = Watch(i).panel.where(F.col("mi") == MI)
-    parents = x.groupBy("grp").agg(F.sum(F.col("out_left") - F.col("base") * 0.6).alias("delta")).withColumn("flow", F.lit("out_left"))
+    parents = x.groupBy("grp").agg(F.sum(F.col("out_left") - F.col("base") * USUAL).alias("delta")).withColumn("flow", F.lit("out_left"))
     return wa.cover_parents(parents, x.where("region < 12").select("grp", F.lit("out_left").alias("flow"), d), ["grp"]).select("grp", "flow", "delta", "explained")
 
 

@@ -8,8 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here relies on: adaptive joins with skew splitting (hot organisations and
-# persons are expected), UTC dates, and co-partitioning on a subset of the join keys so that a
-# frame already hashed by person is not shuffled again for a (person, org) join.
+# persons are expected) and UTC dates.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -274,3 +274,37 @@ def test_no_python_workers_in_core_plans(spark):
     m = sm.triple_masks(st)
     plan = sm.movement_out(m, st, orgs(spark), 1, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("mi", [60, 64, -1])
+def test_periods_without_a_bit_stop_the_job(spark, mi):
+    df = spark.createDataFrame([(1, 0), (1, mi)], "k int, mi int")
+    assert df.where("mi = 0").groupBy("k").agg(mk.build_mask(F.lit(True), F.col("mi")).alias("m")).first()["m"] == 1
+    with pytest.raises(Exception, match="period outside"):
+        df.groupBy("k").agg(mk.build_mask(F.lit(True), F.col("mi"))).collect()
+    assert df.groupBy("k").agg(mk.build_mask(F.col("mi") == 0, F.col("mi")).alias("m")).first()["m"] == 1
+
+
+def test_leaks_of_names_of_any_length(spark):
+    names = [(" ".join(f"n{k}x{i}" for i in range(k)),) for k in range(1, 131)]
+    texts = spark.createDataFrame([(1, "; ".join(n for n, in names)), (2, "nothing here"), (3, None)], "id int, t string")
+    book = spark.createDataFrame(names, "name string")
+    assert tx.leak_check(texts, "t", "id", book).where("id = 1").count() == 130
+    assert tx.leak_check(texts, "t", "id", book.where("false")).count() == 0
+
+
+def test_failed_write_keeps_the_period(spark, tmp_path):
+    p = str(tmp_path / "mart")
+    a = spark.createDataFrame([("x", 1), ("y", 9)], "name string, v int")
+    marts.mart_replace_period(a, p, "2024-01", "o1")
+    with pytest.raises(Exception, match="broken"):
+        marts.mart_replace_period(a.withColumn("v", F.when(F.col("v") > 5, F.raise_error(F.lit("broken")).cast("int")).otherwise(F.col("v"))), p, "2024-01", "o1")
+    assert marts.read_mart(spark, p).count() == 2
+    marts.mart_replace_period(a.where("false"), p, "2024-01", "o1")
+    assert marts.read_mart(spark, p).count() == 0
+
+
+def test_parents_covered_by_children_are_dropped(spark):
+    parents = spark.createDataFrame([("a", "f", -10.0), ("b", "f", -10.0), ("c", "f", 10.0)], "grp string, flow string, delta double")
+    kids = spark.createDataFrame([("a", "f", -8.0), ("b", "f", -3.0), ("b", "f", 9.0), ("c", "f", -9.0)], "grp string, flow string, delta double")
+    assert {r["grp"] for r in wa.cover_parents(parents, kids, ["grp"]).collect()} == {"b", "c"}
