@@ -25,7 +25,11 @@ from .chunks import chunk_count, in_chunks, joined_codes, key_counts, pieces
 from .texts import BYTE_CODES, GRAM_STEP, blocks, grams, mix, window_min, words
 
 MOST = 64
-SENT = "bucket int, chunk int, docs binary, sizes binary, body binary"
+#: Text scanned at once: its arrays of eight bytes a symbol stay near the processor.
+SCAN_BYTES = 512 << 10
+#: Buckets of segments for each bucket of keys; segments are many times as long as keys.
+FINER = 4
+SENT = "bucket int, chunk int, keys binary, docs binary, sizes binary, body binary"
 BACK = "chunk int, bucket int, kind int, codes binary"
 FULL = (1 << MOST) - 1
 
@@ -56,7 +60,7 @@ class Scheme:
 
     def scan(self, docs: pa.Table) -> Iterator[Block]:
         for batch in docs.combine_chunks().to_batches():
-            for part, buf, off in blocks(batch):
+            for part, buf, off in blocks(batch, size=SCAN_BYTES):
                 yield self.block(part.column(part.schema.get_field_index("doc_id")).to_pylist(), buf, off)
 
     def block(self, doc_ids: list[int], buf: np.ndarray, off: np.ndarray) -> Block:
@@ -80,8 +84,9 @@ class Scheme:
             while have < self.gram:
                 step = min(have, self.gram - have)
                 # a gram of have + step bytes from the grams at its start and ``step`` further on
-                hashes = mix(hashes[:-step] * GRAM_STEP + hashes[step:]) if len(hashes) > step else hashes[:0]
+                hashes = hashes[:-step] * (GRAM_STEP << np.uint64(1) ^ np.uint64(2 * have + 1)) + hashes[step:] if len(hashes) > step else hashes[:0]
                 have += step
+            hashes = mix(hashes)
 
             def content(a: int, b: int) -> bytes:
                 return raw[a:b]
@@ -156,7 +161,8 @@ class Segments:
         value = np.array(self.values, np.uint64)
         #: contents by bucket; equal hashes keep the order in which they were met
         self.order = np.argsort(value, kind="stable")
-        self.borders = pieces(value[self.order], n)
+        self.borders = pieces(value[self.order], FINER * n)
+        self.keys = (value >> np.uint64(32 - ((FINER * n).bit_length() - 1))).astype(np.uint32)
 
     def sent(self, chunk: int) -> pa.Table:
         at, order = self.borders, self.order
@@ -164,6 +170,7 @@ class Segments:
         docs, sizes = np.array(self.docs, np.int64), np.array([len(x) for x in self.bodies], np.uint32)
         return pa.table({
             "bucket": pa.array(full, pa.int32()), "chunk": pa.array(np.full(len(full), chunk), pa.int32()),
+            "keys": pa.array([self.keys[order[at[b]:at[b + 1]]].tobytes() for b in full], pa.binary()),
             "docs": pa.array([docs[order[at[b]:at[b + 1]]].tobytes() for b in full], pa.binary()),
             "sizes": pa.array([sizes[order[at[b]:at[b + 1]]].tobytes() for b in full], pa.binary()),
             "body": pa.array([zlib.compress(b"".join([self.bodies[i] for i in order[at[b]:at[b + 1]]]), 1) for b in full], pa.binary())})
@@ -191,20 +198,31 @@ Method = Callable[[list[bytes], list[int]], list[int]]
 
 def bucket_task(method: Method):
     def task(rows: pa.Table) -> pa.Table:
-        origin, bodies, docs = [], [], []
-        for r, (raw_docs, raw_sizes, raw) in enumerate(zip(rows["docs"].to_pylist(), rows["sizes"].to_pylist(), rows["body"].to_pylist())):
+        origin, bodies, docs, keys = [], [], [], []
+        for r, (raw_keys, raw_docs, raw_sizes, raw) in enumerate(zip(*(rows[c].to_pylist() for c in ("keys", "docs", "sizes", "body")))):
             body, at = zlib.decompress(raw), 0
-            for doc, size in zip(np.frombuffer(raw_docs, np.int64).tolist(), np.frombuffer(raw_sizes, np.uint32).tolist()):
+            for size in np.frombuffer(raw_sizes, np.uint32).tolist():
                 bodies.append(body[at:at + size])
-                docs.append(doc)
-                origin.append(r)
                 at += size
+            own = np.frombuffer(raw_docs, np.int64).tolist()
+            docs += own
+            keys += np.frombuffer(raw_keys, np.uint32).tolist()
+            origin += [r] * len(own)
         least: dict[bytes, int] = {}
-        for body, doc in zip(bodies, docs):
-            if doc < least.get(body, doc + 1):
+        contents: dict[int, int] = {}
+        key_of: dict[bytes, int] = {}
+        for body, doc, key in zip(bodies, docs, keys):
+            known = least.get(body)
+            if known is None:
+                contents[key] = contents.get(key, 0) + 1
+                key_of[body] = key
+                least[body] = doc
+            elif doc < known:
                 least[body] = doc
-        ordered = sorted(least, key=lambda x: (least[x], x))
-        mask = dict(zip(ordered, method(ordered, [least[x] for x in ordered])))
+        # equal windows are filed under one hash: a hash with one content left has nothing to compare
+        mask = dict.fromkeys(least, 0)
+        ordered = sorted([x for x in least if contents[key_of[x]] > 1], key=lambda x: (least[x], x))
+        mask.update(zip(ordered, method(ordered, [least[x] for x in ordered])))
         out = np.array([FULL if doc > least[body] else mask[body] for body, doc in zip(bodies, docs)], np.uint64)
         at = np.searchsorted(origin, np.arange(rows.num_rows + 1))
         return pa.table({"chunk": rows["chunk"], "bucket": rows["bucket"], "kind": pa.array(np.ones(rows.num_rows), pa.int32()),
@@ -229,8 +247,8 @@ def shared_passages(docs: DataFrame, scheme: Scheme, method: Method) -> DataFram
         for b, windows in found.removed(answers.filter(pa.array(kind == 1))):
             total = int(b.at[-1])
             edge = np.zeros(total + 1, np.int32)
-            np.add.at(edge, windows, 1)
-            np.add.at(edge, windows + scheme.width, -1)
+            edge[windows] += 1
+            edge[windows + scheme.width] -= 1
             gone = np.cumsum(edge[:total]) > 0
             for d, doc_id in enumerate(b.doc_ids):
                 own = gone[b.at[d]:b.at[d + 1]]
