@@ -85,7 +85,9 @@ def gram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH) -> DataFrame:
     """One row, ``ratios``: for each bucket the log of trusted over corpus probability, counted over all rows."""
-    known = docs.where(F.col("doc_id").isNotNull()).join(trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("t", F.lit(1)), "doc_id", "left")
+    # labels grow with the documents: the same merge join at every size, no broadcast while they happen to be few
+    marks = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("t", F.lit(1)).hint("merge")
+    known = docs.where(F.col("doc_id").isNotNull()).join(marks, "doc_id", "left")
     nameless = docs.where(F.col("doc_id").isNull()).withColumn("t", F.lit(None).cast("int"))
     rows = known.select("text", "t").union(nameless.select("text", "t"))
     counts = rows.select(F.coalesce("t", F.lit(0)).alias("t"), F.explode(gram_buckets(F.col("text"), buckets)).alias("b")).groupBy("b").agg(F.sum("t").alias("target"), F.count(F.lit(1)).alias("raw"))
