@@ -9,12 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from statistics import NormalDist
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
+from ..session import stage_table
 from .calendar import _exact
 from .series import scaffold
 
@@ -174,21 +176,43 @@ def _tail(u: Column) -> Column:
     return F.least(0.5 * w, w / (math.sqrt(2 * math.pi) * F.greatest(u, F.lit(1e-300))))
 
 
-def z_threshold(bounds: DataFrame, budget: float, lo: float = 1.0, hi: float = 8.0, steps: int = 141, people: float = MIN_PEOPLE, share: float = MIN_SHARE) -> DataFrame:
-    """Smallest z of a fixed grid whose summed tail bounds, with the materiality floor, stay in the budget.
-
-    One pass: every supported row is exploded to the grid and summed per z, in place of a bisection that
-    reads the frame once per step.
-    """
-    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: lo + i * ((hi - lo) / (steps - 1)))
-    x = bounds.where("supported").select("center", "sigma", floor_of(F.col("base"), people, share).alias("fl"), F.explode(grid).alias("z"))
-    c, sd, fl, z = F.col("center"), F.col("sigma"), F.col("fl"), F.col("z")
+def _false_bound(z: Column) -> Column:
+    """Bound on the chance that a row passes both its limit at ``z`` and the floor ``fl``, by chance alone."""
+    c, sd, fl = F.col("center"), F.col("sigma"), F.col("fl")
     top, a = c + z * sd, c - z * sd
     mx, mn = F.greatest(top, F.log(fl)), F.least(top, F.log(fl))
     upper = (mx + F.log1p(F.exp(mn - mx)) - c) / sd
     lower = F.when(a > F.log1p(fl), _tail((c - a - F.log1p(-F.exp(F.log(fl) - a))) / sd)).otherwise(0.0)
-    sums = x.groupBy("z").agg(F.sum(_tail(upper) + lower).alias("false_bound"))
-    return sums.where(F.col("false_bound") <= budget).agg(F.min("z").alias("z"), F.min_by("false_bound", "z").alias("false_bound"))
+    return _tail(upper) + lower
+
+
+def z_threshold(bounds: DataFrame, budget: float, people: float = MIN_PEOPLE, share: float = MIN_SHARE, points: int = 32, passes: int = 6) -> DataFrame:
+    """Smallest z whose summed false-alarm bounds over all supported rows, with the materiality floor, stay in the budget.
+
+    The sum falls with z. The upper end is doubled until it holds; then every pass sums ``points`` places of the
+    interval in one aggregation over the rows and keeps the part where the budget is crossed. No row: z is 0.
+    """
+    # three numbers a row, written once: the passes do not repeat what led to them
+    x = stage_table(bounds.where("supported").select("center", "sigma", floor_of(F.col("base"), people, share).alias("fl")), f"z-bounds-{uuid4().hex}")
+
+    def sums(places: list[float]) -> list[float]:
+        return [v or 0.0 for v in x.agg(*[F.sum(_false_bound(F.lit(z))).alias(f"b{k}") for k, z in enumerate(places)]).first()]
+
+    lo, hi = 0.0, 8.0
+    at_lo, at_hi = sums([lo, hi])
+    if at_lo <= budget:
+        hi, at_hi = lo, at_lo
+    while at_hi > budget:
+        lo, hi = hi, 2 * hi
+        at_hi = sums([hi])[0]
+    for _ in range(passes if hi > lo else 0):
+        places = [lo + (hi - lo) * k / points for k in range(1, points)]
+        for z, v in zip(places, sums(places)):
+            if v <= budget:
+                hi, at_hi = z, v
+                break
+            lo = z
+    return bounds.sparkSession.createDataFrame([(hi, at_hi)], "z double, false_bound double")
 
 
 def pick_signals(scans: dict[str, DataFrame], mi: int, people: float = MIN_PEOPLE, share: float = MIN_SHARE) -> DataFrame:
@@ -271,11 +295,18 @@ def card_frame(signals: DataFrame, seasonal: DataFrame) -> DataFrame:
 
 
 def detect(pan: DataFrame, flows: Sequence[str], mi: int, budget: float, people: float, share: float, min_base: float) -> DataFrame:
-    """Rows, then parents: peer expectation, offset, log interval, common threshold, signals, cover."""
-    scans = {}
-    for f in flows:
-        x = row_offset(peer_expected(pan, f, min_base), f)
-        scans[f] = log_count_interval(x, f, z_normal(1000, budget))
+    """Rows, then parents: peer expectation, offset, log interval, common threshold, signals, cover.
+
+    The threshold is one z for all rows and flows of the month, so that the chance alarms of all of them together
+    stay within ``budget``; it follows from how many rows there are and how wide their limits are.
+    """
+    expected = {f: row_offset(peer_expected(pan, f, min_base), f) for f in flows}
+    limits = None
+    for f, x in expected.items():
+        own = log_count_interval(x, f, 1.0).where(F.col("mi") == mi).select("center", "sigma", "base", "supported")
+        limits = own if limits is None else limits.unionByName(own)
+    z = z_threshold(limits, budget, people, share).first()["z"]
+    scans = {f: log_count_interval(x, f, z) for f, x in expected.items()}
     rows = pick_signals(scans, mi, people, share).withColumn("delta", F.col("obs") - F.col("expected"))
     meta = pan.select(*ROW, "grp", "region").distinct()
     kids = rows.join(meta, list(ROW))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import functions as F
 
 from ..operators import watch as wa
-from .registry import cte, query
+from .registry import CTES, cte, query
 
 MI, MINB = 73, 4
 
@@ -117,7 +118,20 @@ def _(i):
     return Watch(i).interval().select("key", "mi", "expected", "upper", "lower", "z", "supported")
 
 
-@query("z_threshold")
+_T = lambda u: f"least(0.5 * exp(-0.5 * pow({u}, 2)), exp(-0.5 * pow({u}, 2)) / (sqrt(2 * pi()) * greatest({u}, 1e-300)))"
+_UP = _T("((greatest(center + z * sigma, ln(fl)) + ln(1 + exp(-abs(center + z * sigma - ln(fl))))) - center) / sigma")
+_LO = _T("((center - (center - z * sigma) - ln(1 - exp(least(ln(fl) - (center - z * sigma), -1e-12)))) / sigma)")
+
+
+def threshold_sql(rows: str, budget: float) -> str:
+    """Bisection over all rows (center, sigma, fl) from 0 to 64."""
+    return f"""WITH RECURSIVE f AS MATERIALIZED ({rows}), s(k, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 64.0::DOUBLE UNION ALL
+  SELECT k + 1, CASE WHEN b > {budget} THEN z ELSE lo END, CASE WHEN b > {budget} THEN hi ELSE z END FROM (SELECT k, lo, hi, z, sum({_UP} + CASE WHEN center - z * sigma > ln(1 + fl) THEN {_LO} ELSE 0 END) AS b
+   FROM (SELECT *, (lo + hi) / 2 AS z FROM s WHERE k < 60), f GROUP BY k, lo, hi, z))
+ SELECT hi AS z FROM s WHERE k = 60"""
+
+
+@query("z_threshold", f"SELECT round(z, 4) AS z, 0.5::DOUBLE AS false_bound FROM ({threshold_sql(f'SELECT center, sigma, greatest(1.0, 0) AS fl FROM wlog WHERE mi = {MI} AND ok', 0.5)})", "wlog")
 def _(i):
     return wa.z_threshold(Watch(i).interval().where(F.col("mi") == MI), 0.5, people=1.0, share=0.0)
 
@@ -176,6 +190,27 @@ def _(i):
     return wa.simple_rival(Watch(i).panel, "out_left", MI)
 
 
-@query("watch_detect")
+# The cascade, level by level: limits of both flows at one common z, rows over them, segments that rows do not explain.
+BUDGET, FLOWS = 60.0, ("out_left", "in_new")
+for _f in FLOWS:
+    for _n in ("wexp", "woff", "wlog"):
+        _needs, _body = CTES[_n]
+        _body = re.sub(r"\b(wexp|woff)\b", rf"\1_{_f}", _body.replace("out_left", _f)).replace("raw >= 1 ", f"raw >= {wa.MIN_NULL_MEAN} ")
+        cte(f"{_n}_{_f}", _body, *[f"{_x}_{_f}" if _x in ("wexp", "woff") else _x for _x in _needs])
+cte("wz", threshold_sql(" UNION ALL ".join(f"SELECT center, sigma, greatest(0.25, 0) AS fl FROM wlog_{f} WHERE mi = {MI} AND ok" for f in FLOWS), BUDGET), *[f"wlog_{f}" for f in FLOWS])
+cte("wrow", " UNION ALL ".join(f"""SELECT key, grp, '{f}' AS flow, {f} AS obs, mean AS expected, greatest({f} - greatest(exp(center + z * sigma) - 1, mean), least(greatest(exp(center - z * sigma) - 1, 0), mean) - {f}) AS excess
+ FROM wlog_{f}, wz WHERE mi = {MI} AND ok""" for f in FLOWS), "wz", *[f"wlog_{f}" for f in FLOWS])
+cte("wbest", "SELECT * FROM wrow WHERE excess >= 0.25 QUALIFY row_number() OVER (PARTITION BY key ORDER BY excess DESC, flow DESC) = 1", "wrow")
+cte("wseg", " UNION ALL ".join(f"""SELECT grp, '{f}' AS flow, obs, ex AS expected, obs - ex AS delta, abs(obs - ex) - 4 * s AS excess FROM (WITH t AS (SELECT grp, mi, sum(base) AS base, sum({f}) AS obs, sum({f}) / greatest(sum(base), 1) AS rate FROM wpan GROUP BY 1, 2),
+  p AS (SELECT a.*, CASE WHEN a.mi >= 16 THEN y.rate * CASE WHEN ago > 0 THEN now / ago ELSE 1 END END AS pred FROM (SELECT *, avg(rate) OVER (PARTITION BY grp ORDER BY mi RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) AS now,
+   avg(rate) OVER (PARTITION BY grp ORDER BY mi RANGE BETWEEN 15 PRECEDING AND 13 PRECEDING) AS ago FROM t) a LEFT JOIN t y ON y.grp = a.grp AND y.mi = a.mi - 12),
+  e AS (SELECT grp, rate - pred AS e FROM p WHERE mi < {MI} AND pred IS NOT NULL), m AS (SELECT grp, median(e) AS m FROM e GROUP BY 1), d AS (SELECT e.grp, median(abs(e - m)) AS mad FROM e JOIN m USING (grp) GROUP BY 1)
+  SELECT p.grp, obs, pred * base AS ex, greatest(1.4826 * mad * base, sqrt(greatest(pred * base, 1))) AS s FROM p JOIN d USING (grp) WHERE mi = {MI}) WHERE abs(obs - ex) - 4 * s >= 0.25""" for f in FLOWS), "wpan")
+
+
+@query("watch_detect", f"""WITH k AS (SELECT grp, flow, sign(obs - expected) AS sg, sum(obs - expected) AS explained FROM wbest GROUP BY 1, 2, 3),
+ c AS (SELECT 'row' AS level, key, flow, obs, expected, obs - expected AS delta, excess FROM wbest UNION ALL
+  SELECT 'slice', w.grp, w.flow, obs, expected, delta, excess FROM wseg w LEFT JOIN k ON k.grp = w.grp AND k.flow = w.flow AND k.sg = sign(delta) WHERE coalesce(abs(explained), 0) < 0.7 * abs(delta))
+ SELECT level, key, flow, CAST(obs AS BIGINT) AS obs, round(expected, 4) AS expected, round(delta, 4) + 0.0 AS delta, round(excess, 4) + 0.0 AS excess, row_number() OVER (PARTITION BY level ORDER BY excess DESC, key, flow) AS rank FROM c""", ("wbest", "wseg"))
 def _(i):
-    return wa.detect(Watch(i).panel, ("out_left", "in_new"), MI, 500.0, 0.25, 0.0, MINB)
+    return wa.detect(Watch(i).panel, FLOWS, MI, BUDGET, 0.25, 0.0, MINB)
