@@ -158,12 +158,31 @@ def metrics(pred: DataFrame, by: Sequence[str] = COMBO) -> DataFrame:
 
 def rank_correlation(pred: DataFrame, by: Sequence[str] = ("mi",)) -> DataFrame:
     """Spearman correlation of predicted and actual change, ties by average rank."""
+    by = list(by)
     x = pred.select(*by, F.round(F.col("pred") - F.col("base"), 9).alias("x"), (F.col("fact") - F.col("base")).cast("double").alias("y"))
-    w = W.partitionBy(*by)
+    # equal pairs are one row with a weight, so a common value (no change) is small before any shuffle on it
+    pairs = x.where("x is not null and y is not null").groupBy(*by, "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    r = pairs.join(average_ranks(pairs, by, "x"), [*by, "x"]).join(average_ranks(pairs, by, "y"), [*by, "y"])
+    a, b, w = F.col("rank_x"), F.col("rank_y"), F.col("w")
+    s = r.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
+    n, sa, sb = F.col("n"), F.col("a"), F.col("b")
+    spread = F.sqrt((n * F.col("aa") - sa * sa) * (n * F.col("bb") - sb * sb))
+    return s.select(*by, F.try_divide(n * F.col("ab") - sa * sb, spread).alias("spearman"))
 
-    def avg_rank(c: str) -> Column:
-        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(*by, c)) - 1) / 2.0
-    return x.withColumns({"rx": avg_rank("x"), "ry": avg_rank("y")}).groupBy(*by).agg(F.corr("rx", "ry").alias("spearman"))
+
+def average_ranks(rows: DataFrame, by: Sequence[str], col: str, parts: int = 200) -> DataFrame:
+    """Average rank of every value of ``col`` (rows weigh ``w``) per ``by``, without sorting a whole key in one task.
+
+    Values are cut at approximate quantiles into parts; ranks run inside a part and start after the rows of the
+    parts below it. The cuts decide only where the parts lie, ranks are exact wherever they lie.
+    """
+    v = rows.groupBy(*by, col).agg(F.sum("w").alias("c"))
+    cuts = v.groupBy(*by).agg(F.percentile_approx(col, [k / parts for k in range(1, parts)], 1000).alias("cuts"))
+    v = v.join(cuts, list(by)).select(*by, col, "c", F.size(F.filter("cuts", lambda q: q <= F.col(col))).alias("part"))
+    per = v.groupBy(*by, "part").agg(F.sum("c").alias("n"))
+    below = per.select(*by, "part", F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("below"))
+    inside = F.coalesce(F.sum("c").over(W.partitionBy(*by, "part").orderBy(col).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    return v.join(below, [*by, "part"]).select(*by, col, (F.col("below") + inside + (F.col("c") + 1) / 2).alias(f"rank_{col}"))
 
 
 def coverage(pan: DataFrame) -> DataFrame:

@@ -38,18 +38,24 @@ def top_and_rest(df: DataFrame, groups: Sequence[str], key: str, value: str, *,
                  k: int | None = None, pinned: Sequence = (), rest: str = "others") -> DataFrame:
     """Keys above a share (or the first k) stay, the tail becomes one summed row per group.
 
-    ``df`` has one row per key and is small per group; ranks use a window over the grouped keys.
+    The first k are found by a limited sort (or a limited rank per group), which Spark cuts before the shuffle;
+    the other keys are never sorted.
     """
     g = df.groupBy(*groups, key).agg(F.sum(value).alias(value))
-    w = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
     keep = F.lit(False)
     if min_share is not None:
         total = g.groupBy(*groups).agg(F.sum(value).alias("_t"))
         g = g.join(total, list(groups)) if groups else g.withColumn("_t", total.scalar())
         keep = F.col(value) >= min_share * F.col("_t")
     if k is not None:
-        g = g.withColumn("_r", F.row_number().over(w.orderBy(F.desc(value), F.asc(key))))
-        keep = F.col("_r") <= k
+        order = (F.desc(value), F.asc(key))
+        top = g.withColumn("_r", F.row_number().over(W.partitionBy(*groups).orderBy(*order))).where(F.col("_r") <= k) if groups else g.orderBy(*order).limit(k)
+        top = top.select(*[F.col(c).alias(f"_{c}") for c in (*groups, key)], F.lit(True).alias("_keep"))
+        same = F.lit(True)
+        for c in (*groups, key):
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        g = g.join(top, same, "left")
+        keep = F.coalesce("_keep", F.lit(False))
     if pinned:
         keep = keep | F.col(key).isin(list(pinned))
     label = F.when(keep, F.col(key).cast("string")).otherwise(rest)
