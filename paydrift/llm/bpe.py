@@ -94,6 +94,10 @@ class Encoder(Decoder):
             self.parts.setdefault(c, (rank, a, b))
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pattern = regex.compile(PATTERN)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the caches."""
         self.edges: tuple[dict, dict] = ({}, {})
         self.beside: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
@@ -233,8 +237,8 @@ def _schema(df: DataFrame, add: list[T.StructField]) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in names] + add)
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """Adds ``n_tokens`` and ``ids`` of the whole text."""
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", decoded: bool = False) -> DataFrame:
+    """Adds ``n_tokens`` and ``ids`` of the whole text; with ``decoded`` also what the ids decode to, by the same worker."""
     model = read_model(path or tokenizer_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,9 +247,12 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
             for part, _, _ in blocks(batch, text, BATCH_BYTES):
                 column = part.column(part.schema.get_field_index(text))
                 ids = own.encode_batch([x or "" for x in column.to_pylist()])
-                yield replaced(part, {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
+                back = {"decoded": pa.array([own.decode(x) for x in ids], pa.string())} if decoded else {}
+                yield replaced(part, {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())} | back)
+        own.forget()  # the worker may idle while other stages need the memory
 
-    return docs.mapInArrow(run, _schema(docs, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]))
+    back = [T.StructField("decoded", T.StringType())] if decoded else []
+    return docs.mapInArrow(run, _schema(docs, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *back]))
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -263,7 +270,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
