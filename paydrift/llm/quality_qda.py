@@ -100,12 +100,12 @@ def fit(rows: DataFrame, label: str = "label", features: list[str] | None = None
     return Discriminant(names, tuple(means), tuple(factors), tuple(offsets), prior)
 
 
-def probability(statistics: list[Column], model: Discriminant) -> Column:
-    """Probability of label 1 from the difference of the two log densities; each statistic is worked out once."""
+def odds(x: Column, model: Discriminant) -> Column:
+    """Probability of label 1 from the difference of the two log densities at an array of the model's statistics."""
     if not model.means:
         return F.lit(float(model.prior))
 
-    def density(x: Column, c: int) -> Column:
+    def density(c: int) -> Column:
         centred = [F.get(x, i) - F.lit(float(m)) for i, m in enumerate(model.means[c])]
         total = F.lit(0.0)
         for i, line in enumerate(model.factors[c]):
@@ -115,16 +115,13 @@ def probability(statistics: list[Column], model: Discriminant) -> Column:
             total = total + z * z
         return F.lit(model.offsets[c]) - F.lit(0.5) * total
 
-    def odds(x: Column) -> Column:
-        gap = F.least(F.greatest(density(x, 0) - density(x, 1), F.lit(-700.0)), F.lit(700.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(gap))
-
-    return F.element_at(F.transform(F.array(F.array(*statistics)), lambda x: odds(x)), 1)
+    gap = F.least(F.greatest(density(0) - density(1), F.lit(-700.0)), F.lit(700.0))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(gap))
 
 
 def score(rows: DataFrame, model: Discriminant, name: str = "score") -> DataFrame:
     """Adds the probability from columns of the model's statistics."""
-    return rows.withColumn(name, probability([F.col(x) for x in model.features], model))
+    return rows.withColumn(name, F.element_at(F.transform(F.array(F.array(*map(F.col, model.features))), lambda x: odds(x, model)), 1))
 
 
 def fold(doc_id: Column) -> Column:
@@ -139,7 +136,11 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted 1, with all their columns, scored where they are read."""
     rows = with_statistics(docs.select("doc_id", "text")).drop("text").where(F.coalesce(fold(F.col("doc_id")) != 0, F.lit(False)))
     model = fit(rows.join(labels_of(labels), "doc_id"))
-    return docs.where(probability(list(statistics(F.col("text")).values()), model) >= THRESHOLD)
+    found = statistics(F.col("text"))
+    # the last statistic is a product of two others; in an array of expressions its costly factor would be worked out again
+    own = F.array(*[found[x] for x in FEATURES[:-1]])
+    every = F.transform(F.array(own), lambda x: F.concat(x, F.array(F.get(x, FEATURES.index("f_kinds")) * F.get(x, FEATURES.index("f_length")))))
+    return docs.where(F.element_at(F.transform(every, lambda x: odds(x, model)), 1) >= THRESHOLD)
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
