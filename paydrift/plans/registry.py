@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+#: Costly stages that several later ones read: worked out once per statement.
+ONCE = frozenset({"summ", "coll", "sl", "kn", "cmpn"})
 
 
 def cte(name: str, body: str, *needs: str) -> None:
@@ -29,7 +31,7 @@ def with_stages(needs: tuple[str, ...], body: str) -> str:
 
     for n in needs:
         visit(n)
-    parts = [f"{n} AS ({CTES[n][1]})" for n in order]
+    parts = [f"{n} AS {'MATERIALIZED ' * (n in ONCE)}({CTES[n][1]})" for n in order]
     body = body.strip()
     if body[:15].upper() == "WITH RECURSIVE ":
         return "WITH RECURSIVE " + ", ".join(parts + [body[15:]])
