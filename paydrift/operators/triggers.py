@@ -7,6 +7,7 @@ counted from the end period.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -193,7 +194,7 @@ def run_triggers(parts: Sequence[DataFrame], gate: DataFrame, path: str, period:
     missing = marts.first_missing(gate).first()
     if missing:
         raise marts.GateError(f"no data in {missing['source']}; latest date {missing['last_date']}")
-    stage = stage_table(union_triggers(parts), f"triggers/{owner}/{period}")
+    stage = stage_table(union_triggers(parts), f"triggers/{owner}/{period}/{uuid4().hex}")
     marts.stage_gate(stage, [*PAIR, "trigger_name"])
     marts.mart_replace_period(stage, path, period, owner)
     return marts.read_mart(stage.sparkSession, path)
