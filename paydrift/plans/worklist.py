@@ -28,11 +28,17 @@ class Work:
 
     @cached_property
     def panel(self):
+        return self.i.staged("work_panel", self._panel)
+
+    def _panel(self):
         p = self.i.payroll.groupBy(F.col("person").alias("org"), "mi").agg(F.count(F.lit(1)).alias("fl"), F.sum("amt").alias("fot"), F.countDistinct("part").alias("staff"))
         return p.join(self.cust.select("org", "old_unit", "unit", "region", "seg"), "org").withColumns({"staff": F.col("staff") + F.col("org") % 3, "potential": F.col("org") % 7})
 
     @cached_property
     def net(self):
+        return self.i.staged("work_net", self._net)
+
+    def _net(self):
         f = self.panel.groupBy("unit", "region", "seg", "org").agg(F.lit(1).alias("_"))
         x = self.panel.select("org", "mi", "fl")
         prev = x.select("org", (F.col("mi") + 1).alias("mi"), F.col("fl").alias("prev"))
@@ -42,17 +48,26 @@ class Work:
 
     @cached_property
     def plan(self):
+        return self.i.staged("work_plan", self._plan)
+
+    def _plan(self):
         d = F.to_date("o_orderdate")
         o = self.i.table("orders").select(F.col("o_custkey").alias("org"), ((F.year(d) - 1995) * 12 + F.month(d) - 1).alias("mi"), (F.col("o_orderkey") % 11).alias("emp"), (F.col("o_orderkey") % 6).alias("plan"))
         return o.join(self.cust.select("org", "unit"), "org")
 
     @cached_property
     def fact(self):
+        return self.i.staged("work_fact", self._fact)
+
+    def _fact(self):
         p = self.i.payroll.select(F.col("person").alias("org"), "mi", (F.col("part") % 11).alias("emp"), F.lit(1).alias("fact"))
         return p.join(self.cust.select("org", "unit"), "org")
 
     @cached_property
     def tasks(self):
+        return self.i.staged("work_tasks", self._tasks)
+
+    def _tasks(self):
         d = F.to_date("o_orderdate")
         k = F.col("o_orderkey")
         o = self.i.table("orders").select(
