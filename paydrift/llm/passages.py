@@ -128,6 +128,17 @@ class Scheme:
         return np.unique(v[once], return_counts=True)
 
 
+def by_content(value: np.ndarray, bodies: list[bytes]) -> np.ndarray:
+    """The order of ``value``, and of the contents where values are equal."""
+    order = np.argsort(value, kind="stable")
+    ranked = value[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(order) else np.zeros(0, np.int64)
+    ends = np.append(first[1:], len(order))
+    for a, z in zip(first[ends - first > 1].tolist(), ends[ends - first > 1].tolist()):
+        order[a:z] = sorted(order[a:z].tolist(), key=bodies.__getitem__)
+    return order
+
+
 class Segments:
     """A chunk's distinct segments that other documents may share, in one fixed order, and where they occur."""
 
@@ -159,8 +170,8 @@ class Segments:
             self.places.append((doc, b.starts[own], b.counts[own], which))
         self.bodies = list(known)
         value = np.array(self.values, np.uint64)
-        #: contents by bucket; equal hashes keep the order in which they were met
-        self.order = np.argsort(value, kind="stable")
+        #: contents by bucket; equal hashes are ordered by content, as a chunk's rows come in another order when read again
+        self.order = by_content(value, self.bodies)
         self.borders = pieces(value[self.order], FINER * n)
         self.keys = (value >> np.uint64(32 - ((FINER * n).bit_length() - 1))).astype(np.uint32)
 

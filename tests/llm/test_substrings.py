@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from paydrift.llm import rlz, suffix
-from paydrift.llm.passages import removed_count
+from paydrift.llm.passages import Scheme, Segments, removed_count
 
 from .data import WORD, documents, none, odd, rows_of, texts
 
@@ -93,3 +95,19 @@ def test_suffix_order_is_the_sorted_order():
         windows = [text[i:i + width] for i in starts[order]]
         assert windows == sorted(windows) and sorted(order) == starts.tolist()
         assert new.tolist() == [True] + [a != b for a, b in zip(windows, windows[1:])]
+
+
+def test_segments_are_the_same_in_any_row_order():
+    rng = random.Random(4)
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [(d, " ".join(f"d{d}x{rng.randrange(99)}" for _ in range(20)) + " " + passage + " " + " ".join(f"e{d}y{i}" for i in range(20))) for d in range(12)]
+    for scheme in (Scheme(13, 5, True), Scheme(50, 20, False)):
+        seen = set()
+        for _ in range(4):
+            rng.shuffle(rows)
+            docs = pa.table({"chunk": pa.array([0] * len(rows), pa.int32()), "doc_id": [d for d, _ in rows], "text": [t for _, t in rows]})
+            codes = np.ones(len(scheme.keys(docs)[0]), np.uint8)
+            segments = Segments(scheme, docs, pa.table({"bucket": [0], "codes": [zlib.compress(codes.tobytes())]}), 64)
+            assert len(set(segments.values)) < len(segments.values)
+            seen.add(tuple((segments.values[i], segments.bodies[i], segments.docs[i]) for i in segments.order))
+        assert len(seen) == 1
