@@ -6,12 +6,18 @@ segments, runs of windows filed under one hash (``MOST`` windows at most). First
 has are ruled out by counting them over all documents; then the segments of the others go to a bucket of their
 hash, once per chunk and content, with the smallest document that has them there. A bucket's method says for
 each segment which of its windows also start in a document with a smaller id, one bit a window, and the chunk
-puts the bits together. A passage that every document has is one segment per chunk in its buckets; no pair of
-documents is ever formed, and no text is compared by anything but its own bytes.
+puts the bits together.
+
+Segments at the edges of a shared passage hold the document's own words, so a hash with many segments would bring
+them all to one bucket. Segments of a hash with ``HOT`` of them or more are not sent: each of their windows goes by
+itself to the bucket of its 128-bit digest, once per chunk with the smallest document that has it there. So a
+window that every document has is one entry per chunk, and no bucket holds all documents of a passage. No pair of
+documents is ever formed; below ``HOT`` texts are compared by their own bytes, above it windows by their digests.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -21,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import chunk_count, in_chunks, joined_codes, key_counts, pieces
+from .chunks import chunk_count, count_code, in_chunks, joined_codes, key_counts, pieces
 from .texts import BYTE_CODES, GRAM_STEP, blocks, grams, mix, window_min, words
 
 MOST = 64
@@ -29,7 +35,9 @@ MOST = 64
 SCAN_BYTES = 512 << 10
 #: Buckets of segments for each bucket of keys; segments are many times as long as keys.
 FINER = 4
-SENT = "bucket int, chunk int, keys binary, docs binary, sizes binary, body binary"
+#: From so many segments of one hash on, by the codes of its count, windows are filed one by one.
+HOT = 1024
+SENT = "bucket int, chunk int, kind int, keys binary, docs binary, sizes binary, body binary"
 BACK = "chunk int, bucket int, kind int, codes binary"
 FULL = (1 << MOST) - 1
 
@@ -114,8 +122,15 @@ class Scheme:
             first = np.flatnonzero(run % MOST == 0)
         return Block(doc_ids, at, held[first], places[first], np.diff(np.append(first, len(places))), content, kept)
 
+    def windows(self, body: bytes) -> list[bytes]:
+        """The windows of a segment's content, in order."""
+        if not self.of_words:
+            return [body[i:i + self.width] for i in range(len(body) - self.width + 1)]
+        own = body.split(b" ")
+        return [b" ".join(own[i:i + self.width]) for i in range(len(own) - self.width + 1)]
+
     def keys(self, docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes of a chunk and how many of its documents have each."""
+        """Distinct hashes of a chunk and the number of its segments that have each; one for a lone document with few."""
         values, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for b in self.scan(docs):
             doc = np.searchsorted(b.at, b.starts, "right") - 1
@@ -124,8 +139,12 @@ class Scheme:
         v, d = np.concatenate(values), np.concatenate(of)
         order = np.lexsort((d, v))
         v, d = v[order], d[order]
-        once = np.append(True, (v[1:] != v[:-1]) | (d[1:] != d[:-1])) if len(v) else np.zeros(0, bool)
-        return np.unique(v[once], return_counts=True)
+        if not len(v):
+            return v, d
+        first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+        ends = np.append(first[1:], len(v))
+        segments = ends - first
+        return v[first], np.where((d[first] != d[ends - 1]) | (segments >= MOST), segments, 1)
 
 
 def by_content(value: np.ndarray, bodies: list[bytes]) -> np.ndarray:
@@ -139,13 +158,31 @@ def by_content(value: np.ndarray, bodies: list[bytes]) -> np.ndarray:
     return order
 
 
+def digest_order(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of digests given as two numbers each, and where a new one begins in it."""
+    by = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    ranked = pairs[by]
+    return by, np.append(True, (ranked[1:] != ranked[:-1]).any(axis=1))[:len(by)]
+
+
+def answered(answers: pa.Table, kind: type, total: int) -> np.ndarray:
+    """What the buckets answer to a chunk, put together in the order of the buckets."""
+    parts = sorted(zip(answers["bucket"].to_pylist(), answers["codes"].to_pylist()))
+    out = np.frombuffer(b"".join([zlib.decompress(c) for _, c in parts]), kind)
+    if len(out) != total:
+        raise ValueError(f"{len(out)} answers for {total} segments or windows")
+    return out
+
+
 class Segments:
     """A chunk's distinct segments that other documents may share, in one fixed order, and where they occur."""
 
-    def __init__(self, scheme: Scheme, docs: pa.Table, answers: pa.Table, n: int):
+    def __init__(self, scheme: Scheme, docs: pa.Table, answers: pa.Table, n: int, hot: int = HOT):
         self.blocks = list(scheme.scan(docs)) if docs.num_rows else []
         keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *[b.values for b in self.blocks]]))
-        shared = keys[joined_codes(answers, len(keys)) > 0]
+        codes = joined_codes(answers, len(keys))
+        shared = keys[codes > 0]
+        many = codes[codes > 0] >= count_code(np.array([hot]))[0]
         known: dict[bytes, int] = {}
         self.values: list[int] = []
         self.docs: list[int] = []
@@ -170,30 +207,55 @@ class Segments:
             self.places.append((doc, b.starts[own], b.counts[own], which))
         self.bodies = list(known)
         value = np.array(self.values, np.uint64)
+        apart = many[np.searchsorted(shared, value)] if len(shared) else np.zeros(0, bool)
         #: contents by bucket; equal hashes are ordered by content, as a chunk's rows come in another order when read again
-        self.order = by_content(value, self.bodies)
+        cold = np.flatnonzero(~apart)
+        self.order = cold[by_content(value[cold], [self.bodies[i] for i in cold])]
         self.borders = pieces(value[self.order], FINER * n)
         self.keys = (value >> np.uint64(32 - ((FINER * n).bit_length() - 1))).astype(np.uint32)
+        #: contents of hot hashes, their windows one after the other: content, place in it, number of the digest
+        self.apart = np.flatnonzero(apart)
+        digests, count = [b""], np.zeros(len(self.apart), np.int64)
+        for i, k in enumerate(self.apart.tolist()):
+            own = [hashlib.blake2b(w, digest_size=16).digest() for w in scheme.windows(self.bodies[k])]
+            digests.append(b"".join(own))
+            count[i] = len(own)
+        pairs = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
+        self.content = np.repeat(self.apart, count)
+        self.step = np.arange(len(pairs)) - np.repeat(np.cumsum(count) - count, count)
+        by, new = digest_order(pairs)
+        self.digest = np.empty(len(pairs), np.int64)
+        self.digest[by] = np.cumsum(new) - 1
+        self.digests = pairs[by[new]]
+        self.least = np.minimum.reduceat(np.array(self.docs, np.int64)[self.content[by]], np.flatnonzero(new)) if len(by) else np.zeros(0, np.int64)
+        self.digest_borders = pieces(self.digests[:, 0], FINER * n)
 
     def sent(self, chunk: int) -> pa.Table:
         at, order = self.borders, self.order
         full = np.flatnonzero(np.diff(at))
         docs, sizes = np.array(self.docs, np.int64), np.array([len(x) for x in self.bodies], np.uint32)
-        return pa.table({
-            "bucket": pa.array(full, pa.int32()), "chunk": pa.array(np.full(len(full), chunk), pa.int32()),
+        segments = pa.table({
+            "bucket": pa.array(full, pa.int32()), "chunk": pa.array(np.full(len(full), chunk), pa.int32()), "kind": pa.array(np.full(len(full), 1), pa.int32()),
             "keys": pa.array([self.keys[order[at[b]:at[b + 1]]].tobytes() for b in full], pa.binary()),
             "docs": pa.array([docs[order[at[b]:at[b + 1]]].tobytes() for b in full], pa.binary()),
             "sizes": pa.array([sizes[order[at[b]:at[b + 1]]].tobytes() for b in full], pa.binary()),
             "body": pa.array([zlib.compress(b"".join([self.bodies[i] for i in order[at[b]:at[b + 1]]]), 1) for b in full], pa.binary())})
+        at = self.digest_borders
+        full = np.flatnonzero(np.diff(at))
+        windows = pa.table({
+            "bucket": pa.array(full, pa.int32()), "chunk": pa.array(np.full(len(full), chunk), pa.int32()), "kind": pa.array(np.full(len(full), 2), pa.int32()),
+            "keys": pa.array([self.digests[at[b]:at[b + 1]].tobytes() for b in full], pa.binary()), "docs": pa.array([self.least[at[b]:at[b + 1]].tobytes() for b in full], pa.binary()),
+            "sizes": pa.array([b""] * len(full), pa.binary()), "body": pa.array([b""] * len(full), pa.binary())})
+        return pa.concat_tables([segments, windows])
 
-    def removed(self, answers: pa.Table) -> Iterator[tuple[Block, np.ndarray]]:
+    def removed(self, answers: pa.Table, windows: pa.Table) -> Iterator[tuple[Block, np.ndarray]]:
         """Each block with a flag for every window that also starts in an earlier document."""
-        parts = sorted(zip(answers["bucket"].to_pylist(), answers["codes"].to_pylist()))
-        bits = np.frombuffer(b"".join([zlib.decompress(c) for _, c in parts]), np.uint64)
         mask = np.zeros(len(self.bodies), np.uint64)
-        if len(bits) != len(mask):
-            raise ValueError(f"{len(bits)} answers for {len(mask)} segments")
-        mask[self.order] = bits
+        mask[self.order] = answered(answers, np.uint64, len(self.order))
+        earlier = answered(windows, np.uint8, len(self.digests))
+        # the chunk's own smallest document of a window may be earlier than that of a content it stands in
+        hit = (earlier[self.digest] > 0) | (self.least[self.digest] < np.array(self.docs, np.int64)[self.content])
+        np.bitwise_or.at(mask, self.content[hit], np.uint64(1) << self.step[hit].astype(np.uint64))
         first = np.array(self.docs, np.int64)
         for b, (doc, start, count, which) in zip(self.blocks, self.places):
             own = np.asarray(b.doc_ids, np.int64)[doc] if len(doc) else doc
@@ -207,8 +269,26 @@ class Segments:
 Method = Callable[[list[bytes], list[int]], list[int]]
 
 
+def earlier_digests(rows: pa.Table) -> pa.Table:
+    """For each window of each row, whether another chunk has it in an earlier document."""
+    own = [np.frombuffer(x, np.int64) for x in rows["docs"].to_pylist()]
+    docs = np.concatenate([np.zeros(0, np.int64), *own])
+    by, new = digest_order(np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint64).reshape(-1, 2))
+    out = np.zeros(len(docs), np.uint8)
+    if len(docs):
+        first = np.flatnonzero(new)
+        least = np.minimum.reduceat(docs[by], first)
+        out[by] = docs[by] > np.repeat(least, np.diff(np.append(first, len(docs))))
+    at = np.append(0, np.cumsum([len(x) for x in own])).astype(np.int64)
+    return pa.table({"chunk": rows["chunk"], "bucket": rows["bucket"], "kind": rows["kind"], "codes": pa.array([zlib.compress(out[at[i]:at[i + 1]].tobytes(), 1) for i in range(rows.num_rows)], pa.binary())})
+
+
 def bucket_task(method: Method):
     def task(rows: pa.Table) -> pa.Table:
+        kind = np.array(rows["kind"].to_pylist(), np.int64)
+        return pa.concat_tables([compared(rows.filter(pa.array(kind == 1))), earlier_digests(rows.filter(pa.array(kind == 2)))])
+
+    def compared(rows: pa.Table) -> pa.Table:
         origin, bodies, docs, keys = [], [], [], []
         for r, (raw_keys, raw_docs, raw_sizes, raw) in enumerate(zip(*(rows[c].to_pylist() for c in ("keys", "docs", "sizes", "body")))):
             body, at = zlib.decompress(raw), 0
@@ -242,20 +322,20 @@ def bucket_task(method: Method):
     return task
 
 
-def shared_passages(docs: DataFrame, scheme: Scheme, method: Method) -> DataFrame:
+def shared_passages(docs: DataFrame, scheme: Scheme, method: Method, hot: int = HOT) -> DataFrame:
     """doc_id, n (symbols), spans (from, to, by symbol) of what is removed, kept bytes; rows without an id keep all."""
     n = chunk_count(docs)
     chunked = in_chunks(docs, n)
     codes = key_counts(chunked, scheme.keys, n).select("chunk", "bucket", F.lit(0).alias("kind"), "codes")
 
     def send(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        return Segments(scheme, rows, answers, n).sent(rows["chunk"][0].as_py() if rows.num_rows else 0)
+        return Segments(scheme, rows, answers, n, hot).sent(rows["chunk"][0].as_py() if rows.num_rows else 0)
 
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
         kind = np.array(answers["kind"].to_pylist(), np.int64)
-        found = Segments(scheme, rows, answers.filter(pa.array(kind == 0)), n)
+        found = Segments(scheme, rows, answers.filter(pa.array(kind == 0)), n, hot)
         doc_ids, sizes, spans, kept = [], [], [], []
-        for b, windows in found.removed(answers.filter(pa.array(kind == 1))):
+        for b, windows in found.removed(answers.filter(pa.array(kind == 1)), answers.filter(pa.array(kind == 2))):
             total = int(b.at[-1])
             edge = np.zeros(total + 1, np.int32)
             edge[windows] += 1
@@ -290,8 +370,8 @@ def whole(docs: DataFrame, scheme: Scheme) -> DataFrame:
     return docs.where(F.col("doc_id").isNull()).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
-def deduplicated(docs: DataFrame, scheme: Scheme, method: Method) -> DataFrame:
-    return shared_passages(docs, scheme, method).union(whole(docs, scheme))
+def deduplicated(docs: DataFrame, scheme: Scheme, method: Method, hot: int = HOT) -> DataFrame:
+    return shared_passages(docs, scheme, method, hot).union(whole(docs, scheme))
 
 
 def removed_count() -> Column:

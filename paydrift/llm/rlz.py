@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .passages import Scheme, deduplicated, removed_count
+from .passages import HOT, Scheme, deduplicated, removed_count
 from .texts import table
 
 WIDTH = 13
@@ -64,9 +64,9 @@ def factor(width: int):
     return method
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, gram: int = 5) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, gram: int = 5, hot: int = HOT) -> DataFrame:
     """doc_id, n (words), spans of removed words, kept (UTF-8, words joined by one space)."""
-    return deduplicated(docs, Scheme(width, gram, True), factor(width))
+    return deduplicated(docs, Scheme(width, gram, True), factor(width), hot)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

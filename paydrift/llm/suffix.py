@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .passages import Scheme, deduplicated, removed_count
+from .passages import HOT, Scheme, deduplicated, removed_count
 from .texts import table
 
 WIDTH, GRAM = 50, 20
@@ -160,9 +160,9 @@ def earlier_windows(width: int):
     return method
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n (bytes), spans of removed bytes, kept bytes."""
-    return deduplicated(docs, Scheme(width, gram, False), earlier_windows(width))
+    return deduplicated(docs, Scheme(width, gram, False), earlier_windows(width), hot)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

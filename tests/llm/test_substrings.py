@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 
 from paydrift.llm import rlz, suffix
-from paydrift.llm.passages import Scheme, Segments, removed_count
+from paydrift.llm.chunks import count_code
+from paydrift.llm.passages import Scheme, Segments, bucket_task, removed_count
 
 from .data import WORD, documents, none, odd, rows_of, texts
 
@@ -111,3 +112,34 @@ def test_segments_are_the_same_in_any_row_order():
             assert len(set(segments.values)) < len(segments.values)
             seen.add(tuple((segments.values[i], segments.bodies[i], segments.docs[i]) for i in segments.order))
         assert len(seen) == 1
+
+
+def hot_rows():
+    """A footer that a third of 240 documents hold, between words of their own; copies, repeated ids and a null id."""
+    rng = random.Random(8)
+    footer = " ".join(f"f{i}" for i in range(40))
+    rows = [(d * 7 % 240, " ".join(f"d{d}x{rng.randrange(99)}" for _ in range(20)) + (" " + footer if d % 3 == 0 else "") + " " + " ".join(f"e{d}y{i}" for i in range(20))) for d in range(240)]
+    return rows + rows[:3] + [(rows[0][0], footer), (None, footer), (-4, "same " * 300), (-3, "same " * 90 + footer)]
+
+
+def test_hot_hashes_by_single_windows(spark):
+    for rows in (hot_rows(), texts()):
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        for hot in (2, 16):
+            assert got(rlz.dedup(frame, hot=hot), "n", "removed", "sha2(kept, 256)") == brute_words(rows, 13)
+            assert got(suffix.dedup(frame, hot=hot), "n", "removed", "cast(size(spans) as bigint)", "sha2(kept, 256)") == brute_bytes(rows, 50)
+
+
+def test_no_bucket_holds_all_documents_of_a_passage():
+    rng = random.Random(9)
+    footer = " ".join(f"f{i}" for i in range(40))
+    for scheme, method in ((Scheme(13, 5, True), rlz.factor(13)), (Scheme(50, 20, False), suffix.earlier_windows(50))):
+        for docs in (1500, 3000):
+            rows = [(d, " ".join(f"d{d}x{rng.randrange(99)}" for _ in range(12)) + " " + footer) for d in range(docs)]
+            table = pa.table({"chunk": pa.array([0] * docs, pa.int32()), "doc_id": [d for d, _ in rows], "text": [t for _, t in rows]})
+            keys, counts = scheme.keys(table)
+            answers = pa.table({"bucket": [0], "codes": [zlib.compress(count_code(counts).tobytes())]})
+            sent = Segments(scheme, table, answers, 64).sent(0)
+            assert all(len(x) // 8 < 1024 for k, x in zip(sent["kind"].to_pylist(), sent["docs"].to_pylist()) if k == 1)
+            back = bucket_task(method)(sent)
+            assert len(back) == len(sent)
