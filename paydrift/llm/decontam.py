@@ -3,9 +3,12 @@
 A seed is a fixed mask over consecutive tokens whose zeros are ignored, so a hit survives substituted
 tokens at those places. All benchmark items are hashed under every mask into sorted key arrays, every
 window of every document is hashed the same way and looked up, and around each hit the item and the
-document are laid side by side: the best run of matches, a substitution costing ``MISMATCH``, decides.
+document are laid side by side: the best run of matches, a substitution costing ``MISMATCH``, is tested, then the
+best runs left and right of it, down to stretches with too few equal tokens. Between the runs that pass, the
+stretches that meet both limits though no best run does are overlaps too, so nothing is lost to the score.
 
-The masks together ignore each position of a window, so every window with one substitution is found.
+The masks together ignore each pair of positions of a window of eight, and three in a row between five and one: any
+stretch of ten equal tokens or more of which three quarters agree has a window that one of them hits.
 Items are taken in blocks of ``BLOCK_ITEMS``; each block's index is bounded by that number and the
 longest item, is sent to the tasks and searched against all documents, so no table size is assumed.
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .texts import GRAM_STEP, Words, blocks, column_bytes, mix, table, words
 
-MASKS = ("11110110", "11011011", "10110111", "01101111", "11101101")
+MASKS = tuple("".join("01"[i not in pair] for i in range(8)) for pair in combinations(range(8), 2)) + ("111110001",)
 BLOCK_ITEMS = 20_000
 #: A run is an overlap when it has at least so many equal tokens (or the whole shorter item) ...
 LEAST_TOKENS = 10
@@ -104,26 +108,64 @@ class Index:
             found.update(map(tuple, rows.tolist()))
         return found
 
-    def overlap(self, hashes: np.ndarray, lo: int, hi: int, item: int, shift: int) -> tuple[int, int] | None:
-        """Token range of the document (between lo and hi) that overlaps the item at this shift."""
+    def overlaps(self, hashes: np.ndarray, lo: int, hi: int, item: int, shift: int) -> list[tuple[int, int]]:
+        """Token ranges of the document (between lo and hi) that overlap the item at this shift."""
         a, b = int(self.bounds[item]), int(self.bounds[item + 1])
         x, y = max(lo, a + shift), min(hi, b + shift)
         same = hashes[x:y] == self.hashes[x - shift:y - shift]
-        gain = np.cumsum(np.where(same, 1, -MISMATCH))
-        low = np.minimum.accumulate(np.append(0, gain))[:-1]
-        end = int(np.argmax(gain - low))
-        start = int(np.argmin(np.append(0, gain)[:end + 1]))
-        equal, length = int(same[start:end + 1].sum()), end + 1 - start
-        if equal >= min(LEAST_TOKENS, b - a) and equal >= LEAST_SHARE * length:
-            return x + start, x + end + 1
-        return None
+        return [(x + s, x + e) for s, e in agreeing(same, min(LEAST_TOKENS, b - a))]
+
+
+def best_run(same: np.ndarray) -> tuple[int, int]:
+    gain = np.cumsum(np.where(same, 1, -MISMATCH))
+    low = np.minimum.accumulate(np.append(0, gain))[:-1]
+    end = int(np.argmax(gain - low))
+    return int(np.argmin(np.append(0, gain)[:end + 1])), end + 1
+
+
+def stretches(same: np.ndarray, need: int) -> list[tuple[int, int]]:
+    """The places, as ranges, of all stretches between equal tokens that have ``need`` of them and ``LEAST_SHARE``."""
+    n = len(same)
+    equal = np.append(0, np.cumsum(same))
+    # a stretch has the share when this is no less at its end than at its start
+    level = equal - LEAST_SHARE * np.arange(n + 1)
+    beyond = np.maximum.accumulate(level[::-1])[::-1]
+    last = n - np.searchsorted(beyond[::-1], level[:-1])
+    starts = np.flatnonzero(same & (equal[last] - equal[:-1] >= need))
+    out: list[tuple[int, int]] = []
+    # what lies behind the last equal token is not part of a stretch
+    ends = np.append(0, np.maximum.accumulate(np.where(same, np.arange(n) + 1, 0)))
+    for a, z in zip(starts.tolist(), ends[last[starts]].tolist()):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def agreeing(same: np.ndarray, need: int) -> list[tuple[int, int]]:
+    """All overlaps in a comparison token by token, in order."""
+    total = np.append(0, np.cumsum(same))
+    found, todo = [], [(0, len(same))]
+    while todo:
+        lo, hi = todo.pop()
+        if total[hi] - total[lo] < need:
+            continue
+        a, z = best_run(same[lo:hi])
+        equal = int(total[lo + z] - total[lo + a])
+        if equal >= need and equal >= LEAST_SHARE * (z - a):
+            found.append((lo + a, lo + z))
+        todo += [(lo, lo + a), (lo + z, hi)]
+    found.sort()
+    free = zip([0, *(z for _, z in found)], [*(a for a, _ in found), len(same)])
+    return sorted(found + [(lo + a, lo + z) for lo, hi in free if total[hi] - total[lo] >= need for a, z in stretches(same[lo:hi], need)])
 
 
 def _runs(index: Index, w: Words) -> dict[int, list[tuple[int, int, int]]]:
     """Overlaps (token from, to, item id) of each document of a block that has any."""
     per: dict[int, list[tuple[int, int, int]]] = {}
     for d, item, shift in sorted(index.hits(w.hashes, w.doc_of())):
-        if run := index.overlap(w.hashes, int(w.bounds[d]), int(w.bounds[d + 1]), item, shift):
+        for run in index.overlaps(w.hashes, int(w.bounds[d]), int(w.bounds[d + 1]), item, shift):
             per.setdefault(d, []).append((int(run[0] - w.bounds[d]), int(run[1] - w.bounds[d]), index.ids[item]))
     return per
 

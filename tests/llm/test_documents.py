@@ -204,6 +204,36 @@ def test_overlaps_with_substitutions_and_short_items(spark):
     assert decontam.clean(odd(spark), bench).columns == odd(spark).columns
 
 
+def test_every_run_at_a_shift_counts(spark):
+    item = [f"t{i}" for i in range(60)]
+
+    def doc(n, *changed):
+        return " ".join(f"c{i}" if i in changed else item[i] for i in range(n))
+
+    # short run first; a hole of 15; a run of 70 % whose first part passes; each fourth token changed
+    docs = [(1, doc(27, 9, 10, 11, 12, 17, 22)), (2, doc(53, *range(20, 35))), (3, doc(60, *range(20, 60, 2))), (4, doc(40, *range(3, 40, 4))), (5, doc(13, 5, 6, 7)), (6, doc(9))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {r["doc_id"]: (r["n_contaminated"], r["spans"]) for r in decontam.contamination(frame, bench).collect()}
+    assert found[1] == (14, "1:13:27") and found[2] == (38, "1:0:20,1:35:53") and found[3][0] >= 20 and found[4] == (39, "1:0:39") and found[5] == (13, "1:0:13") and found[6] == (0, "")
+    assert [r["doc_id"] for r in decontam.clean(frame, bench).collect()] == [6]
+
+
+def test_overlaps_are_found_whenever_a_stretch_meets_both_limits():
+    import random
+    import numpy as np
+    rng = random.Random(6)
+    for _ in range(400):
+        same = np.array([rng.random() < rng.choice([0.6, 0.8]) for _ in range(rng.randrange(1, 45))])
+        good = {(a, z) for a in range(len(same)) for z in range(a + 1, len(same) + 1) if same[a] and same[z - 1] and same[a:z].sum() >= 10 and same[a:z].sum() >= 0.75 * (z - a)}
+        every, found = decontam.stretches(same, 10), decontam.agreeing(same, 10)
+        assert {i for a, z in every for i in range(a, z)} == {i for a, z in good for i in range(a, z)}
+        assert bool(found) == bool(good)
+        for a, z in good:
+            # one of the masks hits inside
+            assert any(all(same[i + k] or m[k] == "0" for k in range(len(m))) for m in decontam.MASKS for i in range(a, z - len(m) + 1))
+
+
 def test_every_leaked_item_is_found(spark):
     sf = "/root/testdata/sf0.01"
     items = rows_of("benchmark", "item_id, text", sf)
