@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .texts import GRAM_STEP, Words, blocks, column_bytes, mix, table, words
+from .texts import GRAM_STEP, Words, blocks, column_bytes, mix, table, words, work_table
 
 MASKS = tuple("".join("01"[i not in pair] for i in range(8)) for pair in combinations(range(8), 2)) + ("111110001",)
 BLOCK_ITEMS = 20_000
@@ -37,6 +37,7 @@ BLOCK_ITEMS = 20_000
 LEAST_TOKENS = 10
 #: ... of which this share agrees; a substitution takes this much from the score of a run.
 LEAST_SHARE, MISMATCH = 0.75, 2
+ROW = "decontam_row"
 SCHEMA = "doc_id long, n_tokens long, n_items long, n_contaminated long, item_ids array<long>, spans string"
 
 _INNER = np.zeros(256, bool)
@@ -170,16 +171,20 @@ def _runs(index: Index, w: Words) -> dict[int, list[tuple[int, int, int]]]:
     return per
 
 
-def _searcher(index: Index):
+_SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("item", pa.int64())]))
+
+
+def _searcher(index: Index, every: bool = True):
+    """All columns but the text, n_tokens and spans, of every row or of those with an overlap."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, off in blocks(batch):
                 w = tokens(buf, off)
                 per = _runs(index, w)
-                spans = [[{"from": a, "to": b, "item": i} for a, b, i in sorted(set(per.get(d, ())))] for d in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(np.diff(w.bounds), pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("item", pa.int64())])))], ["doc_id", "n_tokens", "spans"])
+                which = [d for d in range(part.num_rows) if every or d in per]
+                spans = [[{"from": a, "to": b, "item": i} for a, b, i in sorted(set(per.get(d, ())))] for d in which]
+                own = part.drop_columns(["text"]).take(pa.array(which, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.diff(w.bounds)[which], pa.int64()), pa.array(spans, _SPANS)], [*own.schema.names, "n_tokens", "spans"])
 
     return search
 
@@ -198,18 +203,27 @@ def item_blocks(items: DataFrame, size: int = BLOCK_ITEMS) -> Iterator[list]:
         last = block[-1]
 
 
+def _indexes(items: DataFrame, masks: tuple[str, ...], block_items: int) -> list[Index]:
+    return [Index([r["item_id"] for r in b], [r["text"] for r in b], masks) for b in item_blocks(items, block_items)]
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with a number each, written so that every reader sees the same one."""
+    return work_table(rows.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, n_tokens, spans (token from, to, item) of every document row, for each block of items."""
+    """doc_id, n_tokens, spans (token from, to, item) of every document row, with any number of blocks."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_tokens long, spans array<struct<`from`:long,`to`:long,item:long>>"
-    parts = [rows.mapInArrow(_searcher(Index([r["item_id"] for r in b], [r["text"] for r in b], masks)), schema) for b in item_blocks(items, block_items)]
-    if not parts:
-        parts = [rows.mapInArrow(_searcher(Index([], [], masks)), schema)]
-    if len(parts) == 1:
-        return parts[0]
-    # a document row has one row a block; repeated doc_ids are merged with their copies
-    both = reduce(DataFrame.unionAll, parts)
-    return both.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    found = "n_tokens long, spans array<struct<`from`:long,`to`:long,item:long>>"
+    indexes = _indexes(items, masks, block_items)
+    if len(indexes) < 2:
+        return rows.mapInArrow(_searcher(*indexes or [Index([], [], masks)]), f"doc_id long, {found}")
+    # the first block gives every row, the others rows with an overlap; a row is known by its number, not by its id
+    rows = numbered(rows)
+    both = reduce(DataFrame.unionAll, [rows.mapInArrow(_searcher(x, k == 0), f"doc_id long, {ROW} long, {found}") for k, x in enumerate(indexes)])
+    every = both.groupBy(ROW).agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    return every.select("doc_id", "n_tokens", "spans")
 
 
 def contamination(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, block_items: int = BLOCK_ITEMS) -> DataFrame:

@@ -234,6 +234,18 @@ def test_overlaps_are_found_whenever_a_stretch_meets_both_limits():
             assert any(all(same[i + k] or m[k] == "0" for k in range(len(m))) for m in decontam.MASKS for i in range(a, z - len(m) + 1))
 
 
+def test_rows_stay_rows_at_any_number_of_blocks(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(12)) for c in "ab")
+    docs = [(None, one), (None, "nothing here"), (None, f"{two} and {one}"), (1, one), (1, two), (1, two), (2, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, one), (2, two), (3, "some other item of a few more words than the masks have")], "item_id long, text string")
+
+    def got(block):
+        return sorted(map(str, decontam.contamination(frame, bench, block_items=block).collect()))
+
+    assert len(got(20_000)) == len(docs) and got(1) == got(2) == got(20_000)
+
+
 def test_every_leaked_item_is_found(spark):
     sf = "/root/testdata/sf0.01"
     items = rows_of("benchmark", "item_id, text", sf)
