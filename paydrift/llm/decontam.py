@@ -9,8 +9,9 @@ stretches that meet both limits though no best run does are overlaps too, so not
 
 The masks together ignore each pair of positions of a window of eight, and three in a row between five and one: any
 stretch of ten equal tokens or more of which three quarters agree has a window that one of them hits.
-Items are taken in blocks of ``BLOCK_ITEMS``; each block's index is bounded by that number and the
-longest item, is sent to the tasks and searched against all documents, so no table size is assumed.
+Items are taken in blocks of ``BLOCK_ITEMS`` items and ``BLOCK_TOKENS`` tokens at most (one item at least); each
+block's index is bounded by them and the longest item. Its items are sent to the tasks, which sort the keys, and it
+is searched against all documents by workers of its own job part, so no table size is assumed.
 
 Tokens are runs of letters, digits and bytes beyond ASCII, with A-Z lowered; everything else separates,
 so punctuation and line breaks never hide a passage. Items with fewer tokens than a mask match when all of their
@@ -21,7 +22,7 @@ told apart by their text and reported once. Null item ids are ignored. Extra col
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from .texts import GRAM_STEP, Words, blocks, column_bytes, mix, table, words, work_table
 
 MASKS = tuple("".join("01"[i not in pair] for i in range(8)) for pair in combinations(range(8), 2)) + ("111110001",)
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_TOKENS = 20_000, 200_000
+#: Places of flags for each window of a block's items.
+FLAGS = 16
 #: A run is an overlap when it has at least so many equal tokens (or the whole shorter item) ...
 LEAST_TOKENS = 10
 #: ... of which this share agrees; a substitution takes this much from the score of a run.
@@ -67,11 +70,17 @@ class Index:
         self.ids, self.masks = ids, masks
         w = tokens(*column_bytes(pa.array(texts, pa.large_string())))
         self.hashes, self.bounds = w.hashes, w.bounds
-        lengths = np.diff(self.bounds)
-        item = np.repeat(np.arange(len(ids)), lengths)
+
+    @cached_property
+    def item(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ids)), np.diff(self.bounds))
+
+    @cached_property
+    def tables(self) -> list[tuple]:
+        """(mask, salt, keys in order, token place of each, flags), built where they are used; short items get a mask of their own length."""
+        masks, item, lengths = self.masks, self.item, np.diff(self.bounds)
         left = np.repeat(self.bounds[1:], lengths) - np.arange(len(self.hashes))
-        #: (mask, salt) -> keys in order and the token place of each; short items get a mask of their own length.
-        self.tables = []
+        out = []
         wide = len(masks[0])
         jobs = [(m, s, None) for s, m in enumerate(masks)]
         jobs += [("1" * n, 100 + n, n) for n in sorted(set(lengths[(lengths > 0) & (lengths < wide)].tolist()))]
@@ -84,10 +93,10 @@ class Index:
             place = place[fits]
             order = np.argsort(keys[place], kind="stable")
             # a flag for the low bits of every key rules out nearly all windows before the binary search
-            flags = np.zeros(1 << max(10, (64 * len(order)).bit_length()), bool)
+            flags = np.zeros(1 << max(10, (FLAGS * len(order)).bit_length()), bool)
             flags[(keys[place] & np.uint64(len(flags) - 1)).astype(np.int64)] = True
-            self.tables.append((mask, salt, keys[place][order], place[order], flags))
-        self.item = item
+            out.append((mask, salt, keys[place][order], place[order], flags))
+        return out
 
     def hits(self, hashes: np.ndarray, doc: np.ndarray) -> set[tuple[int, int, int]]:
         """Distinct (document, item, token shift) with at least one equal seed."""
@@ -189,18 +198,19 @@ def _searcher(index: Index, every: bool = True):
     return search
 
 
-def item_blocks(items: DataFrame, size: int = BLOCK_ITEMS) -> Iterator[list]:
-    """Distinct items in order, in lists of ``size``; only one list is in the driver at a time."""
-    ordered = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    last = None
-    while True:
-        rest = ordered if last is None else ordered.where((F.col("item_id") > last[0]) | ((F.col("item_id") == last[0]) & (F.col("text") > last[1])))
-        block = rest.orderBy("item_id", "text").limit(size).collect()
-        if block:
+def item_blocks(items: DataFrame, size: int = BLOCK_ITEMS, most: int | None = None) -> Iterator[list]:
+    """Distinct items in order, in lists of ``size`` items and ``most`` tokens (``BLOCK_TOKENS``)."""
+    ordered = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct().orderBy("item_id", "text")
+    block, total, most = [], 0, most or BLOCK_TOKENS
+    for row in ordered.toLocalIterator():
+        own = len(tokens(*column_bytes(pa.array([row["text"]], pa.large_string()))).hashes)
+        if block and (len(block) == size or total + own > most):
             yield block
-        if len(block) < size:
-            return
-        last = block[-1]
+            block, total = [], 0
+        block.append(row)
+        total += own
+    if block:
+        yield block
 
 
 def _indexes(items: DataFrame, masks: tuple[str, ...], block_items: int) -> list[Index]:
@@ -239,7 +249,7 @@ def contamination(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MA
 
 
 def clean(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The rows of ``docs`` without an overlap with any item, with all their columns; no shuffle."""
+    """The rows of ``docs`` without an overlap with any item, with all their columns; no shuffle with one block of items."""
     def keeper(index: Index):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -249,9 +259,13 @@ def clean(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, blo
 
         return keep
 
-    for block in item_blocks(items, block_items):
-        docs = docs.mapInArrow(keeper(Index([r["item_id"] for r in block], [r["text"] for r in block], masks)), docs.schema)
-    return docs
+    indexes = _indexes(items, masks, block_items)
+    if len(indexes) < 2:
+        return docs.mapInArrow(keeper(indexes[0]), docs.schema) if indexes else docs
+    # each block has workers of its own: a chain of blocks would hold all indexes at once
+    rows = numbered(docs)
+    found = reduce(DataFrame.unionAll, [rows.select(ROW, "text").mapInArrow(_searcher(x, False), f"{ROW} long, n_tokens long, spans array<struct<`from`:long,`to`:long,item:long>>").select(ROW) for x in indexes])
+    return rows.join(found, ROW, "left_anti").select(*docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,19 @@ def test_rows_stay_rows_at_any_number_of_blocks(spark):
     assert len(got(20_000)) == len(docs) and got(1) == got(2) == got(20_000)
 
 
+def test_blocks_end_by_tokens_too(spark, monkeypatch):
+    import pickle
+    texts_of = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 12), ("b", 12), ("c", 40), ("d", 12))]
+    bench = spark.createDataFrame(list(enumerate(texts_of)), "item_id long, text string")
+    assert [[r["item_id"] for r in b] for b in decontam.item_blocks(bench, most=30)] == [[0, 1], [2], [3]]
+    index = decontam.Index([0], [" ".join(f"a{i}" for i in range(2000))], decontam.MASKS)
+    assert len(pickle.dumps(index)) < 40_000
+    docs = spark.createDataFrame([(None, texts_of[3]), (1, "clean"), (1, texts_of[2]), (None, None)], "doc_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_TOKENS", 30)
+    assert sorted(map(str, decontam.clean(docs, bench).collect())) == sorted(map(str, docs.where("text = 'clean' or text is null").collect()))
+    assert sorted(r["n_contaminated"] for r in decontam.contamination(docs, bench).collect()) == [0, 0, 12, 40]
+
+
 def test_every_leaked_item_is_found(spark):
     sf = "/root/testdata/sf0.01"
     items = rows_of("benchmark", "item_id, text", sf)
