@@ -117,6 +117,12 @@ def test_found_spans_and_redaction(spark):
     assert pii.find(odd(spark), detector).count() == len(texts())
 
 
+def test_long_keys_are_proposed_whole():
+    for n in (16, 128, 129, 700, 100_000):
+        text = 'token = "' + ("a1B2c3D4" * n)[:n] + '"'
+        assert ("secret", 9, 9 + n) in pii.candidates(text, [], True)
+
+
 def test_boosted_trees_learn_and_repeat():
     import numpy as np
     rng = np.random.default_rng(0)
