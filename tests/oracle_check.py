@@ -44,7 +44,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     cols, types = rel.columns, dict(zip(rel.columns, map(str, rel.types)))
     if sorted(cols) != sorted(df.columns):
         return False, f"columns {sorted(set(cols) ^ set(df.columns))}"
-    want = {"bigint": ("BIGINT", "INTEGER"), "double": ("DOUBLE",), "string": ("VARCHAR",), "boolean": ("BOOLEAN",)}
+    want = {"bigint": ("BIGINT", "INTEGER"), "int": ("INTEGER",), "double": ("DOUBLE",), "string": ("VARCHAR",), "boolean": ("BOOLEAN",)}
     bad = [(c, t, types[c]) for c, t in df.dtypes if types[c] not in want.get(t, ())]
     right = bag(rel.fetchall(), cols)
     if bad:
