@@ -15,7 +15,7 @@ All comparisons are exact, on full sets: 100 * both >= percent * either.
 Copies are one set: a block of texts sends one row for each of its sets, with the ids that have it, and equal sets of all
 blocks are one name. So neither copies nor near copies become pairs. A region that is larger than ``REGION`` at the greatest
 depth is dealt into blocks, each with the leader; its members that are still apart then meet the other blocks, so nothing
-is capped. Rounds of that kind read sets from a table in the shared folder. Bodies of sets are read only for candidates.
+is capped. Texts are read twice: for signatures, and for the n-grams of the sets that have candidates.
 
 Words are separated by 0x20 and 0x09-0x0D, A-Z lowered; fewer words than n: the whole sequence is the one entry. Null or
 empty texts, or texts without words, have the empty set and are linked with nothing. Texts are used whole, and a text of any
@@ -50,7 +50,7 @@ _rng = np.random.default_rng(12)
 FACTORS = _rng.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: The places of the signature in the order of each tree; the first two are a tree's own.
 ORDERS = np.array([[2 * t, 2 * t + 1, *_rng.permutation([p for p in range(SIGNATURE) if p // 2 != t])[:DEPTHS[-1] - 2]] for t in range(TREES)])
-SET_ROW = "place long, n long, f1 long, f2 long, docs array<long>, nameless int, signature binary, grams binary"
+SET_ROW = "place long, n long, f1 long, f2 long, docs array<long>, nameless int, doc_id long, code long, signature binary"
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -77,29 +77,48 @@ def _set_rows(n: int):
         for batch in batches:
             for part, _, _ in blocks(batch, size=2 * BLOCK_BYTES):
                 own: dict[tuple, list] = {}
-                for doc_id, s in sets_of(pa.Table.from_batches([part]), n):
-                    name = (len(s), *fingerprint(s))
-                    entry = own.setdefault(name, [s, [], 0])
+                for (doc_id, s), code in zip(sets_of(pa.Table.from_batches([part]), n), part.column(2).to_pylist()):
+                    entry = own.setdefault((len(s), *fingerprint(s)), [s, [], 0, code])
                     if doc_id is None:
                         entry[2] += 1
                     else:
+                        if not entry[1]:
+                            entry[3] = code
                         entry[1].append(doc_id)
-                # the body of a set goes out once a task, with a row that has an id
-                new = [name for name, (s, ids, _) in own.items() if len(s) and ids and name not in seen]
+                # the signature of a set goes out once a task, with the first document that has an id
+                new = [name for name, (s, ids, *_) in own.items() if len(s) and ids and name not in seen]
                 seen.update(new)
                 signed = dict(zip(new, signatures([own[x][0] for x in new]))) if new else {}
                 names = list(own)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(range(place, place + len(names)), pa.int64()), *[pa.array([x[i] for x in names], pa.int64()) for i in range(3)],
                     pa.array([own[x][1] for x in names], pa.list_(pa.int64())), pa.array([own[x][2] for x in names], pa.int32()),
-                    pa.array([signed[x].tobytes() if x in signed else None for x in names], pa.binary()),
-                    pa.array([own[x][0].tobytes() if x in signed else None for x in names], pa.binary())],
-                    ["place", "n", "f1", "f2", "docs", "nameless", "signature", "grams"])
+                    pa.array([own[x][1][0] if x in signed else None for x in names], pa.int64()), pa.array([own[x][3] for x in names], pa.int64()),
+                    pa.array([signed[x].tobytes() if x in signed else None for x in names], pa.binary())],
+                    ["place", "n", "f1", "f2", "docs", "nameless", "doc_id", "code", "signature"])
                 place += len(names)
 
     return run
 
 
+def _bodies(n: int):
+    """Sorted n-grams of named sets, from the texts they were taken from; each once a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            for part, _, _ in blocks(batch):
+                rows = pa.Table.from_batches([part])
+                names = zip(*(rows[c].to_pylist() for c in ("n", "f1", "f2")))
+                out = []
+                for name, one, signature, (_, s) in zip(names, rows["set"].to_pylist(), rows["signature"].to_pylist(), sets_of(rows, n)):
+                    if one not in seen and name == (len(s), *fingerprint(s)):
+                        seen.add(one)
+                        out.append((one, signature, s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["set", "signature", "grams"])
+
+    return run
+
+
 def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIGNATURE)
 
@@ -177,7 +196,7 @@ def _star_task(percent: int):
     def run(rows: pa.Table) -> pa.Table:
         name, raw = rows["set"].to_pylist(), rows["grams"].to_pylist()
         group, signature = rows["group"].to_pylist(), _unpacked(rows["signature"])
-        order = sorted(range(len(name)), key=lambda i: (len(raw[i]), name[i]))
+        order = sorted({x: i for i, x in enumerate(name)}.values(), key=lambda i: (len(raw[i]), name[i]))
         found = confirmed(signature[order], [np.frombuffer(raw[i], np.uint64) for i in order], [group[i] for i in order], percent)
         u, v = ([name[order[pair[side]]] for pair in found] for side in (0, 1))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -189,8 +208,8 @@ def _parts(region: int):
     return F.greatest(F.ceil(F.col("k") / (region - 1)), F.ceil(F.col("grams_") / REGION_GRAMS), F.lit(1)).cast("int")
 
 
-def forest_links(sets: DataFrame, bodies: DataFrame, percent: int = PERCENT, region: int = REGION) -> DataFrame:
-    """u, v: links between sets (rows with set, n, signature; bodies have set, signature, grams) that connect all that are linked."""
+def candidates(sets: DataFrame, region: int = REGION) -> DataFrame:
+    """key, leader, parts, set, n: the regions with two sets or more (rows with set, n, signature)."""
     total = sets.count()
     parts = 1 << max(LEAST_CHUNKS - 1, -(-total // CHUNK_SETS) - 1).bit_length()
     chunked = sets.select(F.pmod(F.xxhash64("set"), F.lit(parts)).cast("int").alias("chunk"), "set", "n", "signature")
@@ -198,7 +217,11 @@ def forest_links(sets: DataFrame, bodies: DataFrame, percent: int = PERCENT, reg
     postings = work_table(postings, "regions")
     leaders = postings.groupBy("key").agg(F.min("set").alias("leader"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("grams_")).where("k > 1")
     leaders = leaders.withColumn("parts", _parts(region))
-    members = work_table(postings.join(leaders.select("key", "leader", "parts"), "key"), "members")
+    return work_table(postings.join(leaders.select("key", "leader", "parts"), "key"), "members")
+
+
+def forest_links(members: DataFrame, bodies: DataFrame, percent: int = PERCENT, region: int = REGION) -> DataFrame:
+    """u, v: links between members of regions (bodies have set, signature, grams) that connect all that are linked."""
     stars = members.groupBy("leader", "set").agg(F.first("n").alias("n"))
     whole = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("grams_")).select("leader", (_parts(region) == 1).alias("whole"))
     # a star that is too large for one task falls into its regions, a region that is too large into blocks with its leader
@@ -225,14 +248,15 @@ def forest_links(sets: DataFrame, bodies: DataFrame, percent: int = PERCENT, reg
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, region: int = REGION) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_set_rows(n), SET_ROW)
-    rows = work_table(rows, "forest_rows")
-    signed = F.col("signature").isNotNull()
-    sets = rows.where("n > 0 and size(docs) > 0").groupBy("f1", "f2", "n").agg(
-        F.min(F.when(signed, F.col("place"))).alias("set"), F.min(F.array_min("docs")).alias("least"), F.max("signature").alias("signature"))
-    sets = work_table(sets, "forest_sets")
-    bodies = rows.where(signed).select(F.col("place").alias("set"), "signature", "grams")
-    roots = work_table(components(forest_links(sets.select("set", "n", "signature"), bodies, percent, region)), "forest_roots")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("code"))
+    rows = work_table(texts.mapInArrow(_set_rows(n), SET_ROW), "forest_rows")
+    place = F.when(F.col("signature").isNotNull(), F.struct("place", "doc_id", "code"))
+    sets = rows.where("n > 0 and size(docs) > 0").groupBy("f1", "f2", "n").agg(F.min(place).alias("first"), F.min(F.array_min("docs")).alias("least"), F.max("signature").alias("signature"))
+    sets = work_table(sets.select("f1", "f2", "n", "least", "signature", F.col("first.place").alias("set"), "first.doc_id", "first.code"), "forest_sets")
+    members = candidates(sets.select("set", "n", "signature"), region)
+    wanted = sets.drop("least").join(members.select("set").distinct(), "set", "left_semi")
+    bodies = work_table(texts.join(wanted, ["doc_id", "code"]).mapInArrow(_bodies(n), "set long, signature binary, grams binary"), "bodies")
+    roots = work_table(components(forest_links(members, bodies, percent, region)), "forest_roots")
     tree = roots.select(F.col("u").alias("set"), "root").union(roots.select("root", "root").distinct())
     least = tree.join(sets.select("set", "least"), "set").groupBy("root").agg(F.min("least").alias("component"))
     named = sets.select("f1", "f2", "n", "set", "least").join(tree.join(least, "root").select("set", "component"), "set", "left").select("f1", "f2", "n", F.coalesce("component", "least").alias("component"))
