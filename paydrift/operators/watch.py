@@ -54,10 +54,10 @@ def residual(pan: DataFrame, measures: Sequence[str], atom: Sequence[str] = ("se
     return a.select(*atom, "mi", *[v.alias(m) for m, v in rest.items()], bad.alias("negative"))
 
 
-def calendar_component(pan: DataFrame, min_base: float = 5000, share: float = 0.6, year: int = 12) -> DataFrame:
-    """Common extra of temporary leavers, when most regions show it and single payments grew.
+def calendar_months(pan: DataFrame, min_base: float = 5000, share: float = 0.6, year: int = 12) -> DataFrame:
+    """mi, common: months in which most regions show more temporary leavers than a year ago and single payments grew.
 
-    Regions are folded first; the month's verdict is one row per period joined back to the panel.
+    Regions are folded first; the month's verdict is one row per period.
     """
     reg = pan.groupBy("region", "mi").agg(F.sum("base").alias("b"), F.sum("temp_left").alias("v"))
     reg = reg.withColumn("rate", F.col("v") / F.greatest("b", F.lit(1)))
@@ -66,8 +66,17 @@ def calendar_component(pan: DataFrame, min_base: float = 5000, share: float = 0.
     x = x.withColumns({"delta": F.col("rate") - F.col(f"rate_{year}"), "ok": (F.col("b") >= min_base) & (F.col(f"b_{year}") >= min_base)}).withColumn("hit", F.col("delta") > err)
     m = x.where("ok").groupBy("mi").agg(_n().alias("n"), F.avg(F.col("hit").cast("int")).alias("share"), F.median("delta").alias("common"))
     single = _exact(pan.groupBy("mi").agg(F.sum("single_pay").alias("s")), [], ["s"], (1,)).where("s > s_1").select("mi")
-    m = m.where((F.col("n") >= 3) & (F.col("share") >= share) & (F.col("common") > 0)).join(single, "mi", "left_semi")
-    return pan.join(m.select("mi", "common"), "mi", "left").select(*ROW, "mi", F.coalesce(F.least("temp_left", F.col("common") * F.col("base")), F.lit(0.0)).alias("calendar"))
+    return m.where((F.col("n") >= 3) & (F.col("share") >= share) & (F.col("common") > 0)).join(single, "mi", "left_semi").select("mi", "common")
+
+
+def calendar_part() -> Column:
+    """What a common calendar shift adds to a row's leavers: its temporary leavers, up to the common share of its base."""
+    return F.coalesce(F.least("temp_left", F.col("common") * F.col("base")), F.lit(0.0))
+
+
+def calendar_component(pan: DataFrame, min_base: float = 5000, share: float = 0.6, year: int = 12) -> DataFrame:
+    """Common extra of temporary leavers, when most regions show it and single payments grew, for every row and month."""
+    return pan.join(calendar_months(pan, min_base, share, year), "mi", "left").select(*ROW, "mi", calendar_part().alias("calendar"))
 
 
 def _leave_one_out(rates: DataFrame, by: Sequence[str], name: str, least: int) -> DataFrame:
@@ -84,16 +93,16 @@ def _leave_one_out(rates: DataFrame, by: Sequence[str], name: str, least: int) -
     return x.select(*by, "region", F.when(n >= least, (F.get("o", lo) + F.get("o", hi)) / 2).alias(name))
 
 
-def peer_expected(pan: DataFrame, flow: str, min_base: float = 5000, min_regions: int = 3) -> DataFrame:
-    """Base × median rate of the other regions of the group, else of the other regions overall."""
+def peer_expected(pan: DataFrame, flow: str, min_base: float = 5000, min_regions: int = 3, within: Sequence[str] = ()) -> DataFrame:
+    """Base × median rate of the other regions of the group, else of the other regions overall (of the same ``within``)."""
     ok = F.col(flow).isNotNull() & F.col("base").isNotNull()
     k = pan.withColumn("_ok", ok)
-    g = k.groupBy("grp", "region", "mi").agg(F.sum(F.when(F.col("_ok"), F.col(flow))).alias("o"), F.sum(F.when(F.col("_ok"), F.col("base"))).alias("b"))
-    a = g.groupBy("region", "mi").agg(F.sum("o").alias("o"), F.sum("b").alias("b"))
+    g = k.groupBy(*within, "grp", "region", "mi").agg(F.sum(F.when(F.col("_ok"), F.col(flow))).alias("o"), F.sum(F.when(F.col("_ok"), F.col("base"))).alias("b"))
+    a = g.groupBy(*within, "region", "mi").agg(F.sum("o").alias("o"), F.sum("b").alias("b"))
     rate = F.when(F.coalesce("b", F.lit(0)) >= min_base, F.col("o") / F.col("b"))
-    lg = _leave_one_out(g.withColumn("rate", rate), ["grp", "mi"], "r_grp", min_regions)
-    la = _leave_one_out(a.withColumn("rate", rate), ["mi"], "r_all", 1)
-    j = k.join(lg, ["grp", "mi", "region"], "left").join(la, ["mi", "region"], "left")
+    lg = _leave_one_out(g.withColumn("rate", rate), [*within, "grp", "mi"], "r_grp", min_regions)
+    la = _leave_one_out(a.withColumn("rate", rate), [*within, "mi"], "r_all", 1)
+    j = k.join(lg, [*within, "grp", "mi", "region"], "left").join(la, [*within, "mi", "region"], "left")
     return j.withColumn("raw_exp", F.when(F.col("_ok"), F.col("base") * F.coalesce("r_grp", "r_all"))).drop("_ok", "r_grp", "r_all")
 
 
