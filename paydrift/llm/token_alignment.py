@@ -9,9 +9,10 @@ A block is a chunk: it sends its distinct linked pairs of ids with their counts
 pairs of all chunks are summed, at most one row for a pair and chunk, so a hot pair is not a hot key. Their number is bounded
 by the vocabularies, yet they are joined and not broadcast, at every size. The chunks get the counts of their pairs back.
 
-Tokenizer A is a byte-level file of the library ``tokenizers``, applied to a space and the text; B is a sentencepiece model,
-applied to the text. Special tokens are not added, and their strings inside a text are plain text. Model files are read by
-the driver from paths that are parameters, and travel with the tasks.
+Tokenizer A is a byte-level file of the library ``tokenizers``, applied to a space and the text; its ids come from ``tiktoken``,
+fed with the file's own vocabulary, whose ids must rise with its merges. B is a sentencepiece model, applied to the text.
+Special tokens are not added, and their strings inside a text are plain text. Model files are read by the driver from paths
+that are parameters, and travel with the tasks.
 
 Null and empty texts have no tokens, nor have texts whose tokens of A or B do not spell a space and the text. A text of
 any length is one alignment in one task. Rows that repeat are counted each; rows with a null doc_id are documents as any
@@ -21,16 +22,17 @@ other and come back. Equal counts are all the highest. An empty table gives an e
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Decoder, read_model, tokenizer_path
+from .bpe import PATTERN, Decoder, read_model, tokenizer_path
 from .texts import blocks, table, work_table
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -76,15 +78,16 @@ class Pair:
 
     def __init__(self, a: bytes, b: bytes):
         import sentencepiece
-        import tokenizers
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = tokenizers.Tokenizer.from_str(a.decode())
-        self.a.encode_special_tokens = True
-        self.a.no_padding()
-        self.a.no_truncation()
+        import tiktoken
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
-        own = Decoder(a).pieces
-        self.bytes_a = [own.get(i, b"") for i in range(max(own) + 1)]
+        own = Decoder(a)
+        model = json.loads(a)["model"]
+        formed = [model["vocab"]["".join(x if isinstance(x, list) else x.split(" "))] for x in model["merges"]]
+        if any(x >= y for x, y in zip(formed, formed[1:])):
+            raise ValueError("ids of this vocabulary do not rise with its merges")
+        added = set(own.added.values())
+        self.a = tiktoken.Encoding("A", pat_str=PATTERN, mergeable_ranks={t: i for i, t in own.pieces.items() if i not in added}, special_tokens={})
+        self.bytes_a = [own.pieces.get(i, b"") for i in range(max(own.pieces) + 1)]
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in y]) for y in (self.bytes_a, self.bytes_b))
         # an id as it is written inside its group and at the end of its side
@@ -99,9 +102,9 @@ class Pair:
         spell_a, spell_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
         nothing = np.zeros(0, np.uint32)
         for some in _calls(texts):
-            spaced = [" " + x for x in some]
-            for text, a, b in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(some, num_threads=1)):
-                ids, raw = a.ids, text.encode()
+            for text, b in zip(some, self.b.encode(some, num_threads=1)):
+                raw = (" " + text).encode()
+                ids = self.a.encode_ordinary(" " + text)
                 if len(raw) > 1 and b"".join(map(spell_a, ids)) == raw and b"".join(map(spell_b, b)) == raw:
                     yield np.array(ids, np.uint32), np.array(b, np.uint32)
                 else:
@@ -172,8 +175,11 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         for batch in batches:
             for part, _, _ in blocks(batch, size=CHUNK_BYTES):
                 block = Block(pair, [x or "" for x in part.column(1).to_pylist()], piece)
-                pairs, which, counts = np.unique(block.links(), return_inverse=True, return_counts=True)
-                which = which.astype(np.uint32)
+                which, pairs = pd.factorize(block.links())
+                counts = np.bincount(which, minlength=len(pairs))
+                order = np.argsort(pairs)
+                which = np.argsort(order).astype(np.uint32)[which]
+                pairs, counts = pairs[order], counts[order]
                 groups = [hashlib.sha256(x.encode()).hexdigest() if x and digest else x for x in block.written()]
                 n = np.diff(block.at_group)
                 yield pa.RecordBatch.from_arrays([
