@@ -37,6 +37,16 @@ def build_mask(condition: Column, mi: Column) -> Column:
     return F.bit_or(F.when(condition, bit).otherwise(F.lit(0).cast("bigint")))
 
 
+def fold(column: str) -> Column:
+    """Aggregate: periods of any of the masks."""
+    return F.bit_or(column)
+
+
+def over(condition: Column, mi: Column, window) -> Column:
+    """The mask of a window's rows, beside each of them."""
+    return F.bit_or(F.when(condition, one_bit(mi)).otherwise(F.lit(0).cast("bigint"))).over(window)
+
+
 def mask_bit(mask: Column, i: Column | int) -> Column:
     i = _int(i)
     return F.when(i >= 0, shr(mask, i).bitwiseAND(F.lit(1).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))

@@ -11,14 +11,16 @@ the flows, temp_left, stopped, single_pay and raw_rows; ``orgs`` names each orga
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stage_table
 from . import watch as wa
 
 #: Flows and the sign with which they change the portfolio.
@@ -126,9 +128,23 @@ def with_cover(parents: DataFrame, level: str, cards: DataFrame, moves: DataFram
 
 
 # ------------------------------------------------------------------ the cascade
+def kept(fn: Callable[[Cascade], DataFrame]) -> cached_property:
+    """A table of the cascade that later levels read: worked out when it is first asked for, then read back."""
+    return cached_property(lambda self: self.keep(fn.__name__, lambda: fn(self)))
+
+
+def _stages() -> Callable[[str, Callable[[], DataFrame]], DataFrame]:
+    run = f"cascade-{uuid4().hex}"
+    return lambda name, build: stage_table(build(), f"{run}/{name}")
+
+
 @dataclass
 class Cascade:
-    """One month of the watch. ``z`` holds the limits of organisations, rests and atoms; ``place_z`` those of larger places."""
+    """One month of the watch. ``z`` holds the limits of organisations, rests and atoms; ``place_z`` those of larger places.
+
+    Levels and scans that others read are written once by ``keep``, to the shared folder unless the caller has a place of its
+    own: asking for a level runs the jobs of those before it.
+    """
 
     atoms: DataFrame
     org_cells: DataFrame
@@ -149,12 +165,13 @@ class Cascade:
     under_share: float = 0.6
     rows_drop: float = 0.97
     noises: float = NOISES
+    keep: Callable[[str, Callable[[], DataFrame]], DataFrame] = field(default_factory=_stages)
 
     def floor(self, base: str = "base") -> Column:
         return wa.floor_of(F.col(base), self.people, self.share)
 
     # -------------------------------------------------- panels
-    @cached_property
+    @kept
     def _common(self) -> DataFrame:
         return wa.calendar_months(self.atoms, self.cal_base, self.cal_share)
 
@@ -197,19 +214,19 @@ class Cascade:
         return self.org_cells.groupBy("org", "mi").agg(*[_sum(c) for c in ("base", *self.flows, "temp_left", "stopped")]).join(self.orgs.select("org", "grp", "region"), "org").withColumn("key", F.col("org").cast("string"))
 
     # -------------------------------------------------- evidence
-    @cached_property
+    @kept
     def moves(self) -> DataFrame:
         return unit_moves(self.org_cells, self.mi, self.people, noises=self.noises)
 
-    @cached_property
+    @kept
     def scopes(self) -> DataFrame:
         return org_scopes(self.org_cells, self.mi)
 
-    @cached_property
+    @kept
     def atom_scan(self) -> DataFrame:
         return self.scan(self.atom_panel)
 
-    @cached_property
+    @kept
     def under(self) -> DataFrame:
         """Regions whose last load is incomplete."""
         scored = self.atom_scan.where("flow = 'out_left'").select("key", "mi", "base", "z")
@@ -222,7 +239,7 @@ class Cascade:
         return cards.join(u, "region", "left").withColumn("label", label).drop("_u")
 
     # -------------------------------------------------- levels
-    @cached_property
+    @kept
     def org_level(self) -> DataFrame:
         x = self.best(self.scan(self.org_panel), "org")
         stops = self.org_panel.where(F.col("mi") == self.mi).select("key", "stopped")
@@ -238,13 +255,13 @@ class Cascade:
         x = cards.join(cells, "key").withColumns({f"was_{c}": F.col(c) for c in CELL}).withColumns({"returns": F.lit(False), "label": F.lit(None).cast("string")})
         return self._named_under(x)
 
-    @cached_property
+    @kept
     def rest_level(self) -> DataFrame:
         """Signals of what tracked organisations leave of an atom; the floor is that of the whole atom."""
         whole = self.atom_panel.where(F.col("mi") == self.mi).select("key", F.col("base").alias("whole"))
         return self._cell_cards(self.best(self.scan(self.rest_panel).join(whole, "key").withColumn("base", F.col("whole")).drop("whole"), "rest"))
 
-    @cached_property
+    @kept
     def atom_signals(self) -> DataFrame:
         """Signals of whole atoms, with what organisations and rests explain of them."""
         return with_cover(self._cell_cards(self.best(self.atom_scan, "atom")), "atom", self.low_cards, self.moves, self.scopes)
@@ -280,7 +297,7 @@ class Cascade:
         x = x.withColumns({f"was_{c}": F.col(c) for c in CELL}).withColumns({"returns": F.lit(False), "label": F.lit(None).cast("string")})
         return self._named_under(x)
 
-    @cached_property
+    @kept
     def unit_level(self) -> DataFrame:
         return self._place_cards("unit", self.place_signals("unit", self.low_cards.unionByName(self.atom_level)))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import masks as mk
+from ..functions import wide_masks as wm
 
 TRIPLE = ("person", "org", "unit")
 CELL = ("mi", "org", "unit")
@@ -36,15 +37,20 @@ def _zero(x: str) -> Column:
     return F.coalesce(F.col(x), F.lit(0))
 
 
-def triple_masks(states: DataFrame) -> DataFrame:
-    """One row per triple: bits of periods paid at all, in portfolio, by non-salary codes only."""
+def triple_masks(states: DataFrame, last: int | None = None) -> DataFrame:
+    """One row per triple: bits of periods paid at all, in portfolio, by non-salary codes only.
+
+    Up to 60 periods are one bigint each; ``last``, the highest period, asks for as many words as it needs.
+    """
     st, mi = F.col("st"), F.col("mi")
+    k = mk if last is None or last < mk.MAX_PERIODS else wm.words_for(last)
     return states.groupBy(*TRIPLE).agg(
-        mk.build_mask(F.lit(True), mi).alias("b_any"), mk.build_mask(st == "P", mi).alias("b_p"), mk.build_mask(st == "N", mi).alias("b_n"))
+        k.build_mask(F.lit(True), mi).alias("b_any"), k.build_mask(st == "P", mi).alias("b_p"), k.build_mask(st == "N", mi).alias("b_n"))
 
 
 def fold_masks(masks: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    return masks.groupBy(*keys).agg(F.bit_or("b_any").alias(f"{prefix}_any"), F.bit_or("b_p").alias(f"{prefix}_p"))
+    k = wm.of(masks)
+    return masks.groupBy(*keys).agg(k.fold("b_any").alias(f"{prefix}_any"), k.fold("b_p").alias(f"{prefix}_p"))
 
 
 def person_masks(masks: DataFrame) -> DataFrame:
@@ -61,9 +67,10 @@ def _annotated(masks: DataFrame, orgs: DataFrame) -> DataFrame:
         return masks
     hold = masks.join(orgs.select("org", "hold"), "org", "left")
     by_person = fold_masks(masks, ["person"], "pr")
-    by_po = masks.groupBy("person", "org").agg(F.bit_or("b_p").alias("po_p"))
-    by_ph = hold.where(F.col("hold").isNotNull()).groupBy("person", "hold").agg(F.bit_or("b_p").alias("ph_p"))
-    by_org = masks.groupBy("org").agg(F.bit_or("b_p").alias("org_p"))
+    k = wm.of(masks)
+    by_po = masks.groupBy("person", "org").agg(k.fold("b_p").alias("po_p"))
+    by_ph = hold.where(F.col("hold").isNotNull()).groupBy("person", "hold").agg(k.fold("b_p").alias("ph_p"))
+    by_org = masks.groupBy("org").agg(k.fold("b_p").alias("org_p"))
     return (hold.join(by_person, "person").join(by_po, ["person", "org"]).join(by_ph, ["person", "hold"], "left").join(by_org, "org"))
 
 
@@ -78,14 +85,15 @@ def _split_share(moves: DataFrame, counts: DataFrame, lag: int, side: str) -> Da
 
 def movement_in(masks: DataFrame, states: DataFrame, orgs: DataFrame, lag: int, last: int) -> DataFrame:
     """Label of every triple in portfolio now and not ``lag`` periods earlier."""
-    h = _annotated(masks, orgs).withColumn("mi", F.explode(mk.bit_positions(mk.appeared(F.col("b_p"), lag), last)))
+    k = wm.of(masks)
+    h = _annotated(masks, orgs).withColumn("mi", F.explode(k.bit_positions(k.appeared(F.col("b_p"), lag), last)))
     base = F.col("mi") - lag
-    was = {x: mk.has_bit(F.col(x), base) for x in ("b_n", "b_any", "pr_p", "po_p", "ph_p")}
+    was = {x: k.has_bit(F.col(x), base) for x in ("b_n", "b_any", "pr_p", "po_p", "ph_p")}
     lab = (F.when(was["b_n"], "in_from_nonzp").when(was["b_any"], "in_from_zp_out")
            .when(was["pr_p"] & was["po_p"], "in_oth_same_org").when(was["pr_p"] & F.coalesce(was["ph_p"], F.lit(False)), "in_oth_same_hold")
-           .when(was["pr_p"], "in_oth_other").when(mk.any_in(F.col("pr_p"), base - MEM, base - 1), "in_returned").otherwise("in_new_bank"))
+           .when(was["pr_p"], "in_oth_other").when(k.any_in(F.col("pr_p"), base - MEM, base - 1), "in_returned").otherwise("in_new_bank"))
     rows = h.select(*CELL, "person", "hold", lab.alias("lab"),
-                    (mk.mask_bit(F.col("b_p"), F.col("mi") - 2) if lag == 1 else F.lit(0).cast("bigint")).alias("in_temp"))
+                    (k.mask_bit(F.col("b_p"), F.col("mi") - 2) if lag == 1 else F.lit(0).cast("bigint")).alias("in_temp"))
     r = _split_share(rows, portfolio_counts(states, ["mi", "person"], "k"), lag, "in")
     new, more = F.col("k_base").isNull(), F.col("k_now") > F.col("k_base")
     return r.select(*CELL, "person", "lab", F.when(new, 1.0 / F.col("k_now")).otherwise(0.0).alias("fl"), new.cast("bigint").alias("in_new"),
@@ -94,15 +102,16 @@ def movement_in(masks: DataFrame, states: DataFrame, orgs: DataFrame, lag: int,
 
 def movement_out(masks: DataFrame, states: DataFrame, orgs: DataFrame, lag: int, last: int) -> DataFrame:
     """Label of every triple in portfolio ``lag`` periods earlier and not now."""
-    h = _annotated(masks, orgs).withColumn("mi", F.explode(mk.bit_positions(mk.vanished(F.col("b_p"), lag, last), last)))
+    k = wm.of(masks)
+    h = _annotated(masks, orgs).withColumn("mi", F.explode(k.bit_positions(k.vanished(F.col("b_p"), lag, last), last)))
     at, base = F.col("mi"), F.col("mi") - lag
-    now = {x: mk.has_bit(F.col(x), at) for x in ("b_n", "b_any", "pr_p", "po_p", "ph_p", "org_p")}
+    now = {x: k.has_bit(F.col(x), at) for x in ("b_n", "b_any", "pr_p", "po_p", "ph_p", "org_p")}
     lab = (F.when(now["b_n"], "out_to_nonzp").when(now["b_any"], "out_zp_out")
            .when(now["pr_p"] & now["po_p"], "out_oth_same_org").when(now["pr_p"] & F.coalesce(now["ph_p"], F.lit(False)), "out_oth_same_hold")
-           .when(now["pr_p"], "out_oth_other").when(mk.seasonal_gap(F.col("b_p"), at), "lb_seasonal")
-           .when(~now["org_p"], "lb_org_stopped").when(mk.one_time(F.col("b_any"), base), "lb_one_time").otherwise("lb_unknown"))
-    rows = h.select(*CELL, "person", "hold", lab.alias("lab"), mk.mask_bit(F.col("b_p"), at + 1).alias("out_temp"),
-                    mk.tenure_band(F.col("b_p"), base).alias("ten"))
+           .when(now["pr_p"], "out_oth_other").when(k.seasonal_gap(F.col("b_p"), at), "lb_seasonal")
+           .when(~now["org_p"], "lb_org_stopped").when(k.one_time(F.col("b_any"), base), "lb_one_time").otherwise("lb_unknown"))
+    rows = h.select(*CELL, "person", "hold", lab.alias("lab"), k.mask_bit(F.col("b_p"), at + 1).alias("out_temp"),
+                    k.tenure_band(F.col("b_p"), base).alias("ten"))
     r = _split_share(rows, portfolio_counts(states, ["mi", "person"], "k"), lag, "out")
     gone, fewer = F.col("k_now").isNull(), F.col("k_base") > F.col("k_now")
     return r.select(*CELL, "person", "lab", F.when(gone, 1.0 / F.col("k_base")).otherwise(0.0).alias("fl"), gone.cast("bigint").alias("out_gone"),
@@ -125,28 +134,25 @@ def label_counts_out(moves: DataFrame) -> DataFrame:
         F.sum("out_temp").alias("out_temp"), F.sum(F.when(lab.startswith("lb_"), F.col("out_temp")).otherwise(0)).alias("out_temp_left"))
 
 
-def with_history(states: DataFrame) -> DataFrame:
-    """Triple rows beside their own masks. A partition holds one triple: at most 60 rows."""
-    w, mi = W.partitionBy(*TRIPLE), F.col("mi")
-
-    def mask(cond: Column) -> Column:
-        return F.bit_or(F.when(cond, mk.one_bit(mi)).otherwise(F.lit(0).cast("bigint"))).over(w)
-
-    return states.withColumns({"b_any": mask(F.lit(True)), "b_p": mask(F.col("st") == "P"), "b_n": mask(F.col("st") == "N")})
+def with_history(states: DataFrame, k=mk) -> DataFrame:
+    """Triple rows beside their own masks. A partition holds the periods of one triple."""
+    w, mi, st = W.partitionBy(*TRIPLE), F.col("mi"), F.col("st")
+    return states.withColumns({"b_any": k.over(F.lit(True), mi, w), "b_p": k.over(st == "P", mi, w), "b_n": k.over(st == "N", mi, w)})
 
 
 def stock(states: DataFrame, masks: DataFrame, orgs: DataFrame) -> DataFrame:
     """Nineteen stock counts per (period, org, unit)."""
+    k = wm.of(masks)
     st, at = F.col("st"), F.col("mi")
     p = st == "P"
     hold = orgs.select("org", "hold")
     counts = portfolio_counts(states, ["mi", "person", "org"], "n_po")
     by_hold = (counts.join(hold, "org").where(F.col("hold").isNotNull()).groupBy("mi", "person", "hold").agg(F.sum("n_po").alias("n_ph")))
     by_person = counts.groupBy("mi", "person").agg(F.sum("n_po").alias("k_pf"))
-    t = (with_history(states).join(person_masks(masks), "person").join(hold, "org", "left")
+    t = (with_history(states, k).join(person_masks(masks), "person").join(hold, "org", "left")
          .join(by_person, ["mi", "person"], "left").join(counts, ["mi", "person", "org"], "left")
          .join(by_hold, ["mi", "person", "hold"], "left"))
-    many, ten = p & (F.col("k_pf") > 1), mk.tenure_band(F.col("b_p"), at)
+    many, ten = p & (F.col("k_pf") > 1), k.tenure_band(F.col("b_p"), at)
     one_org = F.col("n_po") == 1
     wider = F.coalesce(F.col("n_ph") > F.col("n_po"), F.lit(False))
 
@@ -158,8 +164,8 @@ def stock(states: DataFrame, masks: DataFrame, orgs: DataFrame) -> DataFrame:
         F.sum("pf_amt").alias("pf_amt"), F.sum("fot_amt").alias("fot_amt"), cnt(st == "Z", "zp_out_recip"), cnt(st == "N", "nonzp_recip"),
         _n().alias("any_recip"), F.sum("n_rows").alias("raw_rows"), cnt(p & (F.col("n_pay") == 1), "single_pay_recip"),
         cnt(many, "multi_recip"), cnt(many & (F.col("n_po") > 1), "multi_same_org"), cnt(many & one_org & wider, "multi_same_hold"),
-        cnt(many & one_org & ~wider, "multi_other"), cnt(mk.flapping(F.col("b_any"), F.col("b_n"), at), "flapping_recip"),
-        cnt(p & mk.one_time(F.col("b_any"), at), "one_time_pf"), cnt(p & mk.one_time(F.col("pr_any"), at), "one_time_person"),
+        cnt(many & one_org & ~wider, "multi_other"), cnt(k.flapping(F.col("b_any"), F.col("b_n"), at), "flapping_recip"),
+        cnt(p & k.one_time(F.col("b_any"), at), "one_time_pf"), cnt(p & k.one_time(F.col("pr_any"), at), "one_time_person"),
         *[cnt(p & (ten == x), f"ten_{x}") for x in TENURES])
 
 

@@ -52,11 +52,8 @@ class Panels:
         tracked = tracked.where(F.col("n") >= mean).select("org")
         orgs = self.i.table("nation").select(F.col("n_nationkey").alias("org"), F.concat(F.lit("n"), (F.col("n_nationkey") % 2).cast("string")).alias("grp"), F.col("n_regionkey").alias("region"))
         atoms = self.cells.groupBy(*cs.CELL, "mi").agg(*[F.sum(c).alias(c) for c in SIDES])
-        c = cs.Cascade(atoms, self.cells.join(tracked, "org", "left_semi"), orgs, MI, **LIMITS)
-        # scans and levels that others read are written once
-        for name in ("atom_scan", "moves", "org_level", "rest_level", "atom_level", "unit_level"):
-            c.__dict__[name] = self.i.staged(f"watch_cascade_{name}", lambda n=name: getattr(type(c), n).func(c))
-        return c
+        keep = lambda name, build: self.i.staged(f"watch_cascade/{name}", build)
+        return cs.Cascade(atoms, self.cells.join(tracked, "org", "left_semi"), orgs, MI, **LIMITS, keep=keep)
 
 
 cte("cpm", """WITH k AS (SELECT o_custkey AS person, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS mi, s_nationkey AS org, count(*) AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3)
