@@ -14,7 +14,7 @@ forest of the links it found, so copies and near copies never become all pairs.
 
 Words are 0x20 and 0x09-0x0D separated, A-Z lowered. Fewer words than n: the whole sequence is the one entry.
 No words or a null text: the empty set, linked with nothing. Null doc_ids come back with a null class.
-Repeated rows are copies. Similarity is compared in whole numbers: 100 * both >= percent * either.
+Repeated rows are copies; rows that repeat an id with another text are sets of their own. Similarity is compared in whole numbers: 100 * both >= percent * either.
 """
 
 from __future__ import annotations
@@ -225,12 +225,18 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, star: int =
     chunked = in_chunks(docs, parts)
     rows = work_table(with_codes(chunked, key_counts(chunked, _chunk_keys(n), parts), _set_rows(n, percent), SET_ROW), "sets")
     first = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first"))
-    named = rows.select("doc_id", "n", "f1", "f2").join(first, ["f1", "f2", "n"], "left")
-    sets = rows.where("tokens is not null").join(first.select("f1", "f2", "n", F.col("first").alias("doc_id")), ["f1", "f2", "n", "doc_id"], "left_semi").select("doc_id", "tokens", "from", "to")
-    roots = components(link_forest(work_table(sets, "distinct_sets"), percent, star))
-    joined = named.join(roots.withColumnRenamed("u", "first"), "first", "left")
+    sets = rows.where("tokens is not null").join(first.withColumnRenamed("first", "doc_id"), ["f1", "f2", "n", "doc_id"], "left_semi")
+    # a set's name is its place in the written table: rows that share an id may hold different sets
+    sets = work_table(sets.withColumn("set", F.monotonically_increasing_id()), "distinct_sets")
+    roots = work_table(components(link_forest(sets.select(F.col("set").alias("doc_id"), "tokens", "from", "to"), percent, star)), "set_roots")
+    tree = roots.select(F.col("u").alias("set"), "root").union(roots.select("root", "root").distinct())
+    members = tree.join(sets.select("set", "f1", "f2", "n", "doc_id"), "set")
+    least = members.groupBy("root").agg(F.min("doc_id").alias("component"))
+    linked = members.join(least, "root").select("f1", "f2", "n", "component")
+    named = first.join(linked, ["f1", "f2", "n"], "left").select("f1", "f2", "n", F.coalesce("component", "first").alias("component"))
+    joined = rows.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     nameless = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "first", "doc_id").alias("component_id")).union(nameless)
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).union(nameless)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,3 +122,15 @@ def test_query_equals_its_sql(spark):
     sf = "/root/testdata/sf0.001"
     ok, message = compare(spark, duck(sf), "op12", entry.queries()["op12_lsh_forest"], entry.oracle_sql()["op12_lsh_forest"], sf)
     assert ok, message
+
+
+def test_jaccard_join_loses_no_link_of_repeated_ids(spark):
+    from paydrift.llm import set_join
+    rng = random.Random(2)
+    a, b = ([f"{x}{rng.randrange(9999)}" for _ in range(60)] for x in "ab")
+    a2, b2 = (x[:-1] + ["other"] for x in (a, b))
+    rows = [(1, a), (1, b), (2, a2), (3, b2)]
+    for order in (rows, rows[::-1], [rows[1], rows[0], rows[2], rows[3]]):
+        frame = spark.createDataFrame([(d, " ".join(w)) for d, w in order], "doc_id long, text string").coalesce(1)
+        got = sorted((r["doc_id"], r["component_id"]) for r in set_join.classes(frame).collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (3, 1)]
