@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
+from .pairs import paired
 
 ONE = "n"
 TRIPLE = ("person", "org", "unit")
@@ -210,7 +211,7 @@ def org_migration(rec: DataFrame, lines: DataFrame, b: int, c: int, min_movers:
     lost = had.where("in_b and not in_c").select("person", F.col("org").alias("org_from"))
     seen = lines.where(_at(c) & (F.col("amt") > 0)).select("person", "org").distinct()
     new = seen.join(had.where("in_b").select("person", "org"), ["person", "org"], "left_anti").withColumnRenamed("org", "org_to")
-    moves = lost.join(new, "person").groupBy("org_from", "org_to").agg(_n().alias("n_persons")).where(F.col("n_persons") >= min_movers)
+    moves = paired(lost, new, ["person"]).groupBy("org_from", "org_to").agg(_n().alias("n_persons")).where(F.col("n_persons") >= min_movers)
     losers = lost.groupBy("org_from").agg(_n().alias("n_lost"))
     return (moves.join(losers, "org_from").withColumn("share", fc.share("n_persons", "n_lost"))
             .withColumn("is_reorg", F.col("share") >= reorg_share))
@@ -221,7 +222,7 @@ def successor_orgs(rec: DataFrame, b: int, c: int, min_movers: int, min_share: f
     flow = two_periods(rec, b, c, ("person", "org"))
     left = flow.where("in_b and not in_c").select("person", F.col("org").alias("org_from"))
     now = flow.where("in_c").select("person", F.col("org").alias("org_to"))
-    pair = left.join(now, "person").groupBy("org_from", "org_to").agg(_n().alias("n_moved"))
+    pair = paired(left, now, ["person"]).groupBy("org_from", "org_to").agg(_n().alias("n_moved"))
     return (pair.join(left.groupBy("org_from").agg(_n().alias("n_left")), "org_from")
             .where((F.col("n_moved") >= min_movers) & (F.col("n_moved") >= min_share * F.col("n_left"))))
 

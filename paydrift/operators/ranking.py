@@ -103,3 +103,23 @@ def running_cover(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
 def bucket_by(value: Column, width: float) -> Column:
     """Bucket number for ``running_cover``: larger values lie in larger buckets."""
     return F.floor(value / F.lit(width)).alias("_bucket")
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
+    """Median per key without bringing a key's rows into one task.
+
+    Bucket counts (partial aggregation) locate the buckets of the two middle ranks; only their rows are
+    ranked, with the number of rows before the bucket as offset.
+    """
+    x = df.where(F.col(value).isNotNull()).withColumn("_b", F.floor(F.col(value) / width))
+    per = x.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    cum = F.sum("_n").over(W.partitionBy(*keys).orderBy("_b"))
+    tot = F.sum("_n").over(W.partitionBy(*keys))
+    marks = per.select(*keys, "_b", (cum - F.col("_n")).alias("_before"), cum.alias("_upto"), tot.alias("_tot"))
+    lo, hi = F.floor((F.col("_tot") + 1) / 2), F.floor((F.col("_tot") + 2) / 2)
+    need = marks.where(((F.col("_before") < lo) & (lo <= F.col("_upto"))) | ((F.col("_before") < hi) & (hi <= F.col("_upto"))))
+    rows = x.join(need, [*keys, "_b"]).groupBy(*keys, "_b", value, "_before", "_tot").agg(F.count(F.lit(1)).alias("_k"))
+    end = F.col("_before") + F.sum("_k").over(W.partitionBy(*keys, "_b").orderBy(value))
+    r = rows.select(*keys, value, "_tot", (end - F.col("_k")).alias("_s"), end.alias("_e"))
+    pick = lambda rank: F.max(F.when((F.col("_s") < rank) & (rank <= F.col("_e")), F.col(value)))
+    return r.groupBy(*keys).agg(((pick(lo) + pick(hi)) / 2).alias("median"))

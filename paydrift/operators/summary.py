@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masks as mk
 from ..functions import wide_masks as wm
+from .pairs import paired
 
 TRIPLE = ("person", "org", "unit")
 CELL = ("mi", "org", "unit")
@@ -288,7 +289,7 @@ def flow_pairs(outs: DataFrame, ins: DataFrame, cmp0: int, min_n: int) -> DataFr
     d = outs.where(F.col("lab").startswith("out_oth") & (F.col("mi") - 1 >= cmp0)).select(
         "mi", "person", F.col("org").alias("from_org"), F.col("unit").alias("from_unit"))
     a = ins.where(F.col("lab").startswith("in_oth")).select("mi", "person", F.col("org").alias("to_org"), F.col("unit").alias("to_unit"))
-    return (d.join(a, ["mi", "person"]).groupBy("mi", "from_org", "from_unit", "to_org", "to_unit").agg(_n().alias("n_recip"))
+    return (paired(d, a, ["mi", "person"]).groupBy("mi", "from_org", "from_unit", "to_org", "to_unit").agg(_n().alias("n_recip"))
             .where(F.col("n_recip") >= min_n))
 
 

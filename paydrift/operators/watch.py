@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fc
 from ..session import stage_table
 from .calendar import _exact
+from .ranking import exact_median
 from .series import scaffold
 
 ROW = ("key",)
@@ -125,7 +126,8 @@ def overdispersion(x: DataFrame, flow: str, cls: str = "cls", least: float = 5.0
     h = _history(x.select(*ROW, "mi", cls, flow, "raw_exp", "offset"), [flow, "raw_exp"]).select(cls, "mi", "offset", F.explode("_h").alias("p"))
     e = F.col("p.raw_exp") * F.col("offset")
     u = F.when(e >= least, (F.pow(F.col(f"p.{flow}") - e, 2) / HALF_NORMAL_VAR - e) / F.pow(F.greatest(e, F.lit(1.0)), 2))
-    k = h.select(cls, "mi", u.alias("u")).groupBy(cls, "mi").agg(F.median("u").alias("k"))
+    u = h.select(cls, "mi", u.cast("double").alias("u"))
+    k = u.select(cls, "mi").distinct().join(exact_median(u, [cls, "mi"], "u", 0.01), [cls, "mi"], "left").withColumnRenamed("median", "k")
     return k.select(cls, "mi", F.least(F.greatest(F.coalesce("k", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("k2"))
 
 
@@ -161,7 +163,8 @@ def log_count_interval(x: DataFrame, flow: str, z: float, min_history: int = MIN
     y = y.withColumn("location", _array_median(F.transform("_p", lambda p: p["e"])))
     y = y.withColumn("_c", F.transform("_p", lambda p: F.struct(p["raw"].alias("raw"), F.abs(p["e"] - F.col("location")).alias("a"))))
     y = y.withColumn("own", MAD_SCALE * _array_median(F.transform("_c", lambda p: p["a"])))
-    pool = (y.select("grp", "mi", F.explode("_c").alias("c")).where(F.col("c.raw") >= min_mean).groupBy("grp", "mi").agg((F.median("c.a") * MAD_SCALE).alias("pooled")))
+    pool = y.select("grp", "mi", F.explode("_c").alias("c")).where(F.col("c.raw") >= min_mean).select("grp", "mi", F.col("c.a").alias("a"))
+    pool = exact_median(pool, ["grp", "mi"], "a", 0.01).select("grp", "mi", (F.col("median") * MAD_SCALE).alias("pooled"))
     y = y.join(pool, ["grp", "mi"], "left")
     raw = F.greatest(F.col("raw_exp") * F.col("offset"), F.lit(0.0))
     center = F.log1p(raw) + F.col("location")

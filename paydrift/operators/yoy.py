@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fc
 from . import moves as mv
+from .pairs import paired
+from .ranking import exact_median
 
 GONE = ("left_bank", "below_threshold", "other_codes")
 COME = ("new_to_bank", "above_threshold", "back_to_codes")
@@ -190,7 +192,7 @@ def org_movement(rec: DataFrame, panel: DataFrame, b: int, c: int, min_movers: i
     succ = mv.successor_orgs(rec, b, c, min_movers, min_share).select("org_from", "org_to")
     now = pairs.where("in_c").select("person", F.col("org").alias("org_to"))
     left = pairs.where("in_b and not in_c").select("person", "org")
-    via = left.withColumnRenamed("org", "org_from").join(now, "person").join(succ, ["org_from", "org_to"])
+    via = paired(left.withColumnRenamed("org", "org_from"), now, ["person"]).join(succ, ["org_from", "org_to"])
     reorg_out = via.select("person", F.col("org_from").alias("org")).distinct().withColumn("reorg", F.lit(True))
     reorg_in = via.select("person", F.col("org_to").alias("org")).distinct().withColumn("reorg", F.lit(True))
     who = panel.select("person", "in_b", "in_c", "in_cn1", "all_c", "codes_c")
@@ -222,7 +224,7 @@ def org_cut_list(movement: DataFrame, rec: DataFrame, orgs: DataFrame, b: int, c
     reg = (rec.where(F.col("mi") == b).groupBy("org", "region").agg(_n().alias("n")).groupBy("org")
            .agg(F.min_by("region", F.struct(-F.col("n"), F.col("region"))).alias("main_region")))
     pairs = mv.two_periods(rec, b, c, ("person", "org"))
-    mvd = (pairs.where("in_b and not in_c").select("person", F.col("org").alias("f")).join(pairs.where("in_c").select("person", F.col("org").alias("t")), "person")
+    mvd = (paired(pairs.where("in_b and not in_c").select("person", F.col("org").alias("f")), pairs.where("in_c").select("person", F.col("org").alias("t")), ["person"])
            .groupBy("f", "t").agg(_n().alias("n")).groupBy(F.col("f").alias("org"))
            .agg(F.min_by(F.struct(F.col("t").alias("top_org"), F.col("n").alias("top_n")), F.struct(-F.col("n"), F.col("t"))).alias("d")))
     total = picked.agg(F.struct(_n().alias("n_picked"), F.sum("real_cut").alias("sum_real")).alias("t")).scalar()
@@ -277,26 +279,6 @@ def return_pay_signature(pm: DataFrame, pres: DataFrame, m: int, width: float =
     return stat.join(exact_median(r, ["grp"], "ratio", width), "grp").withColumnRenamed("median", "median_ratio")
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
-    """Median per key without bringing a key's rows into one task.
-
-    Bucket counts (partial aggregation) locate the buckets of the two middle ranks; only their rows are
-    ranked, with the number of rows before the bucket as offset.
-    """
-    x = df.where(F.col(value).isNotNull()).withColumn("_b", F.floor(F.col(value) / width))
-    per = x.groupBy(*keys, "_b").agg(_n().alias("_n"))
-    cum = F.sum("_n").over(W.partitionBy(*keys).orderBy("_b"))
-    tot = F.sum("_n").over(W.partitionBy(*keys))
-    marks = per.select(*keys, "_b", (cum - F.col("_n")).alias("_before"), cum.alias("_upto"), tot.alias("_tot"))
-    lo, hi = F.floor((F.col("_tot") + 1) / 2), F.floor((F.col("_tot") + 2) / 2)
-    need = marks.where(((F.col("_before") < lo) & (lo <= F.col("_upto"))) | ((F.col("_before") < hi) & (hi <= F.col("_upto"))))
-    rows = x.join(need, [*keys, "_b"]).groupBy(*keys, "_b", value, "_before", "_tot").agg(_n().alias("_k"))
-    end = F.col("_before") + F.sum("_k").over(W.partitionBy(*keys, "_b").orderBy(value))
-    r = rows.select(*keys, value, "_tot", (end - F.col("_k")).alias("_s"), end.alias("_e"))
-    pick = lambda rank: F.max(F.when((F.col("_s") < rank) & (rank <= F.col("_e")), F.col(value)))
-    return r.groupBy(*keys).agg(((pick(lo) + pick(hi)) / 2).alias("median"))
-
-
 # ------------------------------------------------------------------- cuts
 
 def cut_by_dim(moves: DataFrame, rec: DataFrame, key: str, b: int, c: int, causes: Sequence[str] = ("left_bank", "below_threshold", "other_codes", "left_segment"),

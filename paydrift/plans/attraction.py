@@ -164,11 +164,11 @@ def _(i):
     return at.staff_counts(Attraction(i).acts.withColumn("report_dt", F.last_day("act_dt")), ["report_dt"])
 
 
-@query("deal_match", """WITH k AS (SELECT DISTINCT org, unit FROM nf WHERE yr = 'cur' AND org < 20)
+@query("deal_match", """WITH k AS (SELECT DISTINCT org, unit FROM nf WHERE yr = 'cur')
  SELECT CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.org = d.org AND k.unit = d.unit) THEN 'same_unit' WHEN d.org IN (SELECT org FROM k) THEN 'other_unit' ELSE 'no_org' END AS match, count(*) AS n_deals FROM deals d GROUP BY 1""", ("nf", "deals"))
 def _(i):
     a = Attraction(i)
-    return at.deal_match(a.deals, a.nf.where("yr = 'cur' and org < 20"))
+    return at.deal_match(a.deals, a.nf.where("yr = 'cur'"))
 
 
 @query("productivity_ratio", """WITH y AS (SELECT CASE WHEN year(act_dt) = 2000 THEN 'cur' ELSE 'prev' END AS yr, count(DISTINCT emp) AS staff, count(*) AS deals, CAST(sum(fact) AS BIGINT) AS fact FROM deals WHERE year(act_dt) IN (1999, 2000) GROUP BY 1),

@@ -155,11 +155,11 @@ def _(i):
     return bt.coverage(Backtest(i).panel)
 
 
-@query("forecast_baselines", f"""WITH f AS (SELECT unit, mi, sum(stock) AS fact, sum(base) AS base, sum(base) + sum(pipe) AS plan FROM bp WHERE mi >= 60 GROUP BY 1, 2), l AS (SELECT *, lag(fact) OVER w AS a, lag(fact, 4) OVER w AS b FROM f WINDOW w AS (PARTITION BY unit ORDER BY mi)),
+@query("forecast_baselines", f"""WITH f AS (SELECT unit, mi, sum(stock) AS fact, sum(base) AS base, sum(base) + sum(pipe) AS plan FROM bp GROUP BY 1, 2), l AS (SELECT *, lag(fact) OVER w AS a, lag(fact, 4) OVER w AS b FROM f WINDOW w AS (PARTITION BY unit ORDER BY mi)),
  u AS (SELECT unit, mi, 'last fact' AS name, a::DOUBLE AS pred, fact, base FROM l UNION ALL SELECT unit, mi, 'trend 3', a + (a - b) / 3.0, fact, base FROM l UNION ALL SELECT unit, mi, 'plan', plan::DOUBLE, fact, base FROM l)
  SELECT CAST(unit AS BIGINT) AS unit, CAST(mi AS BIGINT) AS mi, name, round(pred, 4) AS pred, CAST(fact AS BIGINT) AS fact, CAST(base AS BIGINT) AS base FROM u WHERE pred IS NOT NULL""", "bp")
 def _(i):
-    p = Backtest(i).panel.where("mi >= 60").groupBy("unit", "mi").agg(F.sum("stock").alias("fact"), F.sum("base").alias("base"), (F.sum("base") + F.sum("pipe")).alias("plan"))
+    p = Backtest(i).panel.groupBy("unit", "mi").agg(F.sum("stock").alias("fact"), F.sum("base").alias("base"), (F.sum("base") + F.sum("pipe")).alias("plan"))
     return bt.baselines(p, ["unit"])
 
 

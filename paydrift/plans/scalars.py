@@ -235,10 +235,10 @@ def _(i):
 
 
 @query("leak_check", """WITH d AS (SELECT doc_id, ' ' || regexp_replace(text, '[^А-Яа-яЁёA-Za-z0-9]+', ' ', 'g') || ' ' AS t FROM documents),
- n AS (SELECT DISTINCT trim(regexp_replace(substr(text, 1, 12), '[^А-Яа-яЁёA-Za-z0-9]+', ' ', 'g')) AS name FROM benchmark)
+ n AS (SELECT DISTINCT regexp_extract(regexp_replace(text, '[^А-Яа-яЁёA-Za-z0-9]+', ' ', 'g'), '^ ?([^ ]+( [^ ]+){0,2})', 1) AS name FROM benchmark)
  SELECT doc_id, name FROM d, n WHERE name <> '' AND contains(t, ' ' || name || ' ')""")
 def _(i):
-    names = i.table("benchmark").select(F.trim(F.regexp_replace(F.substring("text", 1, 12), r"[^А-Яа-яЁёA-Za-z0-9]+", " ")).alias("name")).where("name <> ''").distinct()
+    names = i.table("benchmark").select(F.regexp_extract(F.regexp_replace("text", r"[^А-Яа-яЁёA-Za-z0-9]+", " "), "^ ?([^ ]+( [^ ]+){0,2})", 1).alias("name")).where("name <> ''").distinct()
     return tx.leak_check(i.table("documents"), "text", "doc_id", names)
 
 

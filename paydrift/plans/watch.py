@@ -156,15 +156,17 @@ def _(i):
 
 #: Share of the base that would leave anyway; both sides of the check use it.
 USUAL = 0.66
+#: Deviation from which a row is a signal.
+SIGNAL = 2.6
 
 
-@query("cover_parents", f"""WITH k AS (SELECT grp, sign(out_left - base * {USUAL}::DOUBLE) AS sg, sum(out_left - base * {USUAL}::DOUBLE) AS e FROM wpan WHERE mi = {MI} AND region < 12 GROUP BY 1, 2), p AS (SELECT grp, sum(out_left - base * {USUAL}::DOUBLE) AS delta FROM wpan WHERE mi = {MI} GROUP BY 1)
+@query("cover_parents", f"""WITH k AS (SELECT grp, sign(out_left - base * {USUAL}::DOUBLE) AS sg, sum(out_left - base * {USUAL}::DOUBLE) AS e FROM wpan WHERE mi = {MI} AND abs(out_left - base * {USUAL}::DOUBLE) >= {SIGNAL} GROUP BY 1, 2), p AS (SELECT grp, sum(out_left - base * {USUAL}::DOUBLE) AS delta FROM wpan WHERE mi = {MI} GROUP BY 1)
  SELECT p.grp, 'out_left' AS flow, round(delta, 4) AS delta, round(e, 4) AS explained FROM p LEFT JOIN k ON k.grp = p.grp AND k.sg = sign(p.delta) WHERE coalesce(abs(e), 0) < 0.7 * abs(delta)""", "wpan")
 def _(i):
     d = (F.col("out_left") - F.col("base") * USUAL).alias("delta")
-    x = Watch(i).panel.where(F.col("mi") == MI)
+    x = Watch(i).panel.where(F.col("mi") == MI).withColumn("delta", d)
     parents = x.groupBy("grp").agg(F.sum(F.col("out_left") - F.col("base") * USUAL).alias("delta")).withColumn("flow", F.lit("out_left"))
-    return wa.cover_parents(parents, x.where("region < 12").select("grp", F.lit("out_left").alias("flow"), d), ["grp"]).select("grp", "flow", "delta", "explained")
+    return wa.cover_parents(parents, x.where(F.abs("delta") >= SIGNAL).select("grp", F.lit("out_left").alias("flow"), "delta"), ["grp"]).select("grp", "flow", "delta", "explained")
 
 
 @query("watch_underload", f"""WITH z AS (SELECT p.region, avg(CASE WHEN ok AND (obs - e) / s >= 0 THEN 1 ELSE 0 END) AS share, count(*) AS n FROM wsc w JOIN (SELECT DISTINCT key, region FROM wpan) p USING (key) WHERE w.mi = {MI} AND w.base >= 1 GROUP BY 1),

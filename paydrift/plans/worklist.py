@@ -182,14 +182,14 @@ def _(i):
     return wl.rank_units(e).drop("metric", "n_units")
 
 
-cte("mx", f"""WITH p AS (SELECT level_id AS unit, seg, plan FROM pf WHERE level = 'unit' AND mi = {NOW}), q AS (SELECT level_id AS unit, seg, pred FROM pf WHERE level = 'unit' AND mi = {NOW} AND seg <> 'BUILDING'), b AS (SELECT level_id AS unit, seg, fact AS base FROM pf WHERE level = 'unit' AND mi = {NOW - 1})
+cte("mx", f"""WITH p AS (SELECT level_id AS unit, seg, plan FROM pf WHERE level = 'unit' AND mi = {NOW}), q AS (SELECT level_id AS unit, seg, pred FROM pf WHERE level = 'unit' AND mi = {NOW}), b AS (SELECT level_id AS unit, seg, fact AS base FROM pf WHERE level = 'unit' AND mi = {NOW - 1})
  SELECT unit, seg, plan, pred, base, CASE WHEN plan <> 0 THEN pred / plan END AS execution, CASE WHEN pred IS NULL AND plan IS NULL THEN 0.0 ELSE greatest(plan - pred, 0.0) END AS shortfall, pred IS NULL AS no_prediction FROM p FULL JOIN q USING (unit, seg) FULL JOIN b USING (unit, seg)""", "pf")
 
 
 def matrix(i):
     u = planfact(i).where("level = 'unit'").withColumnRenamed("level_id", "unit")
     now = u.where(F.col("mi") == NOW)
-    return wl.unit_matrix(now.select("unit", "seg", "plan"), now.where("seg <> 'BUILDING'").select("unit", "seg", "pred"), u.where(F.col("mi") == NOW - 1).select("unit", "seg", F.col("fact").alias("base")))
+    return wl.unit_matrix(now.select("unit", "seg", "plan"), now.select("unit", "seg", "pred"), u.where(F.col("mi") == NOW - 1).select("unit", "seg", F.col("fact").alias("base")))
 
 
 @query("unit_matrix", "SELECT CAST(unit AS BIGINT) AS unit, seg, plan, round(pred, 4) AS pred, base, round(execution, 4) AS execution, round(shortfall, 4) AS shortfall, no_prediction FROM mx", "mx")
@@ -290,7 +290,7 @@ def _(i):
     return wl.note_audit(w.cands.select("unit", "org", "reason", "decision"), notes)
 
 
-cte("gp", "SELECT unit, seg, CAST(count(*) AS DOUBLE) AS gap FROM cu WHERE seg IN ('BUILDING', 'MACHINERY') GROUP BY 1, 2", "cu")
+cte("gp", "SELECT unit, seg, CAST(count(*) AS DOUBLE) AS gap FROM cu GROUP BY 1, 2", "cu")
 cte("wk", f"SELECT unit, seg, org, round(impact, 4) AS impact FROM cd WHERE NOT {_SKIP}", "cd")
 
 
@@ -306,7 +306,7 @@ cte("gc", "SELECT * FROM (WITH " + ", ".join(_need(k) for k in (1.0, 1.2, 1.5))
 
 def cover(i):
     w = Work(i)
-    gaps = w.cust.where(F.col("seg").isin("BUILDING", "MACHINERY")).groupBy("unit", "seg").agg(F.count(F.lit(1)).cast("double").alias("gap"))
+    gaps = w.cust.groupBy("unit", "seg").agg(F.count(F.lit(1)).cast("double").alias("gap"))
     rows = w.cands.where("decision = 'work'").select("unit", "region", "seg", "org", F.round("impact", 4).alias("impact"))
     return wl.greedy_cover(rows, gaps, width=2.0)
 
