@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,9 @@ class GateError(RuntimeError):
     """A check before writing failed; the mart is left as it was."""
 
 
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def read_or_none(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        return spark.read.format(kind).load(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -69,19 +71,74 @@ def newer_run_guard(spark: SparkSession, path: str, period, run_id: int, run_col
 
 # -------------------------------------------------------------------- writes
 
-def mart_replace_period(df: DataFrame, path: str, period, owner: str) -> None:
+def claim(spark: SparkSession, path: str, content: str) -> bool:
+    """Creates a file that must not exist yet: of all writers that try, one succeeds."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError:
+        if fs.exists(target):
+            return False
+        raise
+    out.write(bytearray(content.encode()))
+    out.close()
+    return True
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame | None:
+    """step, content of every commit of a mart, or none."""
+    files = read_or_none(spark, f"{path}/commits", "text")
+    return None if files is None else files.select(F.element_at(F.split("_metadata.file_path", "/"), -1).cast("long").alias("step"), F.col("value").alias("content"))
+
+
+def last_step(spark: SparkSession, path: str) -> int:
+    c = commits(spark, path)
+    return 0 if c is None else c.agg(F.max("step")).first()[0] or 0
+
+
+def mart_replace_period(df: DataFrame, path: str, period, owner: str, seen: int | None = None) -> None:
     """Replace exactly one owner's rows of one period; a name that stopped firing disappears.
 
-    The rows are written beside the old ones as a version of their own. Only then one appended log row names it,
-    so a write that fails on the way leaves the period as it was, and readers never see a part of one.
+    The rows are written beside the old ones as a version of their own. Only then the writer takes the next step, a file that
+    only one writer can create, and one appended log row names the version; so a write that fails on the way leaves the
+    period as it was, and readers never see a part of one. ``seen`` is the step the rows were derived from, by default the
+    last one before the write. When another writer has replaced the same period and owner since, this one is refused; when
+    it has replaced another, the next free step is taken.
     """
     spark, version = df.sparkSession, uuid4().hex
+    seen = last_step(spark, path) if seen is None else seen
     df.write.parquet(f"{path}/rows/period={period}/owner={owner}/v=r{version}")
-    log = read_or_none(spark, f"{path}/log")
-    step = 1 + ((log.agg(F.max("step")).first()[0] or 0) if log is not None else 0)
+    own, step = json.dumps([str(period), owner]), seen + 1
+    while True:
+        since = commits(spark, path)
+        if since is not None and not since.where((F.col("step") > seen) & (F.col("content") == own)).isEmpty():
+            raise GateError(f"period {period} of {owner} was replaced since step {seen}")
+        if claim(spark, f"{path}/commits/{step:012d}", own):
+            break
+        step += 1
+    # steps taken between the look and the claim are found now, so that of two writers of one period one is refused; a step
+    # whose content is not there yet may be the same period
+    n, same = commits(spark, path).where((F.col("step") > seen) & (F.col("step") < step)).agg(F.count(F.lit(1)), F.count_if(F.col("content") == own)).first()
+    if same or n < step - seen - 1:
+        raise GateError(f"period {period} of {owner} was replaced since step {seen}")
     spark.createDataFrame([(str(period), owner, f"r{version}", step)], "p string, o string, v string, step long").coalesce(1).write.mode("append").parquet(f"{path}/log")
 
 
+def remove_old_versions(spark: SparkSession, path: str) -> int:
+    """Deletes row versions that no reader of the latest log would read; call it when no reader of older ones is left."""
+    log = spark.read.parquet(f"{path}/log")
+    latest = log.groupBy("p", "o").agg(F.max_by("v", "step").alias("v"))
+    old = log.join(latest, ["p", "o", "v"], "left_anti").collect()
+    jvm = spark._jvm
+    gone = 0
+    for r in old:
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/rows/period={r['p']}/owner={r['o']}/v={r['v']}")
+        gone += bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True))
+    return gone
+
+
 def read_mart(spark: SparkSession, path: str) -> DataFrame:
     """The rows of every period and owner's latest version."""
     latest = spark.read.parquet(f"{path}/log").groupBy("p", "o").agg(F.max_by("v", "step").alias("v"))
@@ -96,10 +153,20 @@ def mart_swap(frames: dict[str, DataFrame], path: str, run_id: int, checks: Call
     newest manifest row, so a failed run leaves the old version current and the new one aside.
     """
     spark = next(iter(frames.values())).sparkSession
-    for name, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{path}/v={run_id}/{name}")
-    written = {n: spark.read.parquet(f"{path}/v={run_id}/{n}") for n in frames}
-    if not checks(written):
+    mark = f"{path}/claims/{run_id}"
+    if not claim(spark, mark, str(run_id)):
+        raise GateError(f"run {run_id} was published or is being published by another writer")
+    good = False
+    try:
+        for name, df in frames.items():
+            df.write.mode("overwrite").parquet(f"{path}/v={run_id}/{name}")
+        written = {n: spark.read.parquet(f"{path}/v={run_id}/{n}") for n in frames}
+        good = bool(checks(written))
+    finally:
+        if not good:  # the run may be tried again
+            target = spark._jvm.org.apache.hadoop.fs.Path(mark)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, False)
+    if not good:
         return False
     spark.createDataFrame([(run_id,)], "run_id bigint").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return True
