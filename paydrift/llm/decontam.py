@@ -63,6 +63,48 @@ def seed_keys(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(acc)
 
 
+def progressions(key: np.ndarray, group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place, length and step of runs of equally distant places with one key and group; places rise within those."""
+    n = len(place)
+    if not n:
+        return place, place, place
+    first = np.ones(n, bool)
+    first[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+    gap = np.diff(place, prepend=place[:1])
+    new = first.copy()
+    # a place begins a run when the distance to the place before is not that of the run
+    new[2:] |= ~first[1:-1] & (gap[2:] != gap[1:-1])
+    start = np.flatnonzero(new)
+    length = np.diff(np.append(start, n))
+    return place[start], length, np.where(length > 1, gap[np.minimum(start + 1, n - 1)], 0)
+
+
+def _singled(pair: np.ndarray) -> np.ndarray:
+    """Pairs of runs with different steps as pairs of a place of the shorter and the longer run."""
+    p, k, s, q, l, t = pair
+    left = k <= l
+    n = np.where(left, k, l)
+    which = np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    out = pair[:, which].copy()
+    mine = left[which]
+    out[0] += np.where(mine, j * s[which], 0)
+    out[3] += np.where(mine, 0, j * t[which])
+    out[1], out[4] = np.where(mine, 1, k[which]), np.where(mine, l[which], 1)
+    return out
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Distinct columns of three rows of integers."""
+    low = rows.min(1)
+    span = [int(x) for x in rows.max(1) - low + 1]
+    if span[0] * span[1] * span[2] >= 1 << 62:
+        return np.unique(rows, axis=1)
+    a, b, c = rows - low[:, None]
+    code = np.unique((a * span[1] + b) * span[2] + c)
+    return np.stack([code // span[2] // span[1], code // span[2] % span[1], code % span[2]]) + low[:, None]
+
+
 class Index:
     """Sorted seed keys of a block of items with item and position, and the items' token hashes."""
 
@@ -77,7 +119,7 @@ class Index:
 
     @cached_property
     def tables(self) -> list[tuple]:
-        """(mask, salt, keys in order, token place of each, flags), built where they are used; short items get a mask of their own length."""
+        """(mask, salt, key of each run in order, runs, flags), built where they are used; short items get a mask of their own length."""
         masks, item, lengths = self.masks, self.item, np.diff(self.bounds)
         left = np.repeat(self.bounds[1:], lengths) - np.arange(len(self.hashes))
         out = []
@@ -95,27 +137,46 @@ class Index:
             # a flag for the low bits of every key rules out nearly all windows before the binary search
             flags = np.zeros(1 << max(10, (FLAGS * len(order)).bit_length()), bool)
             flags[(keys[place] & np.uint64(len(flags) - 1)).astype(np.int64)] = True
-            out.append((mask, salt, keys[place][order], place[order], flags))
+            place = place[order]
+            runs = progressions(keys[place], item[place], place)
+            out.append((mask, salt, keys[runs[0]], runs, flags))
         return out
 
     def hits(self, hashes: np.ndarray, doc: np.ndarray) -> set[tuple[int, int, int]]:
-        """Distinct (document, item, token shift) with at least one equal seed."""
-        found = set()
-        for mask, salt, keys, place, flags in self.tables:
+        """Distinct (document, item, token shift) with at least one equal seed.
+
+        Places of one key that stand at equal distances, as in repeated words or lines, are one run on either side. A pair
+        of runs is a range of shifts, so a repetitive text beside a repetitive item costs its shifts and not its pairs of places.
+        """
+        found: set[tuple[int, int, int]] = set()
+        for mask, salt, keys, (place, length, step), flags in self.tables:
             m = len(hashes) - len(mask) + 1
             if m <= 0 or not len(keys):
                 continue
             mine = seed_keys(hashes, mask, salt)
             hit = np.flatnonzero(flags[(mine & np.uint64(len(flags) - 1)).astype(np.int64)])
             hit = hit[doc[hit] == doc[hit + len(mask) - 1]]
-            lo = np.searchsorted(keys, mine[hit])
-            n = np.searchsorted(keys, mine[hit], "right") - lo
-            if not n.any():
+            near = np.minimum(np.searchsorted(keys, mine[hit]), len(keys) - 1)
+            hit = hit[keys[near] == mine[hit]]
+            if not len(hit):
                 continue
-            at = np.repeat(hit, n)
-            there = place[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            rows = np.unique(np.stack([doc[at], self.item[there], at - there], 1), axis=0)
-            found.update(map(tuple, rows.tolist()))
+            hit = hit[np.lexsort((hit, mine[hit], doc[hit]))]
+            at, many, every = progressions(mine[hit], doc[hit], hit)
+            lo = np.searchsorted(keys, mine[at])
+            n = np.searchsorted(keys, mine[at], "right") - lo
+            one = np.repeat(np.arange(len(at)), n)
+            two = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            pair = np.stack([at[one], many[one], every[one], place[two], length[two], step[two]])
+            # runs of different steps: the places of the shorter one are runs of their own
+            odd = (pair[1] > 1) & (pair[4] > 1) & (pair[2] != pair[5])
+            if odd.any():
+                pair = np.concatenate([pair[:, ~odd], _singled(pair[:, odd])], 1)
+            p, k, s, q, l, t = pair
+            s = np.where(k > 1, s, t)
+            count = k + l - 1
+            shifts = np.repeat(p - q - (l - 1) * s, count) + np.repeat(s, count) * (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
+            rows = np.stack([np.repeat(doc[p], count), np.repeat(self.item[q], count), shifts])
+            found.update(map(tuple, _distinct(rows).T.tolist()))
         return found
 
     def overlaps(self, hashes: np.ndarray, lo: int, hi: int, item: int, shift: int) -> list[tuple[int, int]]:
@@ -217,9 +278,9 @@ def _indexes(items: DataFrame, masks: tuple[str, ...], block_items: int) -> list
     return [Index([r["item_id"] for r in b], [r["text"] for r in b], masks) for b in item_blocks(items, block_items)]
 
 
-def numbered(rows: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, name: str = ROW) -> DataFrame:
     """The rows with a number each, written so that every reader sees the same one."""
-    return work_table(rows.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    return work_table(rows.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -263,9 +324,12 @@ def clean(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, blo
     if len(indexes) < 2:
         return docs.mapInArrow(keeper(indexes[0]), docs.schema) if indexes else docs
     # each block has workers of its own: a chain of blocks would hold all indexes at once
-    rows = numbered(docs)
-    found = reduce(DataFrame.unionAll, [rows.select(ROW, "text").mapInArrow(_searcher(x, False), f"{ROW} long, n_tokens long, spans array<struct<`from`:long,`to`:long,item:long>>").select(ROW) for x in indexes])
-    return rows.join(found, ROW, "left_anti").select(*docs.columns)
+    number = ROW
+    while number.lower() in [c.lower() for c in docs.columns]:
+        number += "_"
+    rows = numbered(docs, number)
+    found = reduce(DataFrame.unionAll, [rows.select(number, "text").mapInArrow(_searcher(x, False), f"{number} long, n_tokens long, spans array<struct<`from`:long,`to`:long,item:long>>").select(number) for x in indexes])
+    return rows.join(found, number, "left_anti").select(*docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
