@@ -72,7 +72,8 @@ def calendar_months(pan: DataFrame, min_base: float = 5000, share: float = 0.6,
 
 def calendar_part() -> Column:
     """What a common calendar shift adds to a row's leavers: its temporary leavers, up to the common share of its base."""
-    return F.coalesce(F.least("temp_left", F.col("common") * F.col("base")), F.lit(0.0))
+    # without a common shift nothing is taken out: least() alone would skip the null
+    return F.when(F.col("common").isNotNull(), F.least("temp_left", F.col("common") * F.col("base"))).otherwise(0.0)
 
 
 def calendar_component(pan: DataFrame, min_base: float = 5000, share: float = 0.6, year: int = 12) -> DataFrame:

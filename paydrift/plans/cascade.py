@@ -68,7 +68,7 @@ cte("catom", "SELECT seg || '/' || region || '/' || unit AS key, seg AS grp, seg
 # the calendar's verdict on this panel
 _needs, _body = CTES["wcal"]
 cte("ccal", _body.replace("wpan", "catom"), "catom")
-_ADJ = "coalesce(least(temp_left, common * base), 0)"
+_ADJ = "CASE WHEN common IS NOT NULL THEN least(temp_left, common * base) ELSE 0 END"
 cte("catoms", f"SELECT p.* REPLACE (out_left - {_ADJ} AS out_left) FROM catom p LEFT JOIN ccal USING (mi)", "catom", "ccal")
 cte("crest", f"""WITH o AS (SELECT seg, region, unit, mi, {', '.join(f'sum({c}) AS {c}' for c in ('base', *cs.FLOWS, 'temp_left'))} FROM ctrack GROUP BY 1, 2, 3, 4),
  r AS (SELECT a.* REPLACE ({', '.join(f'greatest(a.{c} - coalesce(o.{c}, 0), 0) AS {c}' for c in ('base', *cs.FLOWS, 'temp_left'))}) FROM catom a LEFT JOIN o USING (seg, region, unit, mi))

@@ -80,7 +80,7 @@ def _(i):
     return wa.residual(wa.panel(g, ["pf_recip"], 0, 29), ["pf_recip"]).where("pf_recip is not null")
 
 
-@query("calendar_component", "SELECT p.key, CAST(p.mi AS BIGINT) AS mi, round(coalesce(least(temp_left, common * base), 0), 4) AS calendar FROM wpan p LEFT JOIN wcal USING (mi)", ("wpan", "wcal"))
+@query("calendar_component", "SELECT p.key, CAST(p.mi AS BIGINT) AS mi, round(CASE WHEN common IS NOT NULL THEN least(temp_left, common * base) ELSE 0 END, 4) AS calendar FROM wpan p LEFT JOIN wcal USING (mi)", ("wpan", "wcal"))
 def _(i):
     return wa.calendar_component(Watch(i).panel, 4, 0.0)
 

@@ -7,15 +7,16 @@ from paydrift.operators import cascade as cs
 
 MONTHS, NOW = range(20), 19
 FLOWS = tuple(cs.FLOWS)
-CELLS = [("s", tb, 100 * tb + k) for tb in range(1, 9) for k in range(2)]
+REGIONS = range(1, 17)
+CELLS = [("s", tb, 100 * tb + k) for tb in REGIONS for k in range(2)]
 
 
 def world():
-    """Eight regions of two units; organisation 1 lies in both units of region 1, each other one in the first unit of its region."""
+    """Sixteen regions of two units; organisation 1 lies in both units of region 1, each other one in the first unit of its region."""
     atoms = {(c, t): dict(base=50_000, raw_rows=70_000, temp_left=0, single_pay=0, stopped=0, **dict.fromkeys(FLOWS, 200)) for c in CELLS for t in MONTHS}
     orgs = {}
     for t in MONTHS:
-        for tb in range(1, 9):
+        for tb in REGIONS:
             for k, share in ((0, .6), (1, .4)) if tb == 1 else ((0, 1),):
                 orgs[tb, ("s", tb, 100 * tb + k), t] = dict(base=20_000 * share, raw_rows=28_000 * share, temp_left=0, single_pay=0, stopped=0, **dict.fromkeys(FLOWS, 20 * share))
     return atoms, orgs
@@ -36,7 +37,7 @@ CELL_TYPE = "seg string, region int, unit int, mi int, " + ", ".join(f"{c} doubl
 def frames(spark, atoms, orgs):
     a = spark.createDataFrame([(*c, t, *[float(r[x]) for x in COLUMNS]) for (c, t), r in atoms.items()], CELL_TYPE)
     o = spark.createDataFrame([(org, *c, t, *[float(r[x]) for x in COLUMNS]) for (org, c, t), r in orgs.items()], "org int, " + CELL_TYPE)
-    return a, o, spark.createDataFrame([(tb, "s", tb) for tb in range(1, 9)], "org int, grp string, region int")
+    return a, o, spark.createDataFrame([(tb, "s", tb) for tb in REGIONS], "org int, grp string, region int")
 
 
 def cascade(spark, atoms, orgs, **limits):
@@ -161,74 +162,99 @@ def test_a_noisy_whole_does_not_hide_a_local_move(spark):
     assert set(got) == {(1, 100, "out_other"), (1, 101, "in_other")} and got[1, 101, "in_other"][1] == 1000
 
 
-# ------------------------------------------------------------------ levels
-def test_moves_explain_both_units_and_an_independent_arrival_stays(spark):
-    atoms, orgs = world()
-    src, dst = ("s", 2, 200), ("s", 2, 201)
-    add(atoms, orgs, 2, src, NOW, out_other=10_000)
-    add(atoms, orgs, 2, dst, NOW, in_other=10_000)
-    atoms[("s", 5, 500), NOW]["out_left"] += 9000
-    c = cascade(spark, atoms, orgs)
-    org = shown(c.org_level)
-    assert [(k, label) for k, _, _, label in org] == [("2", "recode")]
-    atom = {(k, f) for k, f, _, _ in shown(c.atom_level)}
-    assert not {("s/2/200", "out_other"), ("s/2/201", "in_other")} & atom
-    # leavers of no tracked organisation: shown as the rest of the atom, the atom and its places are explained by it
-    assert [(k, f) for k, f, _, _ in shown(c.rest_level)] == [("s/5/500", "out_left")] and ("s/5/500", "out_left") not in atom
-    assert not any(k in ("500", "5") for k, _, _, _ in shown(c.unit_level) + shown(c.region_level))
-    atoms[dst, NOW]["in_other"] += 4000
-    c = cascade(spark, atoms, orgs)
-    seen = {(k, f) for k, f, _, _ in shown(c.rest_level)} | {(k, f) for k, f, _, _ in shown(c.atom_level)}
-    assert ("s/2/201", "in_other") in seen
-
-
-def test_stops_are_labelled_and_fewer_leavers_are_not(spark):
-    atoms, orgs = world()
-    add(atoms, orgs, 2, ("s", 2, 200), NOW, out_left=15_000, stopped=14_000)
-    for t in MONTHS:
-        add(atoms, orgs, 3, ("s", 3, 300), t, out_left=2000 if t != NOW else 0)
-    atoms[("s", 3, 300), NOW]["out_left"] -= 20
-    orgs[3, ("s", 3, 300), NOW]["out_left"] = 0
-    c = cascade(spark, atoms, orgs)
-    rows = {k: (f, d, label) for k, f, d, label in shown(c.org_level)}
-    assert rows["2"][0] == "out_left" and rows["2"][1] > 10_000 and rows["2"][2] == "stop"
-    assert rows["3"][0] == "out_left" and rows["3"][1] < 0 and rows["3"][2] is None
-    card = {r["key"]: r["delta"] for r in c.as_cards(c.org_level).collect()}
-    assert card["2"] < 0 < card["3"]
+# ------------------------------------------------------------------ levels: one month with events in regions of their own
+SRC, DST = ("s", 2, 200), ("s", 2, 201)
 
 
-def test_split_organisation_makes_no_reverse_event(spark):
+def events():
     atoms, orgs = world()
+    # 1: a split organisation sends people to others from both of its units
     for k, n in ((0, 4844), (1, 5346)):
         add(atoms, orgs, 1, ("s", 1, 100 + k), NOW, out_other=n)
-    c = cascade(spark, atoms, orgs)
-    assert any(k == "1" and d > 9000 for k, _, d, _ in shown(c.org_level))
-    assert all(d > 0 for k, f, d, _ in shown(c.atom_level) if k in ("s/1/100", "s/1/101") and f == "out_other")
-    # each atom keeps its signal, as the organisation lies in neither; the region is explained by them
-    assert {k for k, f, _, _ in shown(c.atom_level) if f == "out_other"} == {"s/1/100", "s/1/101"}
-    assert not [k for k, _, _, _ in shown(c.region_level) if k == "1"]
-
-
-def test_incomplete_load_labels_leavers_of_its_region(spark):
-    atoms, orgs = world()
+    # 2: an organisation moves people from one unit to the other
+    add(atoms, orgs, 2, SRC, NOW, out_other=10_000)
+    add(atoms, orgs, 2, DST, NOW, in_other=10_000)
+    # 3: an organisation with many leavers each month has none now
+    for t in MONTHS:
+        add(atoms, orgs, 3, ("s", 3, 300), t, out_left=2000)
+    add(atoms, orgs, 3, ("s", 3, 300), NOW, out_left=-2020)
+    # 4: an organisation stops
+    add(atoms, orgs, 4, ("s", 4, 400), NOW, out_left=15_000, stopped=14_000)
+    # 5: people of no tracked organisation leave
+    atoms[("s", 5, 500), NOW]["out_left"] += 9000
+    # 6: an incomplete load
     for k in range(2, 6):
         for t in MONTHS:
             atoms[("s", 6, 600 + k), t] = dict(base=50_000, raw_rows=70_000, temp_left=0, single_pay=0, stopped=0, **dict.fromkeys(FLOWS, 200))
     for k in range(6):
         atoms[("s", 6, 600 + k), NOW].update(out_left=5000, raw_rows=50_000)
-    c = cascade(spark, atoms, orgs)
-    assert [r["key"] for r in c.underload_cards.collect()] == ["6"]
-    labels = {k: label for k, f, _, label in shown(c.rest_level.unionByName(c.atom_level)) if f == "out_left"}
-    assert labels and set(labels.values()) == {"underload"} and all(k.startswith("s/6/") for k in labels)
+    return atoms, orgs
+
+
+@pytest.fixture(scope="module")
+def month(spark):
+    return cascade(spark, *events())
+
+
+def by_key(x, flow=None):
+    return {k: (f, d, label) for k, f, d, label in shown(x) if flow in (None, f)}
+
+
+def test_a_split_organisation_makes_no_reverse_event(month):
+    assert by_key(month.org_level)["1"][1] > 9000
+    atom = by_key(month.atom_level, "out_other")
+    # each atom keeps its signal, as the organisation lies in neither; the region is explained by them
+    assert {k for k in atom if k.startswith("s/1/")} == {"s/1/100", "s/1/101"} and all(d > 0 for _, d, _ in atom.values())
+    assert "1" not in by_key(month.region_level)
+
+
+def test_moves_explain_both_units(month):
+    assert by_key(month.org_level)["2"][2] == "recode"
+    lower = {(k, f) for x in (month.rest_level, month.atom_level) for k, f, _, _ in shown(x)}
+    assert not {("s/2/200", "out_other"), ("s/2/201", "in_other")} & lower
+    assert not {"200", "201", "2"} & (set(by_key(month.unit_level)) | set(by_key(month.region_level)))
+
+
+def test_stops_are_labelled_and_fewer_leavers_are_not(month):
+    rows = by_key(month.org_level)
+    assert rows["4"][0] == "out_left" and rows["4"][1] > 10_000 and rows["4"][2] == "stop"
+    assert rows["3"][0] == "out_left" and rows["3"][1] < 0 and rows["3"][2] is None
+    card = {r["key"]: r["delta"] for r in month.as_cards(month.org_level).collect()}
+    assert card["4"] < 0 < card["3"]
+
+
+def test_the_rest_explains_its_atom_and_the_places_above(month):
+    # leavers of no tracked organisation are shown as the rest of the atom and nowhere else
+    assert by_key(month.rest_level)["s/5/500"][0] == "out_left" and "s/5/500" not in by_key(month.atom_level)
+    assert not {"500", "5"} & (set(by_key(month.unit_level)) | set(by_key(month.region_level)))
+
+
+def test_an_incomplete_load_labels_the_leavers_of_its_region(month):
+    assert [r["key"] for r in month.underload_cards.collect()] == ["6"]
+    labels = {k: label for x in (month.rest_level, month.atom_level) for k, f, _, label in shown(x) if f == "out_left" and k.startswith("s/6/")}
+    assert labels and set(labels.values()) == {"underload"}
+
+
+def test_an_independent_arrival_beside_a_move_stays(spark, month):
+    atoms, orgs = events()
+    atoms[DST, NOW]["in_other"] += 4000
+    more = cascade(spark, atoms, orgs)
+    assert "s/2/201" in by_key(more.rest_level, "in_other") and "s/2/201" not in by_key(month.rest_level)
 
 
 def test_a_common_calendar_shift_is_taken_out_of_the_leavers(spark):
     atoms, orgs = world()
-    for (c, t), r in atoms.items():
+    for r in atoms.values():
         r["single_pay"] = 100
     for c in CELLS:
         atoms[c, NOW].update(out_left=450, temp_left=250, single_pay=500)
     c = cascade(spark, atoms, orgs)
-    assert not shown(c.atom_level) and not shown(c.rest_level) and not shown(c.temporal_level)
-    plain = c.melted(c.atom_panel).where((F.col("mi") == NOW) & (F.col("flow") == "out_left")).agg(F.max("value")).first()[0]
-    assert plain == pytest.approx(200)
+    left = c.melted(c.atom_panel).where((F.col("mi") == NOW) & (F.col("flow") == "out_left")).agg(F.min("value"), F.max("value")).first()
+    assert tuple(left) == pytest.approx((200, 200))
+    # a shift in one region is no calendar
+    atoms, orgs = world()
+    for r in atoms.values():
+        r["single_pay"] = 100
+    atoms[CELLS[0], NOW].update(out_left=450, temp_left=250, single_pay=500)
+    c = cascade(spark, atoms, orgs)
+    assert c.melted(c.atom_panel).where((F.col("mi") == NOW) & (F.col("flow") == "out_left")).agg(F.max("value")).first()[0] == 450
