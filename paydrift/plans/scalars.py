@@ -217,6 +217,18 @@ def _(i):
     return tx.classification_coverage(_classified(i), "cls", "unknown")
 
 
+@query("rule_book_on_parts", """WITH t AS (SELECT DISTINCT upper(unnest(string_split(p_name, ' '))) AS w FROM part),
+ m AS (SELECT p_partkey, min(length(w)) AS n FROM part JOIN t ON CASE WHEN length(w) % 2 = 0 THEN list_contains(string_split(upper(p_name), ' '), w) ELSE contains(upper(p_name), w) END GROUP BY 1)
+ SELECT p_partkey, coalesce('length ' || n, 'unknown') AS cls FROM part LEFT JOIN m USING (p_partkey)""")
+def _(i):
+    """A rule book that comes as a table: words of each length, whole or as stems, first rule wins."""
+    n = F.length("w")
+    words = i.table("part").select(F.explode(F.split(F.upper("p_name"), " ")).alias("w")).where("w <> ''").distinct()
+    book = words.groupBy(n.alias("position")).agg(F.concat_ws("|", F.sort_array(F.collect_set("w"))).alias("words")).select(
+        "position", F.concat(F.lit("length "), F.col("position").cast("string")).alias("label"), F.when(F.col("position") % 2 == 0, "word").otherwise("stem").alias("kind"), "words")
+    return i.table("part").select("p_partkey", tx.classify_by_rules(tx.norm_name("p_name"), tx.rules_from_table(book), "unknown").alias("cls"))
+
+
 @query("code_kinds", """SELECT DISTINCT p_name AS name, CASE WHEN p_name ILIKE '%ring%' THEN 'adv' WHEN p_name ILIKE 'red%' THEN 'sal' ELSE 'other' END AS kind FROM part""")
 def _(i):
     return tx.code_kinds(i.table("part").select(F.col("p_name").alias("name")).distinct(), advance="(?iu)ring", salary="(?iu)^red")
