@@ -32,12 +32,11 @@ def org_panel(facts: DataFrame, meta: DataFrame, first: int, last: int) -> DataF
     return g.withColumns({"outflow": F.greatest(F.coalesce(-d, F.lit(0)), F.lit(0)), "inflow": F.greatest(F.coalesce(d, F.lit(0)), F.lit(0)), "base": F.coalesce(prev, F.lit(0))})
 
 
-def rule_forecast(pan: DataFrame, one_off: float = ONE_OFF, recovered: float = RECOVERED, up: float = SEASON_UP, down: float = SEASON_DOWN,
-                  persist: str = "mean", min_fallback: float = 5.0, year: int = 12) -> DataFrame:
-    """Rule formula: seasonal move, persistent outflow, one-off outflow; positive is outflow, capped at the stock.
+def rule_features(pan: DataFrame, min_fallback: float = 5.0, year: int = 12) -> DataFrame:
+    """What the rule formula reads of an organisation's past, beside the panel: lags, last year, seasonal ratio.
 
     The seasonal ratio comes from earlier averages of the target's and the base's calendar months, else
-    from last year. Season goes before persistent outflow.
+    from last year.
     """
     w = _w()
     lag = lambda c, k: F.lag(c, k).over(w).cast("double")
@@ -53,14 +52,25 @@ def rule_forecast(pan: DataFrame, one_off: float = ONE_OFF, recovered: float = R
     x = x.withColumns({"o1": lag("outflow", 1), "o2": lag("outflow", 2), "b": F.col("base").cast("double"), "before": lag("stock", year + 1), "fl_y": lag("stock", year), "out_y": lag("outflow", year),
                        "after": F.greatest(lag("stock", 11), lag("stock", 10), lag("stock", 9)), "r_idx": ratio_idx})
     c = F.col
-    x = x.withColumn("ratio", F.coalesce("r_idx", F.when(c("before") >= min_fallback, c("fl_y") / F.greatest(c("before"), F.lit(1.0)))))
+    return x.withColumn("ratio", F.coalesce("r_idx", F.when(c("before") >= min_fallback, c("fl_y") / F.greatest(c("before"), F.lit(1.0)))))
+
+
+def rule_value(one_off: float = ONE_OFF, recovered: float = RECOVERED, up: float = SEASON_UP, down: float = SEASON_DOWN, persist: str = "mean") -> Column:
+    """The rule over ``rule_features``: season before persistent outflow; positive is outflow, capped at the stock."""
+    c = F.col
     both = (c("o1") > 0) & (c("o2") > 0)
     keep = {"max": F.greatest("o1", "o2"), "min": F.least("o1", "o2"), "mean": (c("o1") + c("o2")) / 2}[persist]
     per = F.when(both, keep).otherwise(0.0)
     rec = F.coalesce((c("out_y") > 0) & (c("before") > 0) & (c("after") >= BACK * c("before")), F.lit(False))
     drop = F.greatest(per, c("b") * (1 - c("ratio"))) * F.when(rec, recovered).otherwise(1.0)
     pred = (F.when(c("ratio") > up, -c("b") * (c("ratio") - 1)).when(c("ratio") < down, drop).when(both, per).when(c("o1") > 0, c("o1") * one_off).otherwise(0.0))
-    return x.select("org", "mi", F.when(pred > 0, F.least(pred, c("b"))).otherwise(pred).alias("rule"))
+    return F.when(pred > 0, F.least(pred, c("b"))).otherwise(pred)
+
+
+def rule_forecast(pan: DataFrame, one_off: float = ONE_OFF, recovered: float = RECOVERED, up: float = SEASON_UP, down: float = SEASON_DOWN,
+                  persist: str = "mean", min_fallback: float = 5.0, year: int = 12) -> DataFrame:
+    """Rule formula: seasonal move, persistent outflow, one-off outflow per organisation and month."""
+    return rule_features(pan, min_fallback, year).select("org", "mi", rule_value(one_off, recovered, up, down, persist).alias("rule"))
 
 
 def pooled_rates(pan: DataFrame, part: str = "outflow") -> DataFrame:

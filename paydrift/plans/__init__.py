@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core", "movement", "monthly", "scalars", "yoy", "attraction", "triggers", "feed", "anomaly", "worklist", "watch", "cascade", "long_history", "backtest")
+MODULES = ("core", "movement", "monthly", "scalars", "yoy", "attraction", "triggers", "feed", "anomaly", "worklist", "watch", "cascade", "long_history", "backtest", "forecast_grid")
 
 
 def load() -> None:

@@ -47,12 +47,13 @@ cte("bp", f"""WITH f AS (SELECT person AS org, mi, count(*) AS stock FROM payrol
  d AS (SELECT g.*, lag(stock) OVER (PARTITION BY org ORDER BY mi) AS p FROM g)
  SELECT d.org, mi, stock, present, c_nationkey AS unit, c_mktsegment AS seg, greatest(coalesce(p - stock, 0), 0) AS outflow, greatest(coalesce(stock - p, 0), 0) AS inflow, coalesce(p, 0) AS base, CASE WHEN (d.org + mi) % 5 = 0 THEN 2 ELSE 0 END AS pipe,
   least(greatest(coalesce(stock - p, 0), 0), 1) AS booked_in, least(greatest(coalesce(p - stock, 0), 0), 1) AS booked_out FROM d JOIN customer ON c_custkey = d.org""", "payroll")
-cte("brf", """WITH x AS (SELECT *, mi % 12 AS sl, CASE WHEN present THEN stock END AS x FROM bp), y AS (SELECT *, coalesce(avg(x) OVER (PARTITION BY org, sl ORDER BY mi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ac, count(*) OVER (PARTITION BY org, sl ORDER BY mi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nc,
+cte("brr", """WITH x AS (SELECT *, mi % 12 AS sl, CASE WHEN present THEN stock END AS x FROM bp), y AS (SELECT *, coalesce(avg(x) OVER (PARTITION BY org, sl ORDER BY mi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ac, count(*) OVER (PARTITION BY org, sl ORDER BY mi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nc,
    coalesce(avg(x) OVER (PARTITION BY org, sl ORDER BY mi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS ai, count(*) OVER (PARTITION BY org, sl ORDER BY mi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ni FROM x),
  z AS (SELECT *, lag(ai) OVER w AS al, lag(ni) OVER w AS nl, lag(outflow) OVER w AS o1, lag(outflow, 2) OVER w AS o2, lag(stock, 13) OVER w AS bf, lag(stock, 12) OVER w AS fy, lag(outflow, 12) OVER w AS oy, greatest(lag(stock, 11) OVER w, lag(stock, 10) OVER w, lag(stock, 9) OVER w) AS af FROM y WINDOW w AS (PARTITION BY org ORDER BY mi)),
- r AS (SELECT *, coalesce(CASE WHEN nc >= 2 AND nl >= 2 AND al > 0 THEN ac / al END, CASE WHEN bf >= 5 THEN fy / greatest(bf, 1) END) AS ratio, o1 > 0 AND o2 > 0 AS bth, coalesce(oy > 0 AND bf > 0 AND af >= 0.95 * bf, false) AS rec FROM z),
- q AS (SELECT *, CASE WHEN ratio > 1.1 THEN -base * (ratio - 1) WHEN ratio < 0.9 THEN greatest(CASE WHEN bth THEN (o1 + o2) / 2 ELSE 0 END, base * (1 - ratio)) * CASE WHEN rec THEN 0.5 ELSE 1 END WHEN bth THEN (o1 + o2) / 2 WHEN o1 > 0 THEN o1 * 0.5 ELSE 0 END AS pr FROM r)
- SELECT org, mi, CASE WHEN pr > 0 THEN least(pr, base) ELSE pr END AS rule FROM q""", "bp")
+ r AS (SELECT *, coalesce(CASE WHEN nc >= 2 AND nl >= 2 AND al > 0 THEN ac / al END, CASE WHEN bf >= 5 THEN fy / greatest(bf, 1) END) AS ratio, o1 > 0 AND o2 > 0 AS bth, coalesce(oy > 0 AND bf > 0 AND af >= 0.95 * bf, false) AS rec FROM z)
+ SELECT * FROM r""", "bp")
+cte("brf", """WITH q AS (SELECT *, CASE WHEN ratio > 1.1 THEN -base * (ratio - 1) WHEN ratio < 0.9 THEN greatest(CASE WHEN bth THEN (o1 + o2) / 2 ELSE 0 END, base * (1 - ratio)) * CASE WHEN rec THEN 0.5 ELSE 1 END WHEN bth THEN (o1 + o2) / 2 WHEN o1 > 0 THEN o1 * 0.5 ELSE 0 END AS pr FROM brr)
+ SELECT org, mi, CASE WHEN pr > 0 THEN least(pr, base) ELSE pr END AS rule FROM q""", "brr")
 for _p, _c in (("o", "outflow"), ("i", "inflow")):
     cte(f"bpr{_p}", f"""WITH m AS (SELECT seg, mi, sum({_c}) AS p, sum(base) AS q FROM bp WHERE present GROUP BY 1, 2), t AS (SELECT mi, sum(p) AS p, sum(q) AS q FROM m GROUP BY 1),
      u AS (SELECT mi, sum(p) OVER w / nullif(sum(q) OVER w, 0) AS rate_all FROM t WINDOW w AS (ORDER BY mi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
