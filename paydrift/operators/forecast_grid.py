@@ -24,6 +24,8 @@ COMBINATION = ("base", "o", "i", "p")
 #: A line is fitted to at least so many past cells; a factor stays within the limits (fixed values).
 LEAST_CELLS, FACTOR_LOW, FACTOR_HIGH = 10, 0.5, 2.0
 SINGULAR = 1e-9
+#: Variants whose errors agree to so many digits are equal and ordered by name: sums are folded in any order.
+DIGITS = 9
 
 
 def _names(variants: Sequence[Variant], family: str) -> list[Variant]:
@@ -89,7 +91,9 @@ def month_errors(cells: DataFrame, variants: Sequence[Variant], bases: Sequence[
     """
     factors = calibration_factors(cells, variants, bases, double_count).groupBy("base", "o", "mi", "region", "seg").agg(
         F.collect_list(F.struct("i", "p", "k_global", "k_region", "k_seg", "slope", "intercept")).alias("f"))
-    x = _with_outflow(cells, bases).join(factors, ["base", "o", "mi", "region", "seg"])
+    # an unknown region or segment is a group of its own, so these two keys meet null-safe
+    x = _with_outflow(cells, bases).join(factors.withColumnsRenamed({"region": "_r", "seg": "_s"}), ["base", "o", "mi"]).where(
+        F.col("region").eqNullSafe(F.col("_r")) & F.col("seg").eqNullSafe(F.col("_s")))
     x = x.select("base", "o", "mi", "fact", "plan", "rest", "in_terms", "pipe_terms", F.inline("f"))
     c = F.col
     x = x.withColumn("raw", F.greatest(c("rest") + F.get("in_terms", c("i")) + F.get("pipe_terms", c("p")), F.lit(0.0)))
@@ -117,7 +121,7 @@ def scores(errors: DataFrame) -> DataFrame:
 
 def leaders(errors: DataFrame, n: int) -> DataFrame:
     """The n best variants by WAPE, ties by name; a report with a limit."""
-    return scores(errors).orderBy("wape", *VARIANT).limit(n)
+    return scores(errors).orderBy(F.round("wape", DIGITS), *VARIANT).limit(n)
 
 
 def month_detail(errors: DataFrame, variants: DataFrame) -> DataFrame:
@@ -131,7 +135,7 @@ def honest_choice(errors: DataFrame) -> DataFrame:
     past = W.partitionBy(*VARIANT).orderBy("mi").rangeBetween(W.unboundedPreceding, -1)
     x = errors.withColumns({"wape_past": fc.share(F.sum("err").over(past), F.sum("y").over(past)), "wape": fc.share("err", "y")})
     # both picks fold in one aggregation: a variant without a past month is no candidate for the first
-    known = F.when(F.col("wape_past").isNotNull(), F.struct("wape_past", *VARIANT))
+    known = F.when(F.col("wape_past").isNotNull(), F.struct(F.round("wape_past", DIGITS), *VARIANT))
     g = x.groupBy("mi").agg(F.min_by(F.struct(*VARIANT, "wape_past", "wape"), known).alias("b"), F.min("wape").alias("wape_best"))
     return g.where("b is not null").select("mi", "b.*", "wape_best")
 
@@ -139,7 +143,7 @@ def honest_choice(errors: DataFrame) -> DataFrame:
 def without_terms(errors: DataFrame) -> DataFrame:
     """What each term of the best variant is worth: the winner, then the winner without a term, a calibration, everything."""
     score = scores(errors).select(*VARIANT, "wape", "bias", "exec_pp")
-    best = score.agg(F.min_by(F.struct(*VARIANT), F.struct("wape", *VARIANT)).alias("w")).select("w.*")
+    best = score.agg(F.min_by(F.struct(*VARIANT), F.struct(F.round("wape", DIGITS), *VARIANT)).alias("w")).select("w.*")
     drops = {"winner": (), "no outflow": ("out_term",), "no inflow": ("in_term",), "no pipeline": ("pipe_term",), "no calibration": ("calib",),
              "base only": ("out_term", "in_term", "pipe_term", "calib")}
     cases = F.array(*[F.struct(F.lit(name).alias("case"), *[(F.lit("none") if v in drop else F.col(v)).alias(v) for v in VARIANT]) for name, drop in drops.items()])
@@ -149,7 +153,7 @@ def without_terms(errors: DataFrame) -> DataFrame:
 def best_of_family(errors: DataFrame, family: str) -> DataFrame:
     """The best variant with each term of a family."""
     s = scores(errors).select(*VARIANT, "wape")
-    return s.groupBy(family).agg(F.min_by(F.struct(*[v for v in VARIANT if v != family], "wape"), F.struct("wape", *VARIANT)).alias("b")).select(family, "b.*")
+    return s.groupBy(family).agg(F.min_by(F.struct(*[v for v in VARIANT if v != family], "wape"), F.struct(F.round("wape", DIGITS), *VARIANT)).alias("b")).select(family, "b.*")
 
 
 def naive_forecasts(cells: DataFrame, keys: Sequence[str], first: int, trends: Sequence[int] = (2, 3)) -> DataFrame:

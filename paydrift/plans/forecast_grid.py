@@ -188,7 +188,7 @@ def _(i):
 
 
 def _family(name: str):
-    @query(f"term_variants_{name}", f"SELECT CAST(unit AS BIGINT) AS unit, seg, CAST(mi AS BIGINT) AS mi, term, round(v, 4) + 0.0 AS value FROM gt{name}", f"gt{name}")
+    @query(f"term_variants_{name}", f"SELECT CAST(unit AS BIGINT) AS unit, seg, CAST(mi AS BIGINT) AS mi, term, round(v, 6) + 0.0 AS value FROM gt{name}", f"gt{name}", digits=6)
     def _(i):
         names = F.array(*[F.lit(v.name) for v in ft.all_variants() if v.family == name])
         return Grid(i).rolled.select("unit", "seg", "mi", F.posexplode(f"{name}_terms").alias("at", "value")).select("unit", "seg", "mi", F.get(names, F.col("at")).alias("term"), "value")
@@ -212,19 +212,19 @@ def _(i):
     return fg.scores(Grid(i).errors)
 
 
-@query("forecast_months", f"""SELECT {_V}, CAST(mi AS BIGINT) AS mi, round(err / y, 4) AS wape, round(sign / y, 4) + 0.0 AS bias, round(exec / nullif(n_plan, 0), 4) AS exec_pp FROM ge JOIN (SELECT {_V} FROM gs ORDER BY wape, {_V} LIMIT 25) USING ({_V})""", ("ge", "gs"))
+@query("forecast_months", f"""SELECT {_V}, CAST(mi AS BIGINT) AS mi, round(err / y, 4) AS wape, round(sign / y, 4) + 0.0 AS bias, round(exec / nullif(n_plan, 0), 4) AS exec_pp FROM ge JOIN (SELECT {_V} FROM gs ORDER BY round(wape, 9), {_V} LIMIT 25) USING ({_V})""", ("ge", "gs"))
 def _(i):
     e = Grid(i).errors
     return fg.month_detail(e, fg.leaders(e, 25))
 
 
 @query("forecast_honest", f"""WITH x AS (SELECT *, sum(err) OVER w / sum(y) OVER w AS wape_past, err / y AS wape FROM ge WINDOW w AS (PARTITION BY {_V} ORDER BY mi RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), b AS (SELECT mi, min(wape) AS wape_best FROM x GROUP BY 1)
- SELECT CAST(mi AS BIGINT) AS mi, {_round('wape_past', 'wape', 'wape_best')} FROM x JOIN b USING (mi) WHERE wape_past IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mi ORDER BY wape_past, {_V}) = 1""", "ge")
+ SELECT CAST(mi AS BIGINT) AS mi, {_round('wape_past', 'wape', 'wape_best')} FROM x JOIN b USING (mi) WHERE wape_past IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mi ORDER BY round(wape_past, 9), {_V}) = 1""", "ge")
 def _(i):
     return fg.honest_choice(Grid(i).errors).select("mi", "wape_past", "wape", "wape_best")
 
 
-@query("forecast_without_terms", f"""WITH w AS (SELECT * FROM gs ORDER BY wape, {_V} LIMIT 1), c AS (SELECT * FROM (VALUES ('winner', 0, 0, 0, 0), ('no outflow', 1, 0, 0, 0), ('no inflow', 0, 1, 0, 0), ('no pipeline', 0, 0, 1, 0), ('no calibration', 0, 0, 0, 1), ('base only', 1, 1, 1, 1)) v("case", o, i, p, k)),
+@query("forecast_without_terms", f"""WITH w AS (SELECT * FROM gs ORDER BY round(wape, 9), {_V} LIMIT 1), c AS (SELECT * FROM (VALUES ('winner', 0, 0, 0, 0), ('no outflow', 1, 0, 0, 0), ('no inflow', 0, 1, 0, 0), ('no pipeline', 0, 0, 1, 0), ('no calibration', 0, 0, 0, 1), ('base only', 1, 1, 1, 1)) v("case", o, i, p, k)),
  d AS (SELECT "case", base, CASE WHEN o = 1 THEN 'none' ELSE out_term END AS out_term, CASE WHEN i = 1 THEN 'none' ELSE in_term END AS in_term, CASE WHEN p = 1 THEN 'none' ELSE pipe_term END AS pipe_term, CASE WHEN k = 1 THEN 'none' ELSE calib END AS calib FROM w, c)
  SELECT "case", {_V}, {_round('wape', 'bias', 'exec_pp')} FROM d JOIN gs USING ({_V})""", "gs")
 def _(i):

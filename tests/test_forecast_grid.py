@@ -89,7 +89,7 @@ VARIANTS = [ft.Variant("out", "none", None), ft.Variant("out", "lost", None), ft
 
 def _cells():
     rows = []
-    for m, (unit, region, seg) in itertools.product(range(5), [(1, 1, "a"), (2, 1, "b"), (3, 2, "a"), (4, 2, "b")]):
+    for m, (unit, region, seg) in itertools.product(range(5), [(1, 1, "a"), (2, 1, "b"), (3, 2, "a"), (4, 2, "b"), (5, None, None)]):
         k = (7 * m + 3 * unit) % 11
         fact = 0 if (m, unit) == (2, 3) else 50 + 5 * k - 4 * unit
         plan = None if unit == 4 else 60.0
