@@ -181,6 +181,26 @@ def org_outflow(net: DataFrame, first: int, last: int) -> DataFrame:
                                         F.sort_array(F.collect_set(F.when(F.col("kept") > 0, F.col("mi")))).alias("out_months"))
 
 
+def outflow_with_pipeline(net: DataFrame, pipe: DataFrame, seg_of: DataFrame, first: int, last: int) -> DataFrame:
+    """Outflow of an organisation beside its pipeline, one row where either side knows it.
+
+    ``pipe``: unit, org, plan, fact, rest, expected, seg_deal. The segment comes from the outflow, else from the deals, else
+    from the directory ``seg_of`` (org, seg); blank counts as missing, the largest of several is taken. Quantities one
+    side does not know are 0, an unknown segment stays NULL.
+    """
+    def some(c: str) -> Column:
+        return F.when(F.trim(c) != "", F.trim(c))
+
+    own = net.where(F.col("mi").between(first, last)).groupBy("unit", "org").agg(F.max(some("seg")).alias("seg_fact"))
+    out = org_outflow(net, first, last).join(own, ["unit", "org"])
+    deals = pipe.groupBy("unit", "org").agg(*[F.sum(c).alias(c) for c in ("plan", "fact", "rest", "expected")], F.max(some("seg_deal")).alias("seg_deal"))
+    directory = seg_of.groupBy("org").agg(F.max(some("seg")).alias("seg_dir"))
+    j = out.join(deals, ["unit", "org"], "full").join(directory, "org", "left").na.fill(0, ["out_qty", "ret_qty", "kept", "plan", "fact", "rest", "expected"])
+    source = F.when(F.col("seg_fact").isNotNull(), "outflow").when(F.col("seg_deal").isNotNull(), "deal").when(F.col("seg_dir").isNotNull(), "directory")
+    return j.select("unit", "org", F.coalesce("seg_fact", "seg_deal", "seg_dir").alias("seg"), source.alias("seg_source"), "out_qty", "ret_qty", "kept",
+                    F.coalesce("out_months", F.array().cast("array<int>")).alias("out_months"), "plan", "fact", "rest", "expected")
+
+
 def outflow_worked(outflow: DataFrame, months: DataFrame, window: tuple[int, int]) -> DataFrame:
     """Was there a successful outflow task in the month of leaving or the next; unknown outside the window."""
     looks = outflow.select("unit", "org", F.explode("out_months").alias("m"))

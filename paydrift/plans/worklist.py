@@ -264,6 +264,19 @@ def _(i):
     return wl.org_outflow(Work(i).net, NOW - 3, NOW - 1).withColumn("months", F.array_join(F.transform("out_months", lambda m: m.cast("string")), ",")).drop("out_months")
 
 
+@query("outflow_with_pipeline", f"""WITH o AS (SELECT oo.*, s.seg FROM oo JOIN (SELECT unit, org, max(CASE WHEN org % 5 <> 0 THEN seg END) AS seg FROM nt WHERE mi BETWEEN {NOW - 3} AND {NOW - 1} GROUP BY 1, 2) s USING (unit, org)),
+ d AS (SELECT pc.*, CASE WHEN org % 3 = 0 THEN 'DEAL' END AS seg FROM pc), c AS (SELECT c_custkey AS org, c_mktsegment AS seg FROM customer WHERE c_custkey % 4 <> 0),
+ j AS (SELECT coalesce(o.unit, d.unit) AS unit, coalesce(o.org, d.org) AS org, o.seg AS s1, d.seg AS s2, out_qty, ret_qty, kept, ms, plan, fact, rest, expected FROM o FULL JOIN d ON o.unit = d.unit AND o.org = d.org)
+ SELECT CAST(unit AS BIGINT) AS unit, j.org, coalesce(s1, s2, c.seg) AS seg, CASE WHEN s1 IS NOT NULL THEN 'outflow' WHEN s2 IS NOT NULL THEN 'deal' WHEN c.seg IS NOT NULL THEN 'directory' END AS seg_source, coalesce(out_qty, 0) AS out_qty, coalesce(ret_qty, 0) AS ret_qty, coalesce(kept, 0) AS kept,
+  array_to_string(coalesce(ms, []), ',') AS months, coalesce(plan, 0) AS plan, coalesce(fact, 0) AS fact, coalesce(rest, 0) AS rest, round(coalesce(expected, 0), 4) AS expected FROM j LEFT JOIN c ON c.org = j.org""", ("oo", "nt", "pc"))
+def _(i):
+    w = Work(i)
+    net = w.net.withColumn("seg", F.when(F.col("org") % 5 == 0, " ").otherwise(F.col("seg")))
+    pipe = wl.pipeline_current(w.plan, w.fact, w.conv, NOW, 0.5).withColumn("seg_deal", F.when(F.col("org") % 3 == 0, "DEAL"))
+    x = wl.outflow_with_pipeline(net, pipe, w.cust.where("org % 4 <> 0").select("org", "seg"), NOW - 3, NOW - 1)
+    return x.withColumn("months", F.array_join(F.transform("out_months", lambda m: m.cast("string")), ",")).drop("out_months")
+
+
 @query("outflow_worked", f"SELECT {_B('unit')}, org, out_qty, ret_qty, kept, out_tasks, out_tasks_outflow, out_done, true AS known, out_done > 0 AS out_worked FROM ow", "ow")
 def _(i):
     w = Work(i)
