@@ -156,6 +156,11 @@ def combine(rolled: DataFrame, facts: DataFrame, keys: Sequence[str], scales: Se
 COMBO = ("out_term", "in_term", "pipe_term", "scale")
 
 
+def totals(pred: DataFrame, by: Sequence[str] = COMBO) -> DataFrame:
+    """WAPE and bias alone: predictions are folded where they are exploded, none is written or shuffled."""
+    return pred.groupBy(*by).agg(fc.share(F.sum(F.abs(F.col("pred") - F.col("fact"))), F.sum("fact")).alias("wape"), fc.share(F.sum(F.col("pred") - F.col("fact")), F.sum("fact")).alias("bias"))
+
+
 def metrics(pred: DataFrame, by: Sequence[str] = COMBO) -> DataFrame:
     """WAPE, bias, p90 of the relative error, worst month, spread over months, rank correlation."""
     e = F.abs(F.col("pred") - F.col("fact"))

@@ -123,7 +123,8 @@ def _(i):
 
 @query("combine_and_score", f"SELECT {_CB}, round(sum(abs(pred - fact)) / sum(fact), 4) AS wape, round(sum(pred - fact) / sum(fact), 4) + 0.0 AS bias FROM bpd GROUP BY {_CB}", "bpd")
 def _(i):
-    return bt.metrics(Backtest(i).pred).select(*bt.COMBO, "wape", "bias")
+    b = Backtest(i)
+    return bt.totals(bt.combine(b.rolled, b.facts, ["unit"], (0.8, 1.0)))
 
 
 @query("forecast_metrics", f"""WITH x AS (SELECT *, abs(pred - fact) AS e FROM bpd WHERE pipe_term = 'none' AND scale = 1.0), m AS (SELECT {_CB}, mi, sum(e) / sum(fact) AS w FROM x GROUP BY {_CB}, mi), w AS (SELECT {_CB}, max(w) AS worst, stddev(w) AS sd FROM m GROUP BY {_CB})
