@@ -2,10 +2,11 @@
 
 Generators propose overlapping spans per kind: what the base rules match, and looser forms (numbers
 without the plus sign, spelled-out addresses, keys beside a name for them). Features describe the span's
-format and the words around it. Gradient-boosted trees with a logistic loss are fitted in the driver on a
-bounded sample: candidates of at most about ``TRAIN_DOCS`` documents, at most ``TRAIN_ROWS`` of them, labelled by
-the base rules and multiplied by rewriting accepted spans into the looser forms and by spoiling them.
-Per kind the threshold is the lowest score above which a held-out third of the sample is ``PRECISION`` right.
+format and the words around it. Gradient-boosted trees with a logistic loss are fitted on the candidates of all
+documents, labelled by the base rules and multiplied by rewriting accepted spans into the looser forms and by
+spoiling them. Features are cut at exact quantiles over all examples; equal rows of bin numbers become one row with
+counts, written once, and every level of a tree is one aggregation over them: the driver receives sums per node, feature
+and bin. Per kind the threshold is the lowest score above which the held-out third of the documents is ``PRECISION`` right.
 A span of the base rules always stays; others are added by falling score where nothing overlaps.
 
 Starts and ends count code points, the end is exclusive. Null texts are empty and have no spans. Without
@@ -14,7 +15,9 @@ candidates to learn from only base spans come out. Every text is read whole and
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import random
 import re
 from collections.abc import Iterator
@@ -23,14 +26,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import replaced
-from .texts import blocks, table
+from .texts import blocks, table, work_table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-TRAIN_DOCS, TRAIN_ROWS, PRECISION = 4000, 20_000, 0.99
+PRECISION = 0.99
+#: Gradients are summed as whole multiples of 1 / SCALE, so the order of rows does not matter; scores are counted in BINS steps.
+SCALE, BINS, STEPS = 1 << 24, 32, 1 << 16
+COUNTS = ("n", "n_right", "held", "held_right")
 SPAN = "array<struct<kind:string,`start`:int,`end`:int,base:boolean,score:double>>"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -164,43 +171,67 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -50, 50)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.2, ridge: float = 1.0, bins: int = 32) -> Trees:
-    """Second-order boosting of the logistic loss with histogram splits; ties go to the first feature and cut."""
-    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.001
-    model = Trees(math.log(share / (1 - share)), np.zeros((0, 2 ** depth - 1), np.int64), np.zeros((0, 2 ** depth - 1)), np.zeros((0, 2 ** depth)))
-    if not len(y) or y.min() == y.max():
-        return model
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
-    code = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1)
-    margin, fs, cs, vs = np.full(len(y), model.start), [], [], []
+def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """Bin numbers; a value is above edge k exactly when its number is."""
+    return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1).astype(np.uint8)
+
+
+def gradient_sums(code: np.ndarray, n: np.ndarray, right: np.ndarray, trees: Trees, f: np.ndarray, c: np.ndarray, level: int) -> np.ndarray:
+    """Sums of both derivatives per node of a level, feature and bin, over ``n`` equal rows of which ``right`` have label 1."""
+    p = trees.probability(code)
+    one, none, h = (np.rint(v * SCALE) for v in (p - 1, p, p * (1 - p)))
+    g, h = one * right + none * (n - right), h * n
+    node, rows = np.zeros(len(code), np.int64), np.arange(len(code))
+    for _ in range(level):
+        node = 2 * node + 1 + (code[rows, f[node]] > c[node])
+    own = (node - (2 ** level - 1)) * BINS
+    out = np.zeros((2, code.shape[1], 2 ** level * BINS))
+    for j in range(code.shape[1]):
+        at = own + code[:, j]
+        out[0, j], out[1, j] = np.bincount(at, g, 2 ** level * BINS), np.bincount(at, h, 2 ** level * BINS)
+    return out.astype(np.int64)
+
+
+def grown(edges: list[np.ndarray], start: float, sums, rounds: int, depth: int, rate: float, ridge: float) -> Trees:
+    """Second-order boosting level by level; ``sums(trees, f, c, level)`` are gradient sums over all rows. Ties go to the first feature and cut."""
+    size = 2 ** depth - 1
+    bins = Trees(start, np.zeros((0, size), np.int64), np.zeros((0, size)), np.zeros((0, size + 1)))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, p * (1 - p)
-        node = np.zeros(len(y), np.int64)
-        f, c = np.zeros(2 ** depth - 1, np.int64), np.full(2 ** depth - 1, np.inf)
+        f, c, leaf = np.zeros(size, np.int64), np.full(size, np.inf), np.zeros(size + 1)
         for level in range(depth):
-            for k in range(2 ** level - 1, 2 ** (level + 1) - 1):
-                own = np.flatnonzero(node == k)
-                best = 1e-9
-                if len(own) >= 2:
-                    gs, hs = g[own].sum(), h[own].sum()
-                    for j, e in enumerate(edges):
-                        if not len(e):
-                            continue
-                        gl = np.cumsum(np.bincount(code[own, j], g[own], len(e) + 1))[:-1]
-                        hl = np.cumsum(np.bincount(code[own, j], h[own], len(e) + 1))[:-1]
-                        gain = gl ** 2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs ** 2 / (hs + ridge)
-                        at = int(np.argmax(gain))
-                        if gain[at] > best:
-                            best, f[k], c[k] = gain[at], j, e[at]
-                node[own] = 2 * k + 1 + (x[own, f[k]] > c[k])
-        leaf = node - (2 ** depth - 1)
-        v = -rate * np.bincount(leaf, g, 2 ** depth) / (np.bincount(leaf, h, 2 ** depth) + ridge)
-        margin += v[leaf]
-        fs.append(f)
-        cs.append(c)
-        vs.append(v)
-    return Trees(model.start, np.array(fs), np.array(cs), np.array(vs))
+            gs, hs = (v.reshape(len(edges), 2 ** level, BINS) for v in sums(bins, f, c, level) / SCALE)
+            for at in range(2 ** level):
+                k, best = 2 ** level - 1 + at, 1e-9
+                g, h = gs[0, at].sum(), hs[0, at].sum()
+                sides = [(g, h), (0.0, 0.0)]
+                for j, e in enumerate(edges):
+                    if not len(e):
+                        continue
+                    gl, hl = (np.cumsum(v[j, at])[:len(e)] for v in (gs, hs))
+                    gain = gl ** 2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g ** 2 / (h + ridge)
+                    top = int(np.argmax(gain))
+                    if gain[top] > best:
+                        best, f[k], c[k] = gain[top], j, top
+                        sides = [(gl[top], hl[top]), (g - gl[top], h - hl[top])]
+                if level == depth - 1:
+                    leaf[2 * at:2 * at + 2] = [-rate * x / (y + ridge) for x, y in sides]
+        bins = Trees(start, np.vstack([bins.feature, f]), np.vstack([bins.cut, c]), np.vstack([bins.leaf, leaf]))
+    cut = [[edges[j][int(c)] if np.isfinite(c) else np.inf for j, c in zip(*tree)] for tree in zip(bins.feature, bins.cut)]
+    return Trees(start, bins.feature, np.array(cut).reshape(-1, size), bins.leaf)
+
+
+def _start(rows: int, right: int) -> float:
+    share = min(max(right / rows, 1e-3), 1 - 1e-3) if rows else 0.001
+    return math.log(share / (1 - share))
+
+
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.2, ridge: float = 1.0) -> Trees:
+    """The trees of rows that are all in memory."""
+    if not len(y) or y.min() == y.max():
+        rounds = 0
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) if len(x) else np.zeros(0) for j in range(x.shape[1])]
+    code = binned(x, edges)
+    return grown(edges, _start(len(y), y.sum()), lambda *at: gradient_sums(code, np.ones(len(y)), y, *at), rounds, depth, rate, ridge)
 
 
 @dataclass
@@ -270,37 +301,117 @@ def _examples(text: str) -> list[tuple[list[float], int, int]]:
     return out
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_rows: int = TRAIN_ROWS) -> Detector:
-    """Fits on a sample of documents by hash of their id; the driver receives at most ``train_rows`` feature rows."""
-    total = docs.count()
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    if total > train_docs:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * train_docs / total))
+def examples(docs: DataFrame) -> DataFrame:
+    """Examples of all documents: ``x`` is a matrix of features per block of texts, ``y``, ``kind`` and ``held`` a byte per row of it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _, _ in blocks(batch):
+                found = [(e, i % 3 == 0) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for e in _examples(t)]
+                if found:
+                    x = np.array([e[0] for e, _ in found], np.float64)
+                    flags = (np.array(v, np.uint8) for v in ([e[1] for e, _ in found], [e[2] for e, _ in found], [h for _, h in found]))
+                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, *flags)], ["x", "y", "kind", "held"])
+
+    rows = docs.where(F.col("text").isNotNull()).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text")
+    return rows.mapInArrow(run, "x binary, y binary, kind binary, held binary")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            yield np.frombuffer(r["x"]).reshape(-1, len(FEATURES)), *(np.frombuffer(r[c], np.uint8) for c in ("y", "kind", "held"))
+
+
+def quantile_edges(found: DataFrame) -> list[np.ndarray]:
+    """Exact lower quantiles of every feature over the rows that are not held out, from counts of its values."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, _, _, held in _unpacked(batches):
+            for j in range(x.shape[1]):
+                v, n = np.unique(x[held == 0, j], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), j, np.int32)), pa.array(v), pa.array(n.astype(np.int64))], ["feature", "value", "n"])
+
+    c = F.col
+    n = found.mapInArrow(run, "feature int, value double, n long").groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    w = W.partitionBy("feature")
+    n = n.withColumns({"to": F.sum("n").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0)), "last": F.sum("n").over(w) - 1})
+    place = [F.floor(c("last") * k / BINS) for k in range(1, BINS)]
+    hit = [(c("to") - c("n") <= p) & (p < c("to")) for p in place]
+    rows = n.where(functools.reduce(operator.or_, hit)).select("feature", "value").collect()
+    return [np.array(sorted(r["value"] for r in rows if r["feature"] == j)) for j in range(len(FEATURES))]
+
+
+def distinct_examples(found: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """One row per kind and row of bin numbers: how many examples it stands for and how many have label 1, fitted on and held out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y, kind, held in _unpacked(batches):
+            key = np.concatenate([binned(x, edges), kind[:, None]], 1)
+            rows, place = np.unique(key, axis=0, return_inverse=True)
+            n = [np.bincount(place.ravel(), v, len(rows)).astype(np.int64) for v in (held == 0, y * (held == 0), held, y * held)]
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), *map(pa.array, n)], ["code", *COUNTS])
+
+    each = found.mapInArrow(run, "code binary, " + ", ".join(f"{c} long" for c in COUNTS))
+    return each.groupBy("code").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def _codes(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, len(FEATURES) + 1)
+
+
+def fitted(rows: DataFrame, edges: list[np.ndarray], rounds: int = 40, depth: int = 3, rate: float = 0.2, ridge: float = 1.0) -> Trees:
+    """``boost`` over distinct examples: each level of each tree is one aggregation over all of them."""
+    total = rows.agg(F.sum("n"), F.sum("n_right")).first()
+    n, right = total[0] or 0, total[1] or 0
+
+    def sums(trees: Trees, f: np.ndarray, c: np.ndarray, level: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((2, len(FEATURES), 2 ** level * BINS), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    out += gradient_sums(_codes(batch)[:, :-1], batch.column(1).to_numpy(), batch.column(2).to_numpy(), trees, f, c, level)
+            flat = out.reshape(2, -1)
+            at = np.flatnonzero(flat.any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[0, at]), pa.array(flat[1, at])], ["at", "g", "h"])
+
+        out = np.zeros((2, len(FEATURES) * 2 ** level * BINS), np.int64)
+        for r in rows.select("code", "n", "n_right").mapInArrow(run, "at long, g long, h long").groupBy("at").agg(F.sum("g"), F.sum("h")).collect():
+            out[:, r[0]] = r[1], r[2]
+        return out.reshape(2, len(FEATURES), -1)
+
+    return grown(edges, _start(n, right), sums, rounds if 0 < right < n else 0, depth, rate, ridge)
+
+
+def calibrated(rows: DataFrame, edges: list[np.ndarray], trees: Trees, precision: float = PRECISION) -> dict[str, float]:
+    """Per kind the least score down to which the held-out rows (all rows where fewer than 20 are) are right, by counts per step of the score."""
+    size = np.array([len(e) for e in edges])
+    low = [np.concatenate([e, [np.inf]]) for e in edges]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(e, int(i)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for e in _examples(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e, _ in found], pa.list_(pa.float64())), pa.array([e[1] for e, _ in found], pa.int32()), pa.array([e[2] for e, _ in found], pa.int32()), pa.array([i for _, i in found], pa.int64())], ["x", "y", "kind", "doc"])
-
-    got = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text").mapInArrow(run, "x array<double>, y int, kind int, doc long").orderBy(F.xxhash64("doc", "x"), "x").limit(train_rows).collect()
-    return fit([(r["x"], r["y"], r["kind"], r["doc"]) for r in got])
-
-
-def fit(rows: list[tuple[list[float], int, int, int]], precision: float = PRECISION) -> Detector:
-    if not rows:
-        return Detector(boost(np.zeros((0, len(FEATURES))), np.zeros(0)), {})
-    x, y, kind, doc = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-    held = doc % 3 == 0
-    trees = boost(x[~held], y[~held])
-    p, thresholds = trees.probability(x), {}
-    for k, name in enumerate(KINDS):
-        own = (kind == k) & (held if (held & (kind == k)).sum() >= 20 else np.ones(len(held), bool))
-        order = np.argsort(-p[own], kind="stable")
-        right = np.cumsum(y[own][order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero(right >= precision)
-        if len(good):
-            thresholds[name] = max(float(p[own][order][good[-1]]), 0.5)
-    return Detector(trees, thresholds)
+            if batch.num_rows:
+                code = _codes(batch)
+                # the upper edge of a bin lies on the same side of every cut as the bin's values
+                x = np.stack([low[j][np.minimum(code[:, j], size[j])] for j in range(len(size))], 1)
+                p = trees.probability(x)
+                yield pa.RecordBatch.from_arrays([pa.array(code[:, -1].astype(np.int32)), pa.array(p), *[batch.column(k) for k in range(1, 5)]], ["kind", "p", *COUNTS])
+
+    c = F.col
+    steps = rows.select("code", *COUNTS).mapInArrow(run, "kind int, p double, " + ", ".join(f"{c} long" for c in COUNTS))
+    steps = steps.groupBy("kind", F.floor(c("p") * STEPS).alias("step")).agg(F.min("p").alias("p"), *[F.sum(c).alias(c) for c in COUNTS])
+    w = W.partitionBy("kind")
+    few = F.sum("held").over(w) < 20
+    own = steps.select("kind", "step", "p", (c("held") + F.when(few, c("n")).otherwise(0)).alias("own"), (c("held_right") + F.when(few, c("n_right")).otherwise(0)).alias("right"))
+    down = w.orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, 0)
+    good = own.withColumn("share", F.try_divide(F.sum("right").over(down), F.sum("own").over(down))).where((c("own") > 0) & (c("share") >= precision))
+    return {KINDS[r["kind"]]: max(r["p"], 0.5) for r in good.groupBy("kind").agg(F.min("p").alias("p")).collect()}
+
+
+def train(docs: DataFrame) -> Detector:
+    """Trees and thresholds from the examples of all documents; the driver receives sums per bin, edges and thresholds only."""
+    found = work_table(examples(docs), "pii_examples")
+    edges = quantile_edges(found)
+    rows = work_table(distinct_examples(found, edges), "pii_distinct")
+    trees = fitted(rows, edges)
+    return Detector(trees, calibrated(rows, edges, trees))
 
 
 # ------------------------------------------------------------------ over tables

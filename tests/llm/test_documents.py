@@ -117,6 +117,30 @@ def test_found_spans_and_redaction(spark):
     assert pii.find(odd(spark), detector).count() == len(texts())
 
 
+def test_training_reads_every_document(spark):
+    """Keys stand only in documents that a sample of 4,000 by hash of the id leaves out."""
+    import hashlib
+    n = 9000
+    key = F.udf(lambda i: hashlib.sha1(str(i).encode()).hexdigest())
+    left_out = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) >= (1 << 30) // 2
+    docs = spark.range(0, n, 1, 4).withColumnRenamed("id", "doc_id").withColumn("text", F.when(left_out & (F.col("doc_id") % 2 == 0), F.concat(F.lit('token = "'), key("doc_id"), F.lit('"')))
+                                                                               .when(left_out, F.concat(F.lit("see "), key("doc_id"))).otherwise("nothing here"))
+    detector = pii.train(docs)
+    kept = docs.where("doc_id < 600 and length(text) > 20")
+    for r in pii.digests(pii.find(kept, detector)).join(kept, "doc_id").collect():
+        assert ("secret" in r["spans"]) == r["text"].startswith("token"), r
+
+
+def test_trees_over_a_table_are_those_in_memory(spark):
+    import numpy as np
+    docs = documents(spark, "/root/testdata/sf0.001").where("text is not null")
+    found = pii.examples(docs).localCheckpoint()
+    x, y, _, held = (np.concatenate(v) for v in zip(*pii._unpacked(found.toArrow().to_batches())))
+    edges = pii.quantile_edges(found)
+    one, two = pii.fitted(pii.distinct_examples(found, edges), edges, rounds=2), pii.boost(x[held == 0], y[held == 0].astype(float), rounds=2)
+    assert len(y) and np.array_equal(one.feature, two.feature) and np.array_equal(one.cut, two.cut) and np.allclose(one.margin(x), two.margin(x))
+
+
 def test_long_keys_are_proposed_whole():
     for n in (16, 128, 129, 700, 100_000):
         text = 'token = "' + ("a1B2c3D4" * n)[:n] + '"'
