@@ -39,22 +39,29 @@ class Grid:
         return self.period[1] - MONTHS + 1
 
     @cached_property
-    def panel(self):
+    def by_org(self):
+        """The panel with one row per customer, its months in an array."""
         def build():
             nation = self.i.table("nation").select(F.col("n_nationkey").alias("unit"), F.col("n_regionkey").alias("region"))
             meta = self.i.table("customer").select(F.col("c_custkey").alias("org"), F.col("c_nationkey").alias("unit"), F.col("c_mktsegment").alias("seg")).join(nation, "unit")
-            p = bt.org_panel(self.facts, meta, *self.period)
-            return p.withColumns({"pipe": F.when((F.col("org") + F.col("mi")) % 5 == 0, 2).otherwise(0), "won": F.least("inflow", F.lit(1))})
+            p = bt.org_rows(self.facts, meta, *self.period)
+            more = lambda r: {"pipe": F.when((F.col("org") + r["mi"]) % 5 == 0, 2).otherwise(0), "won": F.least(r["inflow"], F.lit(1))}
+            names = p.schema["rows"].dataType.elementType.names
+            return p.select("org", F.transform("rows", lambda r: F.struct(*[r[n].alias(n) for n in names], *[v.alias(n) for n, v in more(r).items()])).alias("rows"))
         return self.i.staged("grid_panel", build)
 
+    @cached_property
+    def panel(self):
+        return self.by_org.select("org", F.inline("rows"))
+
     @cached_property
     def history(self):
-        return ft.with_history(self.panel, self.panel.select("mi", F.col("pipe").alias("plan"), F.col("won").alias("fact")))
+        return ft.with_history(self.panel, self.panel.select("mi", F.col("pipe").alias("plan"), F.col("won").alias("fact")), self.by_org)
 
     @cached_property
     def rolled(self):
         v = ft.all_variants()
-        return self.i.staged("grid_terms", lambda: ft.roll_cells(ft.term_columns(self.history, v, KEYS).where(F.col("mi") >= self.first), v, KEYS))
+        return self.i.staged("grid_terms", lambda: ft.roll_cells(ft.term_columns(self.history, v, KEYS, self.first), v, KEYS))
 
     @cached_property
     def mart(self):
@@ -191,7 +198,7 @@ def _family(name: str):
     @query(f"term_variants_{name}", f"SELECT CAST(unit AS BIGINT) AS unit, seg, CAST(mi AS BIGINT) AS mi, term, round(v, 6) + 0.0 AS value FROM gt{name}", f"gt{name}", digits=6)
     def _(i):
         names = F.array(*[F.lit(v.name) for v in ft.all_variants() if v.family == name])
-        return Grid(i).rolled.select("unit", "seg", "mi", F.posexplode(f"{name}_terms").alias("at", "value")).select("unit", "seg", "mi", F.get(names, F.col("at")).alias("term"), "value")
+        return Grid(i).rolled.select("unit", "seg", "mi", F.posexplode(f"{name}_terms").alias("at", "value")).select("unit", "seg", "mi", F.get(names, F.col("at")).alias("term"), F.round("value", 12).alias("value"))
 
 
 for _f in ft.FAMILIES:

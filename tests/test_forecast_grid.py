@@ -175,3 +175,32 @@ def test_empty_cells_give_empty_reports(spark):
     df = spark.createDataFrame([], "region int, seg string, mi int, fact int, plan double, b int, out_terms array<double>, in_terms array<double>, pipe_terms array<double>")
     e = fg.month_errors(df, VARIANTS, ["b"])
     assert e.isEmpty() and fg.scores(e).isEmpty() and fg.honest_choice(e).isEmpty()
+
+
+def test_panel_and_terms_sort_no_months(spark, panel):
+    """Months are filled in and read inside an organisation's row: no join, sort or window of the panel's size is planned."""
+    def nodes(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return [n for n in ("Window", "Sort ", "Generate explode") if n in plan]
+    assert nodes(panel) == []
+    wide = ft.term_columns(ft.with_history(panel, panel.select("mi", F.col("pipe").alias("plan"), F.col("won").alias("fact"))), ft.all_variants(), ["unit", "region", "seg"], 6)
+    assert nodes(wide) == [] and {r["mi"] for r in wide.select("mi").collect()} == {6, 7}
+
+
+def test_panel_keeps_repeated_and_unknown_rows(spark):
+    facts = spark.createDataFrame([(1, 0, 4), (1, 2, 6), (2, 9, 1), (None, 1, 3), (3, 1, None)], "org int, mi int, stock int")
+    meta = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "b"), (None, "c")], "org int, seg string")
+    got = sorted(tuple(r) for r in bt.org_panel(facts, meta, 0, 2).select("org", "mi", "stock", "present", "base").collect())
+    assert got == [(1, 0, 4, True, 0), (1, 0, 4, True, 4), (1, 1, 0, False, 0), (1, 1, 0, False, 4), (1, 2, 6, True, 0), (1, 2, 6, True, 6),
+                   (2, 0, 0, False, 0), (2, 1, 0, False, 0), (2, 2, 0, False, 0), (3, 0, 0, False, 0), (3, 1, 0, True, 0), (3, 2, 0, False, 0)]
+
+
+def test_terms_of_the_backtest_follow_the_rule(panel):
+    p = panel.withColumn("unit", F.col("unit"))
+    grid = bt.term_grid(p, bt.pooled_rates(p, "outflow"), bt.pooled_rates(p, "inflow"))
+    rule = {(r["org"], r["mi"]): r["rule"] for r in bt.rule_forecast(p).collect()}
+    got = {(r["org"], r["mi"], r["family"], r["term"]): r["value"] for r in grid.collect()}
+    assert len(got) == 4 * 8 * 31
+    for (org, mi), v in rule.items():
+        assert got[org, mi, "out", "rule"] == pytest.approx(max(v, 0)) and got[org, mi, "in", "rule"] == pytest.approx(max(-v, 0))
+    assert got[4, 3, "out", "mean_k3"] == pytest.approx(20 / 3) and got[4, 7, "in", "mean_k3"] == pytest.approx(5 / 3)
