@@ -204,3 +204,9 @@ def test_terms_of_the_backtest_follow_the_rule(panel):
     for (org, mi), v in rule.items():
         assert got[org, mi, "out", "rule"] == pytest.approx(max(v, 0)) and got[org, mi, "in", "rule"] == pytest.approx(max(-v, 0))
     assert got[4, 3, "out", "mean_k3"] == pytest.approx(20 / 3) and got[4, 7, "in", "mean_k3"] == pytest.approx(5 / 3)
+
+
+def test_repeated_rows_stand_beside_each_rule(panel):
+    p = panel.unionByName(panel.where("org = 3"))
+    grid = bt.term_grid(p, bt.pooled_rates(p, "outflow"), bt.pooled_rates(p, "inflow")).where("family = 'out' and term = 'rule'")
+    assert {r["org"]: r["count"] for r in grid.groupBy("org").count().collect()} == {1: 8, 2: 8, 3: 32, 4: 8}
