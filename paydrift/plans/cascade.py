@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import cascade as cs
@@ -16,6 +17,26 @@ LIMITS = dict(z=1.2, place_z=0.8, season_z=0.4, people=0.25, share=0.0, min_base
 SIDES = ("base", *cs.FLOWS, "temp_left", "single_pay", "raw_rows", "stopped")
 
 
+def sides(p):
+    """What a person's month adds to its organisation: in that month as one who is there, in the next as one who was.
+
+    ``p``: person, mi, org, k, one row per person and month; neighbouring months come from a window of the person's few rows.
+    A month with an unknown organisation counts as paid, but neither as staying with one nor as coming from one.
+    """
+    w, mi = W.partitionBy("person").orderBy("mi"), F.col("mi")
+    p = p.where("person is not null and mi is not null").select("*", *[F.lag(c).over(w).alias(f"before_{c}") for c in ("mi", "org")], *[F.lead(c).over(w).alias(f"after_{c}") for c in ("mi", "org")], F.lead("mi", 2).over(w).alias("later_mi"))
+    at = lambda c, m: F.coalesce(F.col(c) == m, F.lit(False))
+    was, then = F.when(at("before_mi", mi - 1), F.col("before_org")), F.when(at("after_mi", mi + 1), F.col("after_org"))
+    p = p.select("person", "mi", "org", "k", was.alias("was"), then.alias("then"), (at("after_mi", mi + 2) | at("later_mi", mi + 2)).alias("will"))
+    other = lambda c: F.coalesce(F.col("org") != F.col(c), F.lit(False))
+    p = p.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("late"))
+    old, new = F.col("late") == 1, F.col("late") == 0
+    one = lambda c: c.cast("int")
+    return p.select("person", "org", (mi + F.col("late")).alias("mi"), one(old).alias("base"), one(new & F.col("was").isNull()).alias("in_new"), one(new & other("was")).alias("in_other"),
+                    one(old & F.col("then").isNull()).alias("out_left"), one(old & other("then")).alias("out_other"), one(old & F.col("then").isNull() & F.col("will")).alias("temp_left"),
+                    one(new & (F.col("k") == 1)).alias("single_pay"), F.when(new, F.col("k")).otherwise(0).alias("raw_rows"), one(new).alias("here"))
+
+
 class Panels:
     def __init__(self, i):
         self.i = i
@@ -28,20 +49,14 @@ class Panels:
             sup = i.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("org"))
             day = F.to_date("l_shipdate")
             li = i.table("lineitem").select("l_orderkey", "l_suppkey", ((F.year(day) - 1995) * 12 + F.month(day) - 1).cast("int").alias("mi"))
-            od = i.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("person"))
-            k = li.join(od, "l_orderkey").join(sup, "l_suppkey").groupBy("person", "mi", "org").agg(F.count(F.lit(1)).alias("k"))
+            od = i.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("person")).hint("shuffle_hash")
+            # one shuffle by person serves both groupings, the window and the join with the person's cell
+            k = li.join(od, "l_orderkey").join(sup, "l_suppkey").select("person", "mi", "org").repartition("person").groupBy("person", "mi", "org").agg(F.count(F.lit(1)).alias("k"))
             p = k.groupBy("person", "mi").agg(F.max_by("org", F.struct("k", -F.col("org"))).alias("org"), F.sum("k").alias("k"))
-            prev = p.select("person", (F.col("mi") + 1).alias("mi"), F.col("org").alias("was"))
-            nxt = p.select("person", (F.col("mi") - 1).alias("mi"), F.lit(True).alias("will"))
-            j = p.join(prev, ["person", "mi"], "full_outer").join(nxt, ["person", "mi"], "left").where("mi between 1 and 82")
             nation = i.table("nation").select(F.col("n_nationkey").alias("unit"), F.col("n_regionkey").alias("region"))
             cell = i.table("customer").select(F.col("c_custkey").alias("person"), F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("unit")).join(nation, "unit")
-            old = {"base": F.lit(1), "out_left": F.col("org").isNull().cast("int"), "out_other": F.coalesce(F.col("org") != F.col("was"), F.lit(False)).cast("int"), "temp_left": (F.col("org").isNull() & F.coalesce("will", F.lit(False))).cast("int")}
-            new = {"in_new": F.col("was").isNull().cast("int"), "in_other": F.coalesce(F.col("org") != F.col("was"), F.lit(False)).cast("int"), "single_pay": (F.col("k") == 1).cast("int"), "raw_rows": F.col("k"), "here": F.lit(1)}
-            names = ("base", *cs.FLOWS, "temp_left", "single_pay", "raw_rows", "here")
-            sides = [F.struct(F.col(c).alias("of"), *[v.get(n, F.lit(0)).cast("bigint").alias(n) for n in names]) for c, v in (("was", old), ("org", new))]
-            x = j.join(cell, "person").select("seg", "region", "unit", "mi", F.explode(F.array(*sides)).alias("s")).where("s.of is not null")
-            g = x.groupBy(F.col("s.of").alias("org"), *cs.CELL, "mi").agg(*[F.sum(f"s.{n}").alias(n) for n in names])
+            x = sides(p).join(cell.hint("shuffle_hash"), "person").where("org is not null and mi between 1 and 82")
+            g = x.groupBy("org", *cs.CELL, "mi").agg(*[F.sum(n).alias(n) for n in ("base", *cs.FLOWS, "temp_left", "single_pay", "raw_rows", "here")])
             return g.withColumn("stopped", F.when(F.col("here") == 0, F.col("out_left")).otherwise(0)).drop("here")
         return self.i.staged("watch_cells", build)
 

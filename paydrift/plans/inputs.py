@@ -156,7 +156,8 @@ class Inputs:
         li = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linestatus", "l_returnflag",
                                            F.to_date("l_shipdate").alias("day"),
                                            F.col("l_extendedprice").cast("decimal(18,2)").alias("amt"))
-        od = self.table("orders").select("o_orderkey", "o_custkey")
+        # orders are hashed, a part of them in each task: lines are never sorted, and never sent whole to every task
+        od = self.table("orders").select("o_orderkey", "o_custkey").hint("shuffle_hash")
         sup = self.table("supplier").select("s_suppkey", "s_nationkey")
         na = self.table("nation").select("n_nationkey", "n_regionkey")
         j = (li.join(od, li.l_orderkey == od.o_orderkey).join(sup, li.l_suppkey == sup.s_suppkey)
@@ -169,6 +170,11 @@ class Inputs:
             "amt": F.col("amt"), "part": F.col("l_partkey"),
         })
 
+    @cached_property
+    def payroll_by_person(self) -> DataFrame:
+        """The payroll with all lines of a person in one partition: groupings and windows by person and more share its one shuffle."""
+        return self.payroll.repartition("person")
+
 
 # ------------------------------------------------------------------ SQL twins
 cte("lines", """
