@@ -42,6 +42,11 @@ def fold(column: str) -> Column:
     return F.bit_or(column)
 
 
+def fold_over(column: str, window) -> Column:
+    """The periods of any of a window's masks, beside each of them."""
+    return F.bit_or(column).over(window)
+
+
 def over(condition: Column, mi: Column, window) -> Column:
     """The mask of a window's rows, beside each of them."""
     return F.bit_or(F.when(condition, one_bit(mi)).otherwise(F.lit(0).cast("bigint"))).over(window)

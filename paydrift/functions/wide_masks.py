@@ -68,6 +68,10 @@ class Words:
         """Aggregate: periods of any of the masks."""
         return self.pack([F.bit_or(w) for w in self.split(F.col(column))])
 
+    def fold_over(self, column: str, window) -> Column:
+        """The periods of any of a window's masks, beside each of them."""
+        return self.pack([F.bit_or(w).over(window) for w in self.split(F.col(column))])
+
     def over(self, condition: Column, mi: Column, window) -> Column:
         """The mask of a window's rows, beside each of them."""
         return self.pack([F.bit_or(F.when(condition & mi.between(WORD * j, WORD * j + WORD - 1), mk.one_bit(mi - WORD * j)).otherwise(_zero())).over(window) for j in range(self.n)])

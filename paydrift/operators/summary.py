@@ -66,21 +66,25 @@ def _annotated(masks: DataFrame, orgs: DataFrame) -> DataFrame:
     """Triple masks beside the masks of their person, person × org, person × holding and org."""
     if "org_p" in masks.columns:   # already annotated, as a staged table
         return masks
-    hold = masks.join(orgs.select("org", "hold"), "org", "left")
-    by_person = fold_masks(masks, ["person"], "pr")
     k = wm.of(masks)
-    by_po = masks.groupBy("person", "org").agg(k.fold("b_p").alias("po_p"))
-    by_ph = hold.where(F.col("hold").isNotNull()).groupBy("person", "hold").agg(k.fold("b_p").alias("ph_p"))
     by_org = masks.groupBy("org").agg(k.fold("b_p").alias("org_p"))
-    return (hold.join(by_person, "person").join(by_po, ["person", "org"]).join(by_ph, ["person", "hold"], "left").join(by_org, "org"))
+    # the first window puts a person's rows into one partition, where the others find them
+    person, place, held = (W.partitionBy(*c) for c in (("person",), ("person", "org"), ("person", "hold")))
+    x = masks.join(orgs.select("org", "hold"), "org", "left").where(F.col("person").isNotNull())
+    x = x.withColumns({"pr_any": k.fold_over("b_any", person), "pr_p": k.fold_over("b_p", person)}).withColumn("po_p", k.fold_over("b_p", place))
+    x = x.withColumn("ph_p", F.when(F.col("hold").isNotNull(), k.fold_over("b_p", held)))
+    return x.join(by_org, "org")
 
 
 def _split_share(moves: DataFrame, counts: DataFrame, lag: int, side: str) -> DataFrame:
-    """Adds k_now / k_base (person's triples in both periods) and the person's number of moved triples."""
+    """Adds k_now / k_base (person's triples in both periods) and the person's number of moved triples.
+
+    The moves are shuffled once, by the keys of the window and of both joins.
+    """
     now = counts.select("mi", "person", F.col("k").alias("k_now"))
     base = counts.select((F.col("mi") + lag).alias("mi"), "person", F.col("k").alias("k_base"))
-    moved = moves.groupBy("mi", "person").agg(_n().alias("n_moved"))
-    return (moves.join(moved, ["mi", "person"]).join(now, ["mi", "person"], "left" if side == "out" else "inner")
+    moved = moves.where("mi is not null and person is not null").withColumn("n_moved", F.count(F.lit(1)).over(W.partitionBy("mi", "person")))
+    return (moved.join(now, ["mi", "person"], "left" if side == "out" else "inner")
             .join(base, ["mi", "person"], "inner" if side == "out" else "left"))
 
 

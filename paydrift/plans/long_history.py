@@ -20,13 +20,20 @@ class Long:
     def __init__(self, i):
         self.i = i
 
+    @cached_property
+    def _states(self):
+        salary = F.col("code") != "A"
+        lines = self.i.payroll_by_person.select("mi", "person", "org", "unit", F.col("org").alias("region"), "code", "amt", F.lit(1).alias("qty"), salary.alias("is_pf"), salary.alias("is_fot"), (F.col("code") == "X").alias("is_fixed"))
+        return tr.triple_state(tr.triples(lines), THRESHOLD)
+
     @cached_property
     def states(self):
-        def build():
-            salary = F.col("code") != "A"
-            lines = self.i.payroll.select("mi", "person", "org", "unit", F.col("org").alias("region"), "code", "amt", F.lit(1).alias("qty"), salary.alias("is_pf"), salary.alias("is_fot"), (F.col("code") == "X").alias("is_fixed"))
-            return tr.triple_state(tr.triples(lines), THRESHOLD)
-        return self.i.staged("long_triples", build)
+        return self.i.staged("long_triples", lambda: self._states)
+
+    @cached_property
+    def kinds(self):
+        """The state of each triple and month without its sums: all that histories and movements read."""
+        return self.i.staged("long_kinds", lambda: self._states.select(*tr.KEYS, "st"))
 
     @cached_property
     def orgs(self):
@@ -35,7 +42,7 @@ class Long:
 
     @cached_property
     def masks(self):
-        return self.i.staged("long_masks", lambda: sm._annotated(sm.triple_masks(self.states, LAST), self.orgs))
+        return self.i.staged("long_masks", lambda: sm._annotated(sm.triple_masks(self.kinds.repartition("person"), LAST), self.orgs))
 
 
 cte("ltri", f"""SELECT mi, person, org, unit, org AS region, n_rows, n_pay, CASE WHEN pos_pf AND sum_pf > {THRESHOLD} THEN 'P' WHEN pos_pf THEN 'Z' ELSE 'N' END AS st, CASE WHEN pos_pf AND sum_pf > {THRESHOLD} THEN a_pf ELSE 0 END AS pf_amt, CASE WHEN sum_pf > {THRESHOLD} THEN a_pf ELSE 0 END AS fot_amt
@@ -77,12 +84,12 @@ for _t, _k in (("m", 1), ("y", 12)):
     @query(f"movement_in_{_period}_long", f"SELECT mi, person, CAST(org AS BIGINT) AS org, CAST(unit AS BIGINT) AS unit, lab, round(fl, 4) AS fl, CAST(in_new AS BIGINT) AS in_new, round(in_conc, 4) AS in_conc, CAST(in_temp AS BIGINT) AS in_temp FROM lmin_{_t}", f"lmin_{_t}")
     def _(i, k=_k):
         x = Long(i)
-        return sm.movement_in(x.masks, x.states, x.orgs, k, LAST)
+        return sm.movement_in(x.masks, x.kinds, x.orgs, k, LAST)
 
     @query(f"movement_out_{_period}_long", f"SELECT mi, person, CAST(org AS BIGINT) AS org, CAST(unit AS BIGINT) AS unit, lab, round(fl, 4) AS fl, CAST(out_gone AS BIGINT) AS out_gone, round(out_conc, 4) AS out_conc, CAST(out_temp AS BIGINT) AS out_temp, ten FROM lmout_{_t}", f"lmout_{_t}")
     def _(i, k=_k):
         x = Long(i)
-        return sm.movement_out(x.masks, x.states, x.orgs, k, LAST)
+        return sm.movement_out(x.masks, x.kinds, x.orgs, k, LAST)
 
 
 @query("stock_long", f"SELECT * EXCLUDE (org, unit, region, pf_fl, pf_amt, fot_amt), CAST(org AS BIGINT) AS org, CAST(unit AS BIGINT) AS unit, CAST(region AS BIGINT) AS region, {_round(('pf_fl', 'pf_amt', 'fot_amt'))} FROM lstk", "lstk")
