@@ -217,7 +217,8 @@ def daily_windows(lines: DataFrame, periods: Sequence[int], threshold, exempt: D
     z = F.lit(0).cast("decimal(18,2)")
     s = lambda c: F.sum(F.when(c, F.col("amt")).otherwise(z))
     half = F.when(F.dayofmonth("day") <= border, 1).otherwise(2)
-    h = lines.groupBy("mi", "person", *PAIR, half.alias("half")).agg(
+    months = sorted({m - back for m in periods for back in (0, 1)})   # no window reaches into another month
+    h = lines.where(F.col("mi").isin(months)).groupBy("mi", "person", *PAIR, half.alias("half")).agg(
         s(pf).alias("sum_pf"), s(fot).alias("sum_fot"), F.bool_or(pf & pos).alias("pos_pf"), F.bool_or(fixed & pos).alias("pos_fixed"), s(pos & fixed).alias("a_fixed"),
         s(pos & pf & ~fixed).alias("a_pf"), s(pos & fot & ~fixed).alias("a_fot"), s(pos & pf & F.col("code").isin(list(bonus_codes))).alias("a_bonus"))
     wins = []
