@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import worklist as wl
@@ -12,6 +13,18 @@ from .registry import cte, query
 NOW = 70
 
 
+def month_after(x):
+    """Each month of an organisation as ``prev`` beside what the next one has (0: nothing), under that month's number.
+
+    The next month comes from a window of the organisation's few rows in place of a self-join; an organisation that stands
+    there several times has a row for each, as it would have from the join.
+    """
+    after = W.partitionBy("org").orderBy("mi").rangeBetween(1, 1)
+    known = F.col("mi").isNotNull()
+    x = x.select("org", (F.col("mi") + 1).alias("mi"), F.col("fl").alias("prev"), F.when(known, F.max("fl").over(after)).alias("next"), F.when(known, F.count("fl").over(after)).alias("n"))
+    return x.withColumn("n", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1)).cast("int")))).select("org", "mi", "prev", F.coalesce("next", F.lit(0)).alias("fl"))
+
+
 class Work:
     def __init__(self, i):
         self.i = i
@@ -31,8 +44,8 @@ class Work:
         return self.i.staged("work_panel", self._panel)
 
     def _panel(self):
-        p = self.i.payroll.groupBy(F.col("person").alias("org"), "mi").agg(F.count(F.lit(1)).alias("fl"), F.sum("amt").alias("fot"), F.countDistinct("part").alias("staff"))
-        return p.join(self.cust.select("org", "old_unit", "unit", "region", "seg"), "org").withColumns({"staff": F.col("staff") + F.col("org") % 3, "potential": F.col("org") % 7})
+        p = self.i.payroll_by_person.groupBy(F.col("person").alias("org"), "mi").agg(F.count(F.lit(1)).alias("fl"), F.sum("amt").alias("fot"), F.countDistinct("part").alias("staff"))
+        return p.join(self.cust.select("org", "old_unit", "unit", "region", "seg").hint("shuffle_hash"), "org").withColumns({"staff": F.col("staff") + F.col("org") % 3, "potential": F.col("org") % 7})
 
     @cached_property
     def net(self):
@@ -40,10 +53,8 @@ class Work:
 
     def _net(self):
         f = self.panel.groupBy("unit", "region", "seg", "org").agg(F.lit(1).alias("_"))
-        x = self.panel.select("org", "mi", "fl")
-        prev = x.select("org", (F.col("mi") + 1).alias("mi"), F.col("fl").alias("prev"))
-        fact = prev.join(x, ["org", "mi"], "left").na.fill(0, ["fl"]).join(f.drop("_"), "org").select("unit", "region", "seg", "org", "mi", F.greatest(F.col("prev") - F.col("fl"), F.lit(0)).alias("outflow_qty"), F.col("prev").alias("base"))
-        ret = self.i.payroll.where("code = 'R'").select(F.col("person").alias("org"), "mi").join(self.cust.select("org", "unit"), "org").select("unit", "org", "mi", F.lit(1).alias("return_qty"))
+        fact = month_after(self.panel.select("org", "mi", "fl")).join(f.drop("_").hint("shuffle_hash"), "org").select("unit", "region", "seg", "org", "mi", F.greatest(F.col("prev") - F.col("fl"), F.lit(0)).alias("outflow_qty"), F.col("prev").alias("base"))
+        ret = self.i.payroll_by_person.where("code = 'R'").select(F.col("person").alias("org"), "mi").join(self.cust.select("org", "unit").hint("shuffle_hash"), "org").select("unit", "org", "mi", F.lit(1).alias("return_qty"))
         return wl.outflow_net_returns(fact, ret)
 
     @cached_property
