@@ -22,8 +22,9 @@ from .texts import table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
+STEPS = (1, 2, 4)  # windows of 2, 4, 8 words: 1 + sum(STEPS) is WINDOW
 BUCKETS, SMOOTH, LEAST_RATIO = 1 << 14, 1.0, -0.05
-SPACE = "[\\x20\\x09-\\x0D]"
+SPACE = "[ \\x09\\x0A\\x0B\\x0C\\x0D]"  # listed one by one: a range is slower to match
 TOKEN = "[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]+"
 
 
@@ -36,10 +37,10 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
-def window_hashes(words: Column, n: int = WINDOW) -> Column:
-    """A hash of the n words from each place on."""
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(
-        F.when(F.size(h) >= n, F.sequence(F.lit(1), F.size(h) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(h, i, F.lit(n)))))
+def neighbour_hashes(keys: Column, step: int = 1) -> Column:
+    """A hash of every two keys that stand ``step`` places apart."""
+    n = F.greatest(F.size(keys) - step, F.lit(0))
+    return F.zip_with(F.slice(keys, F.lit(1), n), F.slice(keys, F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b))
 
 
 def repeated_words(keys: Column, n: int = WINDOW) -> Column:
@@ -58,29 +59,36 @@ def repeated_words(keys: Column, n: int = WINDOW) -> Column:
     return F.when(F.size(F.array_distinct(keys)) < F.size(keys), let(pairs, covered)).otherwise(F.lit(0).cast("long"))
 
 
-def base_columns(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the whole text."""
-    t = F.coalesce(text, F.lit(""))
-    words = word_array(t)
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+def with_base(rows: DataFrame) -> DataFrame:
+    """``rows`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the whole ``text``.
+
+    Window hashes come by doubling: of 2 words, of 4, of 8. A window of 8 that stands twice begins with 4 words that
+    stand twice, so the last step is left out where the hashes of 4 all differ. Each step is a column of its own: Spark
+    works out a column once and compiles functions that stand outside lambdas.
+    """
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    found = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("words", word_array(F.col("text"))).withColumns({
+        "n_words": F.size("words").cast("long"),
+        "word_chars": F.length(F.array_join("words", "")).cast("long"),
+        "n_symbols": (F.size(F.split("text", f"[{SYMBOLS}]")) - 1).cast("long"),
         "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        "n_repeat_words": let(window_hashes(words), repeated_words),
-    }
+        "h": F.transform("words", lambda w: F.xxhash64(w)),
+    })
+    for step in STEPS[:-1]:
+        found = found.withColumn("h", neighbour_hashes(F.col("h"), step))
+    repeated = let(neighbour_hashes(F.col("h"), STEPS[-1]), repeated_words)
+    twice = F.size(F.array_distinct("h")) < F.size("h")
+    return found.withColumn("n_repeat_words", F.when(twice, repeated).otherwise(F.lit(0).cast("long"))).drop("words", "h")
 
 
-def gram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the text's tokens and of its pairs of neighbouring tokens."""
-    tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+def with_grams(rows: DataFrame) -> DataFrame:
+    """``rows`` with hashes of the text's ``tokens`` and of its ``pairs`` of neighbouring tokens."""
+    tokens = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+    return rows.withColumn("tokens", tokens).withColumn("pairs", neighbour_hashes(F.col("tokens")))
 
-    def hashed(h: Column) -> Column:
-        pairs = F.transform(F.when(F.size(h) > 1, F.sequence(F.lit(1), F.size(h) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.element_at(h, i), F.element_at(h, i + 1)))
-        return F.transform(F.concat(h, pairs), lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
 
-    return let(tokens, hashed)
+def bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(gram, F.lit(buckets)).cast("int")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH) -> DataFrame:
@@ -90,7 +98,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
     known = docs.where(F.col("doc_id").isNotNull()).join(marks, "doc_id", "left")
     nameless = docs.where(F.col("doc_id").isNull()).withColumn("t", F.lit(None).cast("int"))
     rows = known.select("text", "t").union(nameless.select("text", "t"))
-    counts = rows.select(F.coalesce("t", F.lit(0)).alias("t"), F.explode(gram_buckets(F.col("text"), buckets)).alias("b")).groupBy("b").agg(F.sum("t").alias("target"), F.count(F.lit(1)).alias("raw"))
+    grams = with_grams(rows).select(F.coalesce("t", F.lit(0)).alias("t"), F.explode(F.concat("tokens", "pairs")).alias("g"))
+    counts = grams.select("t", bucket(F.col("g"), buckets).alias("b")).groupBy("b").agg(F.sum("t").alias("target"), F.count(F.lit(1)).alias("raw"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
     full = every.join(counts, "b", "left").select("b", F.coalesce("target", F.lit(0)).alias("target"), F.coalesce("raw", F.lit(0)).alias("raw"))
     one = full.agg(F.sort_array(F.collect_list(F.struct("b", "target", "raw"))).alias("c"), F.sum("target").alias("targets"), F.sum("raw").alias("raws"))
@@ -101,9 +110,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
 def rules(docs: DataFrame, trusted: DataFrame, least_ratio: float = LEAST_RATIO, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, the base counts, base_failed, ratio and kept of every row."""
     model = log_ratios(docs.select("doc_id", "text"), trusted, buckets).scalar()
-    base = base_columns(F.col("text"))
-    mean = let(gram_buckets(F.col("text"), buckets), lambda b: F.when(F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda a, x: a + F.element_at("ratios", x + 1)) / F.size(b)).otherwise(F.lit(0.0)))
-    rows = docs.select("doc_id", "text", model.alias("ratios")).select("doc_id", *[c.alias(k) for k, c in base.items()], mean.alias("ratio"))
+    rows = with_grams(with_base(docs.select("doc_id", "text"))).drop("text")
+    # every column of this step is used once by the next, so that the subquery is read in place and no row carries it
+    rows = rows.withColumns({"grams": F.concat("tokens", "pairs"), "n_grams": F.size("tokens") + F.size("pairs"), "ratios": model})
+    total = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get("ratios", bucket(g, buckets)))
+    rows = rows.withColumn("ratio", F.coalesce(F.try_divide(total, "n_grams"), F.lit(0.0))).drop("tokens", "pairs", "grams", "n_grams", "ratios")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= least_ratio))
 

@@ -1,6 +1,7 @@
 """Rules, classifier, personal data, joins, decontamination and the pipeline on odd documents and small tables."""
 
 import collections
+import random
 import re
 import zlib
 
@@ -45,6 +46,25 @@ def test_base_rules_equal_brute_force(spark):
     assert native_rules.rules(odd(spark), trusted.where("false")).count() == len(texts())
 
 
+def test_repeats_around_the_window(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in (3, 4, 7, 8, 9, 12):  # stretches that stand twice: shorter than a window, as long, longer, overlapping
+        part = [f"w{i}" for i in range(n)]
+        rows += [" ".join(part * 2), " ".join([*part, "x", *part]), " ".join([*part, *(f"y{i}" for i in range(30)), *part]), " ".join(part[:1] * (n + 1))]
+    rows += [rng.choice(" \t\n\x0b").join(rng.choice("abc|é") for _ in range(rng.randrange(60))) + rng.choice(["", " ", "\n"]) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(rows)]
+    found = native_rules.with_base(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], *(r[c] for c in COLUMNS[:-1])) for r in found) == [(i, *brute_rules(t)[:-1]) for i, t in rows]
+
+
+def test_rules_work_out_words_once(spark):
+    found = native_rules.rules(documents(spark), spark.createDataFrame([(7,)], "doc_id long"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_remove(split(") == 1
+    assert "xxhash64(slice(" not in plan and "translate(" not in plan and " AS ratios" not in plan.split("aggregate(")[0]
+
+
 def test_ratio_tells_symbols_from_prose(spark):
     sf = "/root/testdata/sf0.01"
     found = entry.queries()["op3_quality_rules"](spark, sf).join(table(spark, sf, "labels"), "doc_id").where("not base_failed")
