@@ -54,15 +54,18 @@ class Words:
         return out
 
     # ------------------------------------------------------------------ building
-    def build_mask(self, condition: Column, mi: Column) -> Column:
-        """Aggregate: the periods of the rows where the condition holds; a period without a bit stops the job."""
+    def bits(self, mi: Column) -> list[Column]:
+        """The words of one period; an unknown one has none, a period without a bit stops the job."""
         outside = F.raise_error(F.concat(F.lit(f"period outside 0..{WORD * self.n - 1}: "), mi.cast("string"))).cast("bigint")
 
         def word(j: int) -> Column:
-            bit = F.when(mi.isNull(), F.lit(None).cast("bigint")).when(mi.between(WORD * j, WORD * j + WORD - 1), mk.one_bit(mi - WORD * j)).when(mi.between(0, WORD * self.n - 1), _zero()).otherwise(outside)
-            return F.bit_or(F.when(condition, bit).otherwise(_zero()))
+            return F.when(mi.isNull(), F.lit(None).cast("bigint")).when(mi.between(WORD * j, WORD * j + WORD - 1), mk.one_bit(mi - WORD * j)).when(mi.between(0, WORD * self.n - 1), _zero()).otherwise(outside)
+
+        return [word(j) for j in range(self.n)]
 
-        return self.pack([word(j) for j in range(self.n)])
+    def build_mask(self, condition: Column, mi: Column) -> Column:
+        """Aggregate: the periods of the rows where the condition holds; a period without a bit stops the job."""
+        return self.pack([F.bit_or(F.when(condition, b).otherwise(_zero())) for b in self.bits(mi)])
 
     def fold(self, column: str) -> Column:
         """Aggregate: periods of any of the masks."""
@@ -73,8 +76,12 @@ class Words:
         return self.pack([F.bit_or(w).over(window) for w in self.split(F.col(column))])
 
     def over(self, condition: Column, mi: Column, window) -> Column:
-        """The mask of a window's rows, beside each of them."""
-        return self.pack([F.bit_or(F.when(condition & mi.between(WORD * j, WORD * j + WORD - 1), mk.one_bit(mi - WORD * j)).otherwise(_zero())).over(window) for j in range(self.n)])
+        """The mask of a window's rows, beside each of them; a period without a bit stops the job."""
+        return self.pack([F.bit_or(F.when(condition, F.coalesce(b, _zero())).otherwise(_zero())).over(window) for b in self.bits(mi)])
+
+    def known_over(self, condition: Column, mi: Column, window) -> Column:
+        """As ``over``, but of the rows where the condition holds only: unknown where none of them has a period."""
+        return self.pack([F.bit_or(F.when(condition, b)).over(window) for b in self.bits(mi)])
 
     # ------------------------------------------------------------------ reading
     def mask_bit(self, mask: Column, i: Column | int) -> Column:

@@ -145,19 +145,38 @@ def with_history(states: DataFrame, k=mk) -> DataFrame:
     return states.withColumns({"b_any": k.over(F.lit(True), mi, w), "b_p": k.over(st == "P", mi, w), "b_n": k.over(st == "N", mi, w)})
 
 
+def with_histories(states: DataFrame, last: int) -> DataFrame:
+    """Triple rows beside their own masks and their person's, as ``triple_masks`` and ``_annotated`` give them.
+
+    Windows in the partition of the person: nothing is joined, and states grouped there are not shuffled again. Rows without a
+    person are left out, as are persons of whom no organisation is known; rows without an organisation are not in the person's mask.
+    """
+    k = wm.words_for(last)
+    # ordered as the windows of the triples, which need no sort of their own then
+    person = W.partitionBy("person").orderBy("org", "unit").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    x = with_history(states.where(F.col("person").isNotNull()), k).withColumns(
+        {"pr_any": k.known_over(F.col("org").isNotNull(), F.col("mi"), person), "_known": F.count("org").over(person)})
+    return x.where(F.col("_known") > 0).drop("_known")
+
+
 def stock(states: DataFrame, masks: DataFrame, orgs: DataFrame) -> DataFrame:
-    """Nineteen stock counts per (period, org, unit)."""
+    """Nineteen stock counts per (period, org, unit).
+
+    States of ``with_histories`` are their own masks. A person's triples of a period are counted by windows, not joined.
+    """
     k = wm.of(masks)
-    st, at = F.col("st"), F.col("mi")
-    p = st == "P"
-    hold = orgs.select("org", "hold")
-    counts = portfolio_counts(states, ["mi", "person", "org"], "n_po")
-    by_hold = (counts.join(hold, "org").where(F.col("hold").isNotNull()).groupBy("mi", "person", "hold").agg(F.sum("n_po").alias("n_ph")))
-    by_person = counts.groupBy("mi", "person").agg(F.sum("n_po").alias("k_pf"))
-    t = (with_history(states, k).join(person_masks(masks), "person").join(hold, "org", "left")
-         .join(by_person, ["mi", "person"], "left").join(counts, ["mi", "person", "org"], "left")
-         .join(by_hold, ["mi", "person", "hold"], "left"))
-    many, ten = p & (F.col("k_pf") > 1), k.tenure_band(F.col("b_p"), at)
+    at, p = F.col("mi"), F.col("st") == "P"
+    t = states if "pr_any" in states.columns else with_history(states, k).join(person_masks(masks), "person")
+    # the windows below sort rows with flags, not with masks
+    t = t.select(*CELL, "person", "region", "st", "pf_amt", "fot_amt", "n_rows", (F.col("n_pay") == 1).alias("single"),
+                 k.flapping(F.col("b_any"), F.col("b_n"), at).alias("flaps"), k.one_time(F.col("b_any"), at).alias("once"),
+                 k.one_time(F.col("pr_any"), at).alias("once_person"), k.tenure_band(F.col("b_p"), at).alias("ten"))
+    place, held = W.partitionBy("mi", "person", "org"), W.partitionBy("mi", "person", "hold")
+    person = W.partitionBy("mi", "person").orderBy("org").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    known = at.isNotNull()
+    t = t.withColumns({"k_pf": F.when(known, F.count_if(p).over(person)), "n_po": F.when(known & F.col("org").isNotNull(), F.count_if(p).over(place))})
+    t = t.join(orgs.select("org", "hold"), "org", "left").withColumn("n_ph", F.when(known & F.col("hold").isNotNull(), F.count_if(p).over(held)))
+    many = p & (F.col("k_pf") > 1)
     one_org = F.col("n_po") == 1
     wider = F.coalesce(F.col("n_ph") > F.col("n_po"), F.lit(False))
 
@@ -166,12 +185,12 @@ def stock(states: DataFrame, masks: DataFrame, orgs: DataFrame) -> DataFrame:
 
     return t.groupBy(*CELL).agg(
         F.min("region").alias("region"), cnt(p, "pf_recip"), F.sum(F.when(p, 1.0 / F.col("k_pf")).otherwise(0.0)).alias("pf_fl"),
-        F.sum("pf_amt").alias("pf_amt"), F.sum("fot_amt").alias("fot_amt"), cnt(st == "Z", "zp_out_recip"), cnt(st == "N", "nonzp_recip"),
-        _n().alias("any_recip"), F.sum("n_rows").alias("raw_rows"), cnt(p & (F.col("n_pay") == 1), "single_pay_recip"),
+        F.sum("pf_amt").alias("pf_amt"), F.sum("fot_amt").alias("fot_amt"), cnt(F.col("st") == "Z", "zp_out_recip"), cnt(F.col("st") == "N", "nonzp_recip"),
+        _n().alias("any_recip"), F.sum("n_rows").alias("raw_rows"), cnt(p & F.col("single"), "single_pay_recip"),
         cnt(many, "multi_recip"), cnt(many & (F.col("n_po") > 1), "multi_same_org"), cnt(many & one_org & wider, "multi_same_hold"),
-        cnt(many & one_org & ~wider, "multi_other"), cnt(k.flapping(F.col("b_any"), F.col("b_n"), at), "flapping_recip"),
-        cnt(p & k.one_time(F.col("b_any"), at), "one_time_pf"), cnt(p & k.one_time(F.col("pr_any"), at), "one_time_person"),
-        *[cnt(p & (ten == x), f"ten_{x}") for x in TENURES])
+        cnt(many & one_org & ~wider, "multi_other"), cnt(F.col("flaps"), "flapping_recip"),
+        cnt(p & F.col("once"), "one_time_pf"), cnt(p & F.col("once_person"), "one_time_person"),
+        *[cnt(p & (F.col("ten") == x), f"ten_{x}") for x in TENURES])
 
 
 def summary_keys(stocks: DataFrame, last: int, lags: Sequence[int] = (1, 12)) -> DataFrame:

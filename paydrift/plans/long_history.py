@@ -14,26 +14,29 @@ from .monthly import _FLIP, _between, _has, _once, _round, _ten
 from .registry import CTES, cte, query
 
 LAST, THRESHOLD = 83, 30_000
+#: Lines of a task that sorts them with their masks: compressed they are a few MB, by which adaptive plans would put many such tasks into one that spills.
+TASK_LINES = 250_000
 
 
 class Long:
     def __init__(self, i):
         self.i = i
 
-    @cached_property
-    def _states(self):
-        salary = F.col("code") != "A"
-        lines = self.i.payroll_by_person.select("mi", "person", "org", "unit", F.col("org").alias("region"), "code", "amt", F.lit(1).alias("qty"), salary.alias("is_pf"), salary.alias("is_fot"), (F.col("code") == "X").alias("is_fixed"))
+    def _states(self, *tasks):
+        # what a code means is known before the one shuffle of the lines by person, so that it carries flags
+        lines = self.i.payroll.select("mi", "person", "org", "unit", "code", "amt", (F.col("code") != "A").alias("salary"), (F.col("code") == "X").alias("is_fixed")).repartition(*tasks, "person")
+        lines = lines.select("mi", "person", "org", "unit", F.col("org").alias("region"), "code", "amt", F.lit(1).alias("qty"), F.col("salary").alias("is_pf"), F.col("salary").alias("is_fot"), "is_fixed")
         return tr.triple_state(tr.triples(lines), THRESHOLD)
 
     @cached_property
-    def states(self):
-        return self.i.staged("long_triples", lambda: self._states)
+    def rows(self):
+        """The state of each triple and month beside the masks of its triple and person; worked out where the lines of a person lie."""
+        return sm.with_histories(self._states(self.i.table("lineitem").count() // TASK_LINES + 1), LAST)
 
     @cached_property
     def kinds(self):
         """The state of each triple and month without its sums: all that histories and movements read."""
-        return self.i.staged("long_kinds", lambda: self._states.select(*tr.KEYS, "st"))
+        return self.i.staged("long_kinds", lambda: self._states().select(*tr.KEYS, "st"))
 
     @cached_property
     def orgs(self):
@@ -95,4 +98,4 @@ for _t, _k in (("m", 1), ("y", 12)):
 @query("stock_long", f"SELECT * EXCLUDE (org, unit, region, pf_fl, pf_amt, fot_amt), CAST(org AS BIGINT) AS org, CAST(unit AS BIGINT) AS unit, CAST(region AS BIGINT) AS region, {_round(('pf_fl', 'pf_amt', 'fot_amt'))} FROM lstk", "lstk")
 def _(i):
     x = Long(i)
-    return sm.stock(x.states, x.masks, x.orgs)
+    return sm.stock(x.rows, x.rows, x.orgs)
